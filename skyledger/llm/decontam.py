@@ -28,8 +28,13 @@ def words(text: Column) -> Column:
 
 def shingles(rows: DataFrame, n: int, words_col: str = "words", out: str = "shingles") -> DataFrame:
     """``rows`` with the hashes of all ``n``-word shingles; the words go."""
-    hashed = F.transform(F.sequence(F.lit(0), F.size(words_col) - n), lambda i: F.xxhash64(*(F.get(F.col(words_col), i + k) for k in range(n))))
-    return rows.withColumn(out, F.when(F.size(words_col) >= n, hashed).otherwise(F.array().cast("array<bigint>"))).drop(words_col)
+
+    def hashed(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(w) - (n - 1))
+        return F.when(F.size(w) >= n, F.transform(at, lambda i: F.xxhash64(F.slice(w, i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+
+    # A lambda's variable holds the words: a plain column would be computed anew for every shingle once the optimizer inlines it.
+    return rows.withColumn(out, F.get(F.transform(F.array(words_col), hashed), F.lit(0))).drop(words_col)
 
 
 def sketches(items: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -51,12 +56,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float =
     small = items.agg(F.sum(F.size("shingles"))).first()[0] or 0
     light = F.broadcast if small <= BROADCAST_ROWS else lambda x: x
     hashed = shingles(rows.select("doc_id", words(F.col("text")).alias("words")), n)
-    pairs = hashed.select("doc_id", F.explode("shingles").alias("shingle")).join(light(keys), "shingle").select("doc_id", "item_id").distinct()
+    # An outer explode infers no filter that would compute the shingles twice.
+    pairs = hashed.select("doc_id", F.explode_outer("shingles").alias("shingle")).join(light(keys), "shingle").select("doc_id", "item_id").distinct()
     pairs = common.saved(pairs, "candidates")
+    few = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda x: x
     wanted = pairs.groupBy("doc_id").agg(F.collect_list("item_id").alias("item_ids"))
-    some = rows.join(wanted, "doc_id").select("doc_id", "item_ids", words(F.col("text")).alias("words"))
+    some = rows.join(few(wanted), "doc_id").select("doc_id", "item_ids", words(F.col("text")).alias("words"))
     whole = shingles(some, n).withColumn("shingles", F.array_distinct("shingles"))
-    both = whole.select("doc_id", "shingles", F.explode("item_ids").alias("item_id")).join(light(items.select("item_id", F.col("shingles").alias("own"))), "item_id")
+    both = whole.select("doc_id", "shingles", F.explode_outer("item_ids").alias("item_id")).join(light(items.select("item_id", F.col("shingles").alias("own"))), "item_id")
     shared = both.select("doc_id", "item_id", F.size(F.array_intersect("own", "shingles")).cast("long").alias("n_shared"), F.size("own").cast("long").alias("n_item"))
     best = shared.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
     return best.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= threshold)

@@ -48,13 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, common.read(spark, sf_dir, "labels")))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_suffix_dedup, op4_secret_scan, op5_decontamination, op6_warc, op7_quality_rules, op8_license_scan, op9_ngram_join, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_suffix_dedup, op4_secret_scan, op5_decontamination, op6_warc, op7_quality_rules, op8_license_scan, op9_ngram_join, op10_toxicity)}
 
 ORACLE_SQL = {
     "op5_decontamination": r"""
