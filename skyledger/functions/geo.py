@@ -50,7 +50,7 @@ def polygon_area(rings: Column) -> Column:
 
 def polygon_perimeter(rings: Column) -> Column:
     """Edges of all rings, holes too."""
-    return F.aggregate(F.transform(rings, line_length), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(F.transform(rings, lambda r: line_length(r)), F.lit(0.0), lambda a, x: a + x)
 
 
 def local_area(rings: Column) -> Column:
