@@ -3,7 +3,12 @@
 N-grams are ordered rare first by a counting sketch over the whole corpus; any order that all
 documents share gives a complete join, so collisions in the sketch cost time only. Two documents at
 or above the threshold share an n-gram of their prefixes, and what can't reach the threshold is cut
-by length, position and suffix before a pair is verified on its n-grams, once.
+by length, position and parity (below) before a pair is verified on its n-grams, once.
+
+The parity filter is a suffix filter over the whole set: a document carries, for each of 512 ranges of
+hashes, whether it has an odd number of n-grams there. Every n-gram that only one of two documents
+has turns one of these bits, so two documents with more different bits than n-grams they may differ in
+can't link, and no link is lost.
 
 A group of near copies has a link between almost any two members. Pairs are therefore formed in
 stars first: in each group that shares a prefix n-gram every member meets the one that has it
@@ -73,6 +78,16 @@ class Grams:
         return np.unique(x)
 
 
+#: Columns of the parity sketch, 64 bits each.
+PARITY = [f"s{k}" for k in range(8)]
+
+
+def parity(grams: np.ndarray) -> np.ndarray:
+    """Eight longs: the parity of the number of n-grams in each of 512 ranges of hashes."""
+    odd = np.bincount((grams >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def needed(total: int | np.ndarray, percent: int):
     """Least intersection of two sets whose sizes add up to ``total``."""
     return -(-percent * total // (100 + percent))
@@ -87,12 +102,12 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def profile(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, key) per row, key of the whole set; and (cell, count) partial sketches."""
+    """(doc_id, n_shingles, key, parity sketch) per row, key of the whole set; and (cell, count) partial sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         grams, cells = Grams(n), np.zeros(CELLS, dtype=np.int64)
         for ids, texts in common.by_text(batches):
-            sizes, keys = [], []
+            sizes, keys, odd = [], [], []
             for t in texts:
                 g = grams(t)
                 cells += np.bincount((g & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) if len(g) > 4096 else 0
@@ -100,11 +115,13 @@ def profile(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
                     np.add.at(cells, (g & np.uint64(CELLS - 1)).astype(np.int64), 1)
                 sizes.append(len(g))
                 keys.append(xxhash.xxh3_128_digest(g.tobytes()))
-            yield {"doc_id": ids, "n_shingles": sizes, "key": keys, "cell": [None] * len(ids)}
+                odd.append(parity(g))
+            yield {"doc_id": ids, "n_shingles": sizes, "key": keys, "cell": [None] * len(ids), **dict(zip(PARITY, np.array(odd, dtype=np.int64).reshape(-1, 8).T))}
         at = np.flatnonzero(cells)
-        yield {"doc_id": [None] * len(at), "n_shingles": cells[at], "key": [None] * len(at), "cell": at}
+        none = [None] * len(at)
+        yield {"doc_id": none, "n_shingles": cells[at], "key": none, "cell": at, **dict.fromkeys(PARITY, none)}
 
-    both = common.saved(common.map_batches(docs, run, "doc_id long, n_shingles long, key binary, cell long"), "profile")
+    both = common.saved(common.map_batches(docs, run, "doc_id long, n_shingles long, key binary, cell long" + "".join(f", {c} long" for c in PARITY)), "profile")
     return both.filter("cell is null").drop("cell"), both.filter("cell is not null").select("cell", F.col("n_shingles").alias("count"))
 
 
@@ -145,6 +162,14 @@ def can_link(a: str, b: str, percent: int) -> Column:
     return (100 * small >= percent * large) & ((100 + percent) * most >= percent * (c(f"{a}size") + c(f"{b}size")))
 
 
+def parity_allows(a: str, b: str, percent: int) -> Column:
+    """Whether the parity sketches leave it open that two rows' documents link; a row without a sketch is open."""
+    total = F.col(f"{a}size") + F.col(f"{b}size")
+    most = total - 2 * F.floor((percent * total + 99 + percent) / (100 + percent))
+    bits = sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in PARITY[1:]), F.bit_count(F.col(a + PARITY[0]).bitwiseXOR(F.col(b + PARITY[0]))))
+    return F.coalesce(bits <= most, F.lit(True))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) that link. Texts of the ids that occur are brought in by two joins."""
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
@@ -197,7 +222,9 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90, star_rounds: int = 2,
     tokens = common.saved(prefixes(rows, counts, n, percent), "prefixes")
     often = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
     # Texts that equal another's are represented by it.
-    met = common.saved(tokens.join(often, "token").join(same.select(F.col("u").alias("doc_id")), "doc_id", "left_anti"), "met")
+    # An id of several rows has no sketch, as one row's would not hold for the others.
+    sketches = full.groupBy("doc_id").agg(F.count("*").alias("_rows"), *(F.min(c).alias(c) for c in PARITY)).select("doc_id", *(F.when(F.col("_rows") == 1, F.col(c)).alias(c) for c in PARITY))
+    met = common.saved(tokens.join(often, "token").join(same.select(F.col("u").alias("doc_id")), "doc_id", "left_anti").join(sketches, "doc_id", "left"), "met")
     found, tried = same, None
     release = lambda: common.release(spark)
     release()
@@ -210,15 +237,15 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90, star_rounds: int = 2,
     for round_ in range(star_rounds + 1):
         if round_:
             now = labelled()
-        open_ = now.groupBy("token").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2"), F.min(F.struct("pos", "size", "doc_id", "comp")).alias("hub")).filter("_c1 < _c2").select("token", "hub")
+        open_ = now.groupBy("token").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2"), F.min(F.struct("pos", "size", "doc_id", "comp", *PARITY)).alias("hub")).filter("_c1 < _c2").select("token", "hub")
         if round_ < star_rounds:
-            hubs = open_.select("token", F.col("hub.doc_id").alias("h_doc_id"), F.col("hub.size").alias("h_size"), F.col("hub.pos").alias("h_pos"), F.col("hub.comp").alias("h_comp"))
+            hubs = open_.select("token", *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("doc_id", "size", "pos", "comp", *PARITY)))
             both = now.join(hubs, "token").filter(F.col("comp") != F.col("h_comp"))
         else:
             still = common.saved(now.join(open_.select("token"), "token"), "still")
-            other = still.select("token", *(F.col(c).alias(f"h_{c}") for c in ("doc_id", "size", "pos", "comp")))
+            other = still.select("token", *(F.col(c).alias(f"h_{c}") for c in ("doc_id", "size", "pos", "comp", *PARITY)))
             both = still.join(other, "token").filter(F.col("comp") < F.col("h_comp"))
-        pairs = both.filter(can_link("", "h_", percent)).select(F.greatest("doc_id", "h_doc_id").alias("u"), F.least("doc_id", "h_doc_id").alias("v")).distinct()
+        pairs = both.filter(can_link("", "h_", percent) & parity_allows("", "h_", percent)).select(F.greatest("doc_id", "h_doc_id").alias("u"), F.least("doc_id", "h_doc_id").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = common.saved(pairs, "pairs")
@@ -232,4 +259,4 @@ def joined(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id
     """doc_id, n_shingles and component_id per row."""
     sizes, found = links(docs, n, percent, id_col=id_col, text_col=text_col)
     comps = components(found).withColumnRenamed("id", "doc_id")
-    return sizes.join(comps, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sizes.select("doc_id", "n_shingles").join(comps, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
