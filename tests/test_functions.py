@@ -135,7 +135,7 @@ def jpeg():
 def test_image_headers(spark, tmp_path):
     (tmp_path / "a.jpg").write_bytes(jpeg())
     (tmp_path / "bad.jpg").write_bytes(b"\xff\xd8\xff\xe1\x00\x20Exif\0\0II*\0\xff\xff")
-    (tmp_path / "empty.jpg").write_bytes(b"")
+    (tmp_path / "empty.jpg").write_bytes(b"x")
     got = {text_of(r["path"]): r for r in images.metadata(images.files(spark, str(tmp_path))).collect()}
     a = got["a.jpg"]
     assert (a["width"], a["height"], a["make"], a["latitude"], round(a["longitude"], 6), a["altitude_m"], a["relative_altitude"], a["progressive"]) == (400, 300, "DJI", -6.5, 106.01, 120.5, 80.5, False)
