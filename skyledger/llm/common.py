@@ -34,7 +34,15 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     schema = df.schema
     del df
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``saved`` made, once nothing reads them any more."""
+    for df in tables:
+        remove(df.sparkSession, df._scratch)
 
 
 def release(spark: SparkSession) -> None:

@@ -169,10 +169,14 @@ class SuffixFamily:
             # What a later level has of contexts of an earlier was not kept, so a sorted union is the merge.
             both = common.saved(a.union(b).sortWithinPartitions("gram"), "level")
             self.levels[-2:] = [(both.count(), both)]
+            common.discard(a, b)
             common.release(self.spark)
 
-    def add(self, docs: DataFrame) -> None:
-        """Indexes a batch (doc_id, text) whose ids all come after those before, and scans it with the levels."""
+    def add(self, docs: DataFrame, last: bool = False) -> None:
+        """Indexes a batch (doc_id, text) whose ids all come after those before, and scans it with the levels.
+
+        After the ``last`` batch no level is kept. Tables go as soon as what follows from them is written.
+        """
         self.merge_levels()
         own = common.saved(entries(docs, self.length, self.gram), "entries")
         known = own.filter(F.col("kind").isin(ENTRY, WITNESS)).withColumn("level", F.lit(0))
@@ -188,14 +192,27 @@ class SuffixFamily:
             .filter("level = 0 or low < high")
             .select("kind", "gram", "context", "doc", "place", "level", "rank", F.expr("low < high").alias("border"), F.expr("context in (low, high)").alias("end"))
         )
+        if last:
+            # Nothing will be compared with this batch, so only what is decided or at a border is written.
+            met = met.filter(f"kind = {ENTRY} and level = 0 and (rank > 1 or border) or kind = {ENTRY} and rank = 1 and border")
         met = common.saved(met, "scan")
-        later = met.filter((F.col("kind") == ENTRY) & (F.col("rank") > 1) & (F.col("level") == 0))
-        self.covered += [own.filter(F.col("kind") == COVERED).select("doc", "place"), later.select("doc", "place")]
-        self.border += [own.filter(F.col("kind") == BORDER).select("doc", "place"), met.filter((F.col("kind") == ENTRY) & (F.col("rank") == 1) & F.col("border")).select("doc", "place")]
-        kept = met.filter("rank = 1 and level = 0 and (end or not border)")
-        level = common.saved(kept.select(F.expr(f"if(border, {WITNESS}, kind)").cast("long").alias("kind"), "gram", "context", "doc", "place").sortWithinPartitions("gram"), "level")
-        self.levels.append((level.count(), level))
-        del own, known, met, later, kept
+        entry = F.col("kind") == ENTRY
+        plain = own.filter(F.col("kind").isin(COVERED, BORDER)).select("doc", "place", (F.col("kind") == COVERED).alias("covered"))
+        later = met.filter(entry & (F.col("rank") > 1) & (F.col("level") == 0)).select("doc", "place", F.lit(True).alias("covered"))
+        edge = met.filter(entry & (F.col("rank") == 1) & F.col("border")).select("doc", "place", F.lit(False).alias("covered"))
+        found = common.saved(plain.union(later).union(edge), "found")
+        self.covered.append(found.filter("covered").select("doc", "place"))
+        self.border.append(found.filter("not covered").select("doc", "place"))
+        if last:
+            common.discard(*(level for _, level in self.levels))
+            self.levels = []
+        else:
+            kept = met.filter("rank = 1 and level = 0 and (end or not border)")
+            level = common.saved(kept.select(F.expr(f"if(border, {WITNESS}, kind)").cast("long").alias("kind"), "gram", "context", "doc", "place").sortWithinPartitions("gram"), "level")
+            self.levels.append((level.count(), level))
+            del kept, level
+        common.discard(own, met)
+        del own, known, met, plain, later, edge
         common.release(self.spark)
 
     def border_strings(self, docs: DataFrame) -> DataFrame:
@@ -271,8 +288,9 @@ def deduplicated(docs: DataFrame, length: int = 100, batches: int = 3, with_text
     spark = docs.sparkSession
     rows = common.texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     family = SuffixFamily(spark, length)
-    for part in batches_of(rows, batches):
-        family.add(part)
+    parts = batches_of(rows, batches)
+    for k, part in enumerate(parts):
+        family.add(part, last=k == len(parts) - 1)
     cut = family.removed(rows).groupBy("doc").agg(F.collect_list("place").alias("places"))
     joined = rows.join(cut, rows.doc_id == cut.doc, "left").select("doc_id", "text", "places")
 
