@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -78,8 +79,8 @@ class Grams:
         return np.unique(x)
 
 
-#: Columns of the parity sketch, 64 bits each.
-PARITY = [f"s{k}" for k in range(8)]
+#: Columns of the parity sketch, 64 bits each; and of its two halves folded, which go with every prefix row.
+PARITY, FOLDED = [f"s{k}" for k in range(8)], ["t0", "t1"]
 
 
 def parity(grams: np.ndarray) -> np.ndarray:
@@ -162,11 +163,17 @@ def can_link(a: str, b: str, percent: int) -> Column:
     return (100 * small >= percent * large) & ((100 + percent) * most >= percent * (c(f"{a}size") + c(f"{b}size")))
 
 
-def parity_allows(a: str, b: str, percent: int) -> Column:
+def folded() -> list[Column]:
+    """A range that is the union of others has the parity of their sum, so a folded sketch is one of wider ranges."""
+    both = lambda cols: reduce(lambda x, y: x.bitwiseXOR(y), (F.col(c) for c in cols))
+    return [both(PARITY[:4]).alias("t0"), both(PARITY[4:]).alias("t1")]
+
+
+def parity_allows(a: str, b: str, percent: int, cols: list[str]) -> Column:
     """Whether the parity sketches leave it open that two rows' documents link; a row without a sketch is open."""
     total = F.col(f"{a}size") + F.col(f"{b}size")
     most = total - 2 * F.floor((percent * total + 99 + percent) / (100 + percent))
-    bits = sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in PARITY[1:]), F.bit_count(F.col(a + PARITY[0]).bitwiseXOR(F.col(b + PARITY[0]))))
+    bits = reduce(lambda x, y: x + y, (F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in cols))
     return F.coalesce(bits <= most, F.lit(True))
 
 
@@ -193,7 +200,9 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
                 if us:
                     yield {"u": us, "v": vs}
 
-    return common.map_batches(rows, run, "u long, v long")
+    found = common.saved(common.map_batches(rows, run, "u long, v long"), "links")
+    common.discard(some)
+    return found
 
 
 def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -223,8 +232,9 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90, star_rounds: int = 2,
     often = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
     # Texts that equal another's are represented by it.
     # An id of several rows has no sketch, as one row's would not hold for the others.
-    sketches = full.groupBy("doc_id").agg(F.count("*").alias("_rows"), *(F.min(c).alias(c) for c in PARITY)).select("doc_id", *(F.when(F.col("_rows") == 1, F.col(c)).alias(c) for c in PARITY))
-    met = common.saved(tokens.join(often, "token").join(same.select(F.col("u").alias("doc_id")), "doc_id", "left_anti").join(sketches, "doc_id", "left"), "met")
+    sketches = full.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max("n_shingles").alias("size"), *(F.min(c).alias(c) for c in PARITY)).select("doc_id", "size", *(F.when(F.col("_rows") == 1, F.col(c)).alias(c) for c in PARITY))
+    met = common.saved(tokens.join(often, "token").join(same.select(F.col("u").alias("doc_id")), "doc_id", "left_anti").join(sketches.select("doc_id", *folded()), "doc_id", "left"), "met")
+    common.discard(tokens)
     found, tried = same, None
     release = lambda: common.release(spark)
     release()
@@ -237,20 +247,22 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90, star_rounds: int = 2,
     for round_ in range(star_rounds + 1):
         if round_:
             now = labelled()
-        open_ = now.groupBy("token").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2"), F.min(F.struct("pos", "size", "doc_id", "comp", *PARITY)).alias("hub")).filter("_c1 < _c2").select("token", "hub")
+        open_ = now.groupBy("token").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2"), F.min(F.struct("pos", "size", "doc_id", "comp", *FOLDED)).alias("hub")).filter("_c1 < _c2").select("token", "hub")
         if round_ < star_rounds:
-            hubs = open_.select("token", *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("doc_id", "size", "pos", "comp", *PARITY)))
+            hubs = open_.select("token", *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("doc_id", "size", "pos", "comp", *FOLDED)))
             both = now.join(hubs, "token").filter(F.col("comp") != F.col("h_comp"))
         else:
             still = common.saved(now.join(open_.select("token"), "token"), "still")
-            other = still.select("token", *(F.col(c).alias(f"h_{c}") for c in ("doc_id", "size", "pos", "comp", *PARITY)))
+            other = still.select("token", *(F.col(c).alias(f"h_{c}") for c in ("doc_id", "size", "pos", "comp", *FOLDED)))
             both = still.join(other, "token").filter(F.col("comp") < F.col("h_comp"))
-        pairs = both.filter(can_link("", "h_", percent) & parity_allows("", "h_", percent)).select(F.greatest("doc_id", "h_doc_id").alias("u"), F.least("doc_id", "h_doc_id").alias("v")).distinct()
+        pairs = both.filter(can_link("", "h_", percent) & parity_allows("", "h_", percent, FOLDED)).select(F.greatest("doc_id", "h_doc_id").alias("u"), F.least("doc_id", "h_doc_id").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = common.saved(pairs, "pairs")
+        for side in "uv":
+            pairs = pairs.join(sketches.select(F.col("doc_id").alias(side), *(F.col(c).alias(side + c) for c in ("size", *PARITY))), side)
+        pairs = common.saved(pairs.filter(parity_allows("u", "v", percent, PARITY)).select("u", "v"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        found = found.union(common.saved(verify(pairs, rows, n, percent), "links"))
+        found = found.union(verify(pairs, rows, n, percent))
         release()
     return sizes, found
 
