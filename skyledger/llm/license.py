@@ -13,7 +13,6 @@ share the labels found in any of them; null ids get no labels from templates; an
 from __future__ import annotations
 
 import math
-import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +42,8 @@ TEMPLATES = [
 
 
 def lowered(text: Column) -> Column:
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    """Letters beyond ASCII change too. They stay word characters, and none becomes a letter of a counted phrase, so counts and places are those of lower-casing A-Z."""
+    return F.lower(text)
 
 
 def word_count(low: Column) -> Column:
