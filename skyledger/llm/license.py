@@ -13,6 +13,7 @@ share the labels found in any of them; null ids get no labels from templates; an
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from . import common
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 # Phrases that are counted, and public license notices.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 TEMPLATES = [
@@ -46,75 +46,73 @@ def lowered(text: Column) -> Column:
     return F.lower(text)
 
 
-def word_count(low: Column) -> Column:
-    return F.size(F.regexp_extract_all(low, F.lit(f"{WORD}+"), F.lit(0))).cast("long")
+def listed(words: set[str] | list[str]) -> Column:
+    return F.lit(sorted(words))
 
 
-def phrase_pattern(phrase: str) -> str:
-    return f"(?<!{WORD})" + f"{SEPARATOR}++".join(phrase.split()) + f"(?!{WORD})"
+def places(phrase: str) -> Column:
+    """Where in ``words`` a phrase starts, from 0; texts that lack one of its words (see ``known``) aren't searched."""
+    own = phrase.split()
+    here = F.filter(F.sequence(F.lit(1), F.greatest(F.size("words") - len(own) + 1, F.lit(1))), lambda i: reduce(lambda x, y: x & y, (F.try_element_at("words", i + k).eqNullSafe(w) for k, w in enumerate(own))))
+    return F.when(F.size(F.array_intersect("known", listed(own))) == len(set(own)), F.transform(here, lambda i: (i - 1).cast("long"))).otherwise(F.array().cast("array<long>"))
 
 
-def places(low: Column, n_words: Column, phrase: str) -> Column:
-    """struct<n, first, last> of the places of a phrase, in words."""
-    pattern = phrase_pattern(phrase)
-    n = F.size(F.regexp_extract_all(low, F.lit(pattern), F.lit(0))).cast("long")
-    first = word_count(F.get(F.split(low, pattern, 2), F.lit(0)))
-    last = n_words - word_count(F.element_at(F.split(low, pattern, -1), -1)) - len(phrase.split())
-    here = F.struct(n.alias("n"), first.alias("first"), last.alias("last"))
-    return F.when(low.rlike(pattern), here).otherwise(F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last")))
+def needs(templates: list[tuple[str, str]], threshold: float) -> list[tuple[str, list[str], int]]:
+    """(label, distinct words, least number of them that a block must have) of every template."""
+    sets = [(label, sorted(set(text.split()))) for label, text in templates]
+    return [(label, own, math.ceil(threshold * len(own) - 1e-9)) for label, own in sets]
 
 
-def phrases(rows: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base) of rows (doc_id, low)."""
-    got = rows.withColumn("n_words", word_count(F.col("low"))).select("doc_id", "n_words", *(places(F.col("low"), F.col("n_words"), p).alias(k) for k, p in PHRASES.items()))
-    return got.select(
-        "doc_id",
-        "n_words",
-        sum((F.col(f"`{k}`.n") for k in PHRASES), F.lit(0).cast("long")).alias("n_base"),
-        F.least(*(F.col(f"`{k}`.first") for k in PHRASES)).alias("first_word"),
-        F.greatest(*(F.col(f"`{k}`.last") for k in PHRASES)).alias("last_word"),
-        F.array_compact(F.array(*(F.when(F.col(f"`{k}`.n") > 0, k) for k in PHRASES))).alias("base"),
-    )
+def read_once(rows: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """(doc_id, n_words, one array of places per phrase, known, blocks) of rows (doc_id, low): all that is taken from whole texts.
 
-
-def matches(rows: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, start, label, containment) of every block of rows (doc_id, low) that meets a template; start is in words."""
-    spark = rows.sparkSession
-    sets = [(label, set(text.split())) for label, text in templates]
-    vocabulary = sorted(set().union(*(s for _, s in sets)))
+    ``known`` has the distinct words of a text that templates or phrases have, ``blocks`` those of each
+    block. Texts too poor in a template's words for any template have no blocks.
+    """
+    limits = needs(templates, threshold)
+    vocabulary = {w for _, own, _ in limits for w in own} | {w for p in PHRASES.values() for w in p.split()}
     step = max(len(text.split()) for _, text in templates)
-    words = rows.filter("doc_id is not null").select("doc_id", F.regexp_extract_all("low", F.lit(f"{WORD}+"), F.lit(0)).alias("words"))
-    known = words.select(F.explode(F.array_intersect("words", F.lit(vocabulary))).alias("word"))
+    words = rows.select("doc_id", F.array_remove(F.split("low", f"{SEPARATOR}+"), "").alias("words"))
+    known = words.withColumn("known", F.array_intersect("words", listed(vocabulary)))
+    rich = reduce(lambda x, y: x | y, (F.size(F.array_intersect("known", listed(own))) >= need for _, own, need in limits))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(step))
+    blocks = F.transform(starts, lambda s: F.struct(s.cast("long").alias("start"), F.array_intersect(F.slice("words", s + 1, F.lit(2 * step)), listed(vocabulary)).alias("block")))
+    return known.select("doc_id", F.size("words").cast("long").alias("n_words"), *(places(p).alias(k) for k, p in PHRASES.items()), "known", F.when(F.col("doc_id").isNotNull() & rich, blocks).alias("blocks"))
+
+
+def matches(read: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, start, label, containment) of every block of rows (doc_id, known, blocks) that meets a template; start is in words."""
     # The templates' words alone, with their document frequencies, come to the driver: as many rows as the list has words.
-    frequency = {r["word"]: r["n"] for r in known.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
+    frequency = {r["word"]: r["n"] for r in read.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    limits = needs(templates, threshold)
+    order = sorted({w for _, own, _ in limits for w in own}, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
-    index, rare = [], set()
-    for k, (label, s) in enumerate(sets):
-        own = sorted(s, key=rank.__getitem__)
-        need = math.ceil(threshold * len(own) - 1e-9)
-        for pos, w in enumerate(own[: len(own) - need + 1]):
-            rare.add(w)
-            index.append((w, k, label, pos, len(own), need, own))
-    prefix = spark.createDataFrame(index, "word string, template int, label string, t_pos int, t_size int, need int, own array<string>")
-    rows_ = words.filter(F.arrays_overlap("words", F.lit(sorted(rare))))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(step))
-    blocks = rows_.select("doc_id", F.explode(F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("words", s + 1, F.lit(2 * step)).alias("b")))).alias("x")).select("doc_id", "x.start", F.array_intersect(F.lit(order), F.col("x.b")).alias("block"))
-    at = blocks.filter(F.arrays_overlap("block", F.lit(sorted(rare)))).select("doc_id", "start", "block", F.posexplode("block").alias("b_pos", "word"))
+    index = []
+    for k, (label, words, need) in enumerate(limits):
+        own = sorted(words, key=rank.__getitem__)
+        index += [(w, k, label, pos, len(own), need, own) for pos, w in enumerate(own[: len(own) - need + 1])]
+    prefix = read.sparkSession.createDataFrame(index, "word string, template int, label string, t_pos int, t_size int, need int, own array<string>")
+    least = min(need for *_, need in limits)
+    blocks = read.select("doc_id", F.explode("blocks").alias("x")).select("doc_id", "x.start", F.array_intersect(F.lit(order), F.col("x.block")).alias("block"))
+    at = blocks.filter((F.size("block") >= least) & F.arrays_overlap("block", listed({w for w, *_ in index}))).select("doc_id", "start", "block", F.posexplode("block").alias("b_pos", "word"))
     # The index has as many rows as the templates have prefix words.
     pairs = at.join(F.broadcast(prefix), "word").filter((F.size("block") >= F.col("need")) & (F.least(F.size("block") - F.col("b_pos"), F.col("t_size") - F.col("t_pos")) >= F.col("need")))
     shared = F.size(F.array_intersect("own", "block"))
-    return pairs.filter(shared >= F.col("need")).select("doc_id", F.col("start").cast("long").alias("start"), "label", (shared / F.col("t_size")).alias("containment")).distinct()
+    return pairs.filter(shared >= F.col("need")).select("doc_id", "start", "label", (shared / F.col("t_size")).alias("containment")).distinct()
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (best containment; 1 with a counted phrase) per row."""
     rows = common.texts(docs, id_col, text_col).select("doc_id", lowered(F.col("text")).alias("low"))
-    more = matches(rows, templates, threshold).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    joined = phrases(rows).join(more, "doc_id", "left")
-    listed = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    # Texts are split once: what is kept of them is small.
+    read = common.saved(read_once(rows, templates, threshold), "license")
+    more = matches(read, templates, threshold).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    found = F.concat(*(F.col(f"`{k}`") for k in PHRASES))
+    base = F.array_compact(F.array(*(F.when(F.size(F.col(f"`{k}`")) > 0, k) for k in PHRASES)))
+    joined = read.select("doc_id", "n_words", F.size(found).cast("long").alias("n_base"), F.array_min(found).alias("first_word"), F.array_max(found).alias("last_word"), base.alias("base")).join(more, "doc_id", "left")
+    sorted_ = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return joined.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", listed(F.col("base")).alias("base_labels"),
-        listed(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
+        "doc_id", "n_words", "n_base", "first_word", "last_word", sorted_(F.col("base")).alias("base_labels"),
+        sorted_(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )

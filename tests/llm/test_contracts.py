@@ -104,6 +104,30 @@ def test_license(docs, rows):
     assert len(got) == len(rows)
 
 
+def test_license_blocks_meet_all_templates_they_contain(docs, rows):
+    notice = dict(reversed(license.TEMPLATES))["gpl"]
+    extra = [(None, license.TEMPLATES[1][1]), (-1, notice), (-2, "pad " * 70 + notice.replace(" the ", " ") + " pad" * 90), (-3, "word " * 43 + license.TEMPLATES[1][1]), (-4, " ".join(notice.split()[:9]))]
+    spark = docs.sparkSession
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows] + extra, "doc_id long, text string")
+    got = by_id(license.scan(frame), "labels", "base_labels", "score")
+    step = max(len(t.split()) for _, t in license.TEMPLATES)
+    for i, text in [(i, t) for i, t, _ in rows] + extra[1:]:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+        want, best = set(filter(None, got[i][1].split(","))), 0.0
+        for k in range(0, len(w), step):
+            block = set(w[k : k + 2 * step])
+            for label, t in license.TEMPLATES:
+                own = set(t.split())
+                if len(own & block) >= 0.8 * len(own) - 1e-9:
+                    want.add(label)
+                    best = max(best, len(own & block) / len(own))
+        assert got[i][0] == ",".join(sorted(want)), text
+        assert got[i][2] == (1.0 if got[i][1] else best)
+    assert "gpl" in got[-1][0] and "gpl" in got[-2][0] and "mit" in got[-3][0] and got[-4][0] == "" and got[None][0] == ""
+    none = license.scan(spark.createDataFrame([], "doc_id long, text string"))
+    assert none.count() == 0
+
+
 def test_quality(docs, rows):
     got = by_id(quality.judge(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     for i, text, _ in rows:
