@@ -1,7 +1,9 @@
 """Exact Jaccard self-join on word n-grams by rare-first prefix filtering, and its components.
 
-N-grams are ordered rare first by a counting sketch over the whole corpus; any order that all
-documents share gives a complete join, so collisions in the sketch cost time only. Two documents at
+N-grams are ordered rare first by how frequent their words are in the whole corpus, as a counting
+sketch of words tells. A vocabulary grows far slower than the n-grams made of it, so the sketch keeps
+its size and still tells rare from frequent as the corpus grows. Any order that all documents share
+gives a complete join, so collisions in the sketch cost time only. Two documents at
 or above the threshold share an n-gram of their prefixes, and what can't reach the threshold is cut
 by length, position and parity (below) before a pair is verified on its n-grams, once.
 
@@ -12,9 +14,10 @@ can't link, and no link is lost.
 
 A group of near copies has a link between almost any two members. Pairs are therefore formed in
 stars first: in each group that shares a prefix n-gram every member meets the one that has it
-earliest in its own order (a text without n-grams of its own, as an original has). After two rounds
-of stars only members of different components still meet, all of them, so that no component
-is missed and no group is expanded into all pairs.
+earliest in its own order (a text without n-grams of its own, as an original has), and in the next
+round one that a hash picks, as the first would only be met again. After two rounds of stars only
+members of different components still meet, all of them, so that no component is missed and no
+group is expanded into all pairs.
 
 Defined results: a null or empty text has no n-grams and is linked with nothing; a text shorter
 than n words is one n-gram; equal texts are one class, tied to the smallest id; rows with equal ids
@@ -37,8 +40,9 @@ from pyspark.sql import functions as F
 from . import common
 from .graph import components
 
-#: Cells of the counting sketch: its size is fixed, whatever the corpus holds.
+#: Cells of the counting sketch of words: its size is fixed, whatever the corpus holds.
 CELLS = 1 << 16
+CELL = np.uint64(CELLS - 1)
 _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -68,15 +72,30 @@ class Grams:
             out.append(h)
         return np.array(out, dtype=np.uint64)
 
-    def __call__(self, text: str) -> np.ndarray:
-        w = self.words(text)
-        if not len(w):
-            return w
+    def hashes(self, w: np.ndarray) -> np.ndarray:
+        """One hash per place of an n-gram in a sequence of words."""
         n = self.n if len(w) >= self.n else len(w)
         x = mixed(w[: len(w) - n + 1] + np.uint64(n))
         for k in range(1, n):
             x = mixed(x * _ODD1 + w[k : len(w) - n + 1 + k] * _ODD2)
-        return np.unique(x)
+        return x
+
+    def of_words(self, w: np.ndarray) -> np.ndarray:
+        return np.unique(self.hashes(w)) if len(w) else w
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.of_words(self.words(text))
+
+    def weighed(self, text: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams and the sum of their words' weights, larger for more frequent words."""
+        w = self.words(text)
+        if not len(w):
+            return w, w
+        x = self.hashes(w)
+        of = weights[(w & CELL).astype(np.int64)]
+        sums = np.add.reduce([of[k : k + len(x)] for k in range(len(w) - len(x) + 1)])
+        grams, at = np.unique(x, return_index=True)
+        return grams, sums[at]
 
 
 #: Columns of the parity sketch, 64 bits each; and of its two halves folded, which go with every prefix row.
@@ -103,17 +122,16 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def profile(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, key, parity sketch) per row, key of the whole set; and (cell, count) partial sketches."""
+    """(doc_id, n_shingles, key, parity sketch) per row, key of the whole set; and (cell, count) partial sketches of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         grams, cells = Grams(n), np.zeros(CELLS, dtype=np.int64)
         for ids, texts in common.by_text(batches):
             sizes, keys, odd = [], [], []
             for t in texts:
-                g = grams(t)
-                cells += np.bincount((g & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) if len(g) > 4096 else 0
-                if len(g) <= 4096:
-                    np.add.at(cells, (g & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                words = grams.words(t)
+                np.add.at(cells, (words & CELL).astype(np.int64), 1)
+                g = grams.of_words(words)
                 sizes.append(len(g))
                 keys.append(xxhash.xxh3_128_digest(g.tobytes()))
                 odd.append(parity(g))
@@ -128,15 +146,16 @@ def profile(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
 def prefixes(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
     """(token, doc_id, size, pos) of every n-gram in a prefix; equal sets of one task give rows once, for the smallest id."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    # Whole numbers, made once: sums of them are the same on every machine.
+    shared = docs.sparkSession.sparkContext.broadcast(np.rint(64 * np.log2(1 + counts)).astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        grams, rank = Grams(n), shared.value
+        grams, weights = Grams(n), shared.value
         seen: dict[bytes, int] = {}
         for ids, texts in common.by_text(batches):
             out = defaultdict(list)
             for doc, t in zip(ids, texts):
-                g = grams(t)
+                g, weight = grams.weighed(t, weights)
                 if not len(g) or doc is None:
                     continue
                 key = xxhash.xxh3_128_digest(g.tobytes())
@@ -144,7 +163,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataF
                     continue
                 seen[key] = doc
                 p = prefix_size(len(g), percent)
-                first = g[np.lexsort((g, rank[(g & np.uint64(CELLS - 1)).astype(np.int64)]))[:p]]
+                first = g[np.lexsort((g, weight))[:p]]
                 out["token"].append(signed(first))
                 out["doc_id"].append(np.full(p, doc, np.int64))
                 out["size"].append(np.full(p, len(g), np.int64))
@@ -247,7 +266,8 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90, star_rounds: int = 2,
     for round_ in range(star_rounds + 1):
         if round_:
             now = labelled()
-        open_ = now.groupBy("token").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2"), F.min(F.struct("pos", "size", "doc_id", "comp", *FOLDED)).alias("hub")).filter("_c1 < _c2").select("token", "hub")
+        first = [F.xxhash64("doc_id", F.lit(round_)).alias("_by")] if round_ else []
+        open_ = now.groupBy("token").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2"), F.min(F.struct(*first, "pos", "size", "doc_id", "comp", *FOLDED)).alias("hub")).filter("_c1 < _c2").select("token", "hub")
         if round_ < star_rounds:
             hubs = open_.select("token", *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("doc_id", "size", "pos", "comp", *FOLDED)))
             both = now.join(hubs, "token").filter(F.col("comp") != F.col("h_comp"))
