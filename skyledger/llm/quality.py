@@ -81,20 +81,18 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return common.map_batches(rows, run, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, chars array<long>")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = 20, share: float = 0.05, keep_share: float = 0.5, least_words: int = 50) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = 20, keep_share: float = 0.5, least_words: int = 50) -> DataFrame:
     """Statistics and verdict per row.
 
-    A line is boilerplate on a host when more than ``least_docs`` of its documents and more than
-    ``share`` of them have it. A document is rejected when its lines left hold less than
+    A line is boilerplate on a host when more than ``least_docs`` of its documents have it, however
+    large the host is. A document is rejected when its lines left hold less than
     ``keep_share`` of its characters, when it has fewer than ``least_words`` words, or when more than
     half of its words repeat.
     """
     stats = common.saved(statistics(docs, id_col, text_col, host_col).withColumn("_row", F.monotonically_increasing_id()), "quality")
-    sizes = stats.groupBy("host").agg(F.count("*").alias("_docs"))
     lines = stats.select("_row", "host", F.explode(F.arrays_zip("lines", "chars")).alias("l")).select("_row", "host", F.col("l.lines").alias("_line"), F.col("l.chars").alias("_chars"))
-    often = lines.groupBy("host", "_line").agg(F.count("*").alias("_n")).filter(F.col("_n") > least_docs)
-    limits = often.join(sizes, "host").filter(F.col("_n") > F.col("_docs") * share).select("host", "_line")
-    removed = lines.join(limits, ["host", "_line"]).groupBy("_row").agg(F.sum("_chars").alias("_removed"), F.count("*").alias("n_boilerplate_lines"))
+    often = lines.groupBy("host", "_line").agg(F.count("*").alias("_n")).filter(F.col("_n") > least_docs).select("host", "_line")
+    removed = lines.join(often, ["host", "_line"]).groupBy("_row").agg(F.sum("_chars").alias("_removed"), F.count("*").alias("n_boilerplate_lines"))
     total = F.coalesce(F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = total - F.coalesce("_removed", F.lit(0))

@@ -150,6 +150,15 @@ def test_quality_removes_lines_that_a_host_repeats(spark):
     assert all(got[k] == (True, 1) for k in range(40)) and all(got[100 + k] == (False, 8) for k in range(40))
 
 
+def test_quality_limit_is_the_same_on_large_and_small_hosts(spark):
+    name = lambda k: "".join(chr(97 + int(d)) for d in f"{k:04d}")
+    body = lambda k: " ".join(f"w{name(k)}x{name(j)}" for j in range(60))
+    text = lambda k, n, m: body(k) + "\nthe line of thirty" * (k < n) + "\nthe line of twenty" * (k < m)
+    table = [(k, text(k, 30, 20), "large") for k in range(1000)] + [(2000 + k, text(k, 30, 20), "small") for k in range(40)]
+    got = by_id(quality.judge(spark.createDataFrame(table, "doc_id long, text string, source string")), "kept", "n_boilerplate_lines")
+    assert got == {i: (True, int(i % 2000 < 30)) for i, _, _ in table}
+
+
 def test_ngram_join(docs, rows):
     sets = {}
     for i, text, _ in rows:
