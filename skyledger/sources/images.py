@@ -17,8 +17,8 @@ SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12:
 WIDTH, HEIGHT, MAKE, MODEL, ORIENTATION, XMP, EXIF_IFD, GPS_IFD, TAKEN, FOCAL, FOCAL35, ISO = 256, 257, 271, 272, 274, 700, 34665, 34853, 36867, 37386, 41989, 34855
 SUB_IFDS = 330
 DJI = ("AbsoluteAltitude", "RelativeAltitude", "GimbalRollDegree", "GimbalYawDegree", "GimbalPitchDegree", "FlightRollDegree", "FlightYawDegree", "FlightPitchDegree", "FlightXSpeed", "FlightYSpeed", "FlightZSpeed")
-#: Bytes of a file that are read for metadata.
-HEADER_BYTES = 4 << 20
+#: Tags that are decoded; others, which may hold whole images, are passed over.
+READ = frozenset((WIDTH, HEIGHT, MAKE, MODEL, ORIENTATION, XMP, EXIF_IFD, GPS_IFD, TAKEN, FOCAL, FOCAL35, ISO, SUB_IFDS, *range(1, 7)))
 SCHEMA = "path string, kind string, width int, height int, make string, model string, orientation int, taken string, focal_mm double, focal35_mm double, iso int, lat double, lat_ref string, lon double, lon_ref string, alt double, alt_ref int, progressive boolean" + "".join(f", {n} double" for n in DJI)
 
 
@@ -43,7 +43,7 @@ class Tiff:
             tag, kind, count = struct.unpack_from(o + "HHI", d, e)
             size = SIZES.get(kind, 0) * count
             p = e + 8 if size <= 4 else struct.unpack_from(o + "I", d, e + 8)[0]
-            if size and p + size <= len(d):
+            if tag in READ and size and p + size <= len(d):
                 out[tag] = self._values(kind, count, p)
         end = at + 2 + 12 * n
         return out, struct.unpack_from(o + "I", d, end)[0] if end + 4 <= len(d) else 0
@@ -141,7 +141,7 @@ def read_header(data: bytes) -> dict:
 
 
 def metadata(files: DataFrame) -> DataFrame:
-    """One row per file of the binaryFile source; only the header's bytes go to Python."""
+    """One row per file of the binaryFile source. Files go to Python whole: directories of a TIFF may lie anywhere, and a JPEG's segments before its scan have no limit."""
 
     kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
     fields = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in SCHEMA.split(", ")])
@@ -149,15 +149,15 @@ def metadata(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, head in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, content in zip(*batch.columns):
                 try:
-                    got = read_header(head)
+                    got = read_header(content.as_py())
                 except (ValueError, struct.error, TypeError):
                     got = {}
-                rows.append({"path": path} | got)
+                rows.append({"path": path.as_py()} | got)
             yield pa.RecordBatch.from_pylist(rows, schema=fields)
 
-    raw = files.select("path", F.substring("content", 1, HEADER_BYTES).alias("head")).mapInArrow(run, SCHEMA)
+    raw = files.select("path", "content").mapInArrow(run, SCHEMA)
     pair = numeric.gps_pair(numeric.hemisphere(F.col("lat"), F.col("lat_ref")), numeric.hemisphere(F.col("lon"), F.col("lon_ref")))
     telemetry = {re.sub(r"(?<!^)(?=[A-Z])", "_", n).lower(): F.col(n) for n in DJI}
     return raw.withColumn("_gps", pair).select(

@@ -143,6 +143,30 @@ def test_image_headers(spark, tmp_path):
     rows = {text_of(r["path"]): r["format"] for r in imports.candidates(images.files(spark, str(tmp_path))).collect()}
     assert rows == {"a.jpg": "jpeg", "bad.jpg": "jpeg", "empty.jpg": "magic_mismatch"}
 
+def far_tiff(far=5 << 20):
+    """A TIFF whose main, sub, EXIF and GPS directories and XMP packet all lie past ``far``."""
+    xmp = b'<x drone-dji:RelativeAltitude="+80.5" />'
+    rat = struct.pack("<6I", 6, 1, 30, 1, 0, 1)
+    long = lambda tag, v: (tag, 4, 1, struct.pack("<I", v))
+    sub_at = far + 2 + 12 * 6 + 4
+    exif_at = sub_at + 2 + 12 * 2 + 4
+    gps_at = exif_at + 2 + 12 + 4
+    rat_at = gps_at + 2 + 12 * 4 + 4
+    main = [long(256, 160), long(257, 120), (700, 1, len(xmp), struct.pack("<I", rat_at + 24)), long(330, sub_at), long(34665, exif_at), long(34853, gps_at)]
+    place = struct.pack("<I", rat_at)
+    body = ifd(main, far) + ifd([long(256, 4000), long(257, 3000)], sub_at) + ifd([(34855, 3, 1, struct.pack("<HH", 100, 0))], exif_at)
+    body += ifd([(1, 2, 2, b"S\0\0\0"), (2, 5, 3, place), (3, 2, 2, b"E\0\0\0"), (4, 5, 3, place)], gps_at) + rat + xmp
+    return b"II*\0" + struct.pack("<I", far) + bytes(far - 8) + body
+
+
+def test_image_headers_that_lie_far_into_the_file(spark, tmp_path):
+    (tmp_path / "a.dng").write_bytes(far_tiff())
+    segment = b"\xff\xe3\xff\xff" + bytes(0xFFFD)
+    (tmp_path / "b.jpg").write_bytes(b"\xff\xd8" + segment * 70 + jpeg()[2:])
+    cols = ("kind", "width", "height", "iso", "latitude", "longitude", "relative_altitude")
+    got = {text_of(r["path"]): tuple(r[c] for c in cols) for r in images.metadata(images.files(spark, str(tmp_path))).collect()}
+    assert got == {"a.dng": ("tiff", 4000, 3000, 100, -6.5, 6.5, 80.5), "b.jpg": ("jpeg", 400, 300, None, -6.5, pytest.approx(106.01), 80.5)}
+
 
 def text_of(path):
     return path.rsplit("/", 1)[1]
