@@ -30,6 +30,8 @@ from . import common
 GROUP_ROWS = 200_000
 #: Texts beyond this many characters are encoded in parts.
 PART_CHARS = 1 << 16
+#: Its id follows those of the words; it has no space, so that ``parts`` never cuts it.
+SPECIAL = "<|endoftext|>"
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -49,7 +51,10 @@ def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
 
 
 def encoder(vocabulary: str):
-    """text -> list of ids, by a file of ``public_tokenizers``: ``.json`` by tokenizers, ``.tiktoken`` (the same ids, faster) by tiktoken."""
+    """text -> list of ids, by a file of ``public_tokenizers``: ``.json`` by tokenizers, ``.tiktoken`` (the same ids, faster) by tiktoken.
+
+    The special token is read where a text holds it, as tokenizers does; none is added.
+    """
     import public_tokenizers
 
     path = common.local_path("public_tokenizers", vocabulary)
@@ -57,13 +62,13 @@ def encoder(vocabulary: str):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         return lambda text: tok.encode(text, add_special_tokens=False).ids
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    enc = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
+    return lambda text: enc.encode(text, allowed_special="all")
 
 
 def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", max_len: int = 2048, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

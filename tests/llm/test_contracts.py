@@ -242,6 +242,22 @@ def test_packing(docs, rows):
     assert len(seqs) <= -(-total // 2048) * 1.03 + 1
 
 
+def test_packing_takes_the_ids_of_an_unmodified_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end} ", f"x{end}y", "<|endoftext", f"one\n{end}\n two  {end}  three", *((f"w {'z' * k} {end}{end} a{end} b " * 2500) for k in range(5)), ("x" * (1 << 16)) + f"{end} b"]
+    want = {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 1]
+    for vocabulary in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"):
+        got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary).collect()
+        assert {(r["doc_id"], r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]) for r in got} == {
+            (i, s, len(x[s : s + 2048]), len(x), zlib.crc32(b"".join(v.to_bytes(4, "little") for v in x[s : s + 2048]))) for i, x in want.items() for s in range(0, len(x), 2048)
+        }
+
+
 def test_packed_sequences_hold_the_ids(docs):
     placed = packing.packed(docs, with_ids=True).cache()
     out = {r["sequence_id"]: r for r in packing.sequences(placed).collect()}
