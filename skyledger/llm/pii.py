@@ -48,7 +48,10 @@ INVISIBLE = "​‌‍⁠﻿­"
 _ODD = re.compile("[" + "".join(map(re.escape, [*HOMOGLYPHS, *INVISIBLE])) + "]")
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _SPOKEN = re.compile(rf"(?:\bplus\s+)?\b(?:{_WORD}|[0-9]+)(?:[\s,.-]{{1,3}}(?:{_WORD}|[0-9]+))+\b", re.I)
+#: The same across parentheses, as phone numbers have them.
+_BRACKETED = re.compile(rf"(?:\bplus[\s(]+)?\b(?:{_WORD}|[0-9]+)(?:[\s,.()-]{{1,3}}(?:{_WORD}|[0-9]+))+\b", re.I)
 _SPOKEN_WORD = re.compile(rf"\b(?:{_WORD})\b", re.I)
+_SPOKEN_ANY = re.compile(rf"\b(?:plus|{_WORD})\b", re.I)
 _TOKEN = re.compile(rf"plus|{_WORD}|[0-9]+", re.I)
 _MARKED = re.compile(r"[ ]*(?:\[[ ]*(at|dot|@|\.)[ ]*\]|\([ ]*(at|dot|@|\.)[ ]*\)|\{[ ]*(at|dot|@|\.)[ ]*\}|<[ ]*(at|dot|@|\.)[ ]*>|(?<=[ ])(at)(?=[ ]+[A-Za-z0-9-]+[ ]+dot[ ])|(?<=[ ])(dot)(?=[ ])|(?<=[ ])(@)(?=[ ]))[ ]*", re.I)
 _HINT = re.compile(r"[\[({<] *(?:at|dot|@|\.) *[\])}>]|\bdot\b| @ ", re.I)
@@ -117,11 +120,11 @@ def _glyphs(tape: Tape) -> Tape:
     return tape.rewrite([(*m.span(), HOMOGLYPHS.get(m[0], "")) for m in _ODD.finditer(tape.text)])
 
 
-def _digits(tape: Tape) -> Tape:
-    """Runs of spelled digits, with digits among them, become digits; separators in a run vanish."""
+def _digits(tape: Tape, runs: re.Pattern, words: re.Pattern, least: int) -> Tape:
+    """Runs that hold at least so many of ``words``, with digits among them, become digits; separators in a run vanish."""
     edits = []
-    for m in _SPOKEN.finditer(tape.text):
-        if len(_SPOKEN_WORD.findall(m[0])) < 3:
+    for m in runs.finditer(tape.text):
+        if len(words.findall(m[0])) < least:
             continue
         at = None
         for t in _TOKEN.finditer(tape.text, *m.span()):
@@ -143,28 +146,29 @@ def _signs(tape: Tape) -> Tape:
     return tape.rewrite(edits)
 
 
-def normalised(text: str) -> Tape | None:
-    """The transducers in turn, or None if nothing in the text calls for them."""
-    odd, spelled, signs = _ODD.search(text), None, None
-    tape = Tape(text) if not odd else _glyphs(Tape(text))
-    if spelled := _SPOKEN_WORD.search(tape.text):
-        if len(_SPOKEN_WORD.findall(tape.text)) >= 3:
-            tape = _digits(tape)
-    if signs := _HINT.search(tape.text):
-        tape = _signs(tape)
-    return tape if (odd or spelled or signs) and tape.text != text else None
+def normalised(text: str) -> list[Tape]:
+    """What the transducers make of a text, where it differs: only the runs that are plainly spelled, then all that hold a spelled digit or sign, then those across parentheses.
+
+    A number may stand beside an ordinary "one", so the later ones add to the earlier ones.
+    """
+    base = Tape(text) if not _ODD.search(text) else _glyphs(Tape(text))
+    tapes = [base]
+    if _SPOKEN_ANY.search(base.text):
+        tapes = [_digits(base, *how) for how in ((_SPOKEN, _SPOKEN_WORD, 3), (_SPOKEN, _SPOKEN_ANY, 1), (_BRACKETED, _SPOKEN_ANY, 1))]
+    if _HINT.search(base.text):
+        tapes = [_signs(t) for t in tapes]
+    seen = {text}
+    return [t for t in tapes if not (t.text in seen or seen.add(t.text))]
 
 
 def detect(text: str) -> tuple[list[Span], list[Span]]:
-    """(plain spans, all spans), each by start, then kind. A disguised one that overlaps a plain one of its kind is left out."""
+    """(plain spans, all spans), each by start, then kind. A disguised one that overlaps a plain one of its kind, or one of an earlier tape, is left out."""
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(plain(text), key=order)
-    more = []
-    if tape := normalised(text):
-        for kind, s, e in plain(tape.text):
-            span = (kind, tape.starts[s], tape.ends[e - 1])
-            if not any(k == kind and a < span[2] and span[1] < b for k, a, b in base):
-                more.append(span)
+    more: list[Span] = []
+    for tape in normalised(text):
+        spans = [(kind, tape.starts[s], tape.ends[e - 1]) for kind, s, e in plain(tape.text)]
+        more += [x for x in spans if not any(k == x[0] and a < x[2] and x[1] < b for k, a, b in base + more)]
     return base, sorted({*base, *more}, key=order)
 
 

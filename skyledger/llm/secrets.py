@@ -1,8 +1,9 @@
 """Secrets in texts, by patterns and by two character Markov models; Spark expressions only.
 
 The models give the probability of a character after the one before it, one for random strings and
-one for ordinary identifiers, both counted from labelled samples. A long token with letters and
-digits is a secret when its mean log-likelihood ratio is above a threshold. Spans are code points,
+one for ordinary identifiers, both counted from labelled samples. A token of 16 characters or more
+with a letter is a secret when its mean log-likelihood ratio is above a threshold, which rises as
+tokens shorten below 20 characters. Spans are code points,
 end exclusive.
 
 Defined results: a null or empty text has no spans; null ids stay null; repeated rows give repeated results.
@@ -21,8 +22,8 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
-#: Tokens that the models judge: 20 characters or more, with a letter and a digit.
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: Tokens that the models judge: 16 characters or more, with a letter.
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"
 GUARD = f"(?:{ASSIGN})|{ACCESS}|{HEX}|{TOKEN}"
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_-"
 MASK = "[SECRET]"
@@ -106,12 +107,23 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(codes, first, step, lambda a: a["sum"] / F.greatest(a["n"], F.lit(1)))
 
 
+def random(token: Column, model: list[float], threshold: float) -> Column:
+    """Whether a token is taken for a secret.
+
+    The mean of few transitions varies more, so that each character short of 20 raises the threshold by 0.125.
+    Tokens that are short or of letters alone may be ruled lines: a repeated sign counts once there.
+    """
+    bare = F.regexp_replace(token, "=+$", "")
+    judged = F.when((F.length(bare) >= 20) & bare.rlike("[0-9]"), bare).otherwise(F.regexp_replace(bare, r"([+/_-])\1+", "$1"))
+    return (F.length(judged) >= 16) & (ratio(judged, model) >= threshold + 0.125 * F.greatest(20 - F.length(judged), F.lit(0)))
+
+
 def found(docs: DataFrame, model: list[float], threshold: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the array columns ``_base`` and ``_spans`` (base and the models' spans, sorted)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
     base = F.array_sort(F.concat(spans(text, ASSIGN, "assign", lambda m: F.length(m) >= 6, 2), spans(text, ACCESS, "access"), spans(text, HEX, "hex")))
-    more = spans(text, TOKEN, "random", lambda m: ratio(m, model) >= threshold)
+    more = spans(text, TOKEN, "random", lambda m: random(m, model, threshold))
     out = docs.withColumn("_guard", text.rlike(GUARD)).withColumn("_base", F.when(F.col("_guard"), base).otherwise(none)).withColumn("_more", F.when(F.col("_guard"), more).otherwise(none))
     inside = lambda s: F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     return out.withColumn("_spans", F.array_sort(F.concat("_base", F.filter("_more", lambda s: ~inside(s))))).drop("_guard", "_more")

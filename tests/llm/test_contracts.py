@@ -67,6 +67,17 @@ def test_pii_sees_through_disguises():
     assert {("email", "jane [at] example [dot] org"), ("email", "аdmin@exаmple.com"), ("card", "four one one one 1111 1111 1111")} <= found
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "said"),
+    [
+        ("plus 44 20 7946 zero 958 now", "phone", "plus 44 20 7946 zero 958"), ("plus 44 20 7946 0958", "phone", "plus 44 20 7946 0958"), ("call plus one (555) 010 9999", "phone", "plus one (555) 010 9999"),
+        ("card 4111 1111 one 111 1111", "card", "4111 1111 one 111 1111"), ("card four 111 1111 1111 1111", "card", "four 111 1111 1111 1111"), ("at 10.0.0.one", "ip", "10.0.0.one"), ("one ４111 1111 1111 1111", "card", "４111 1111 1111 1111"),
+    ],
+)
+def test_pii_with_few_spelled_digits(text, kind, said):
+    assert [(k, text[s:e]) for k, s, e in pii.detect(text)[1]] == [(kind, said)]
+
+
 def test_secrets(spark, docs, rows):
     pats = {"assign": r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
     ok = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
@@ -90,6 +101,15 @@ def test_secret_model_tells_random_from_ordinary(spark):
     assert out == {0: "key [SECRET] here", 1: texts[1][1]}
 
 
+def test_secret_model_judges_short_and_letter_only_tokens(spark):
+    model = secrets.train(secrets.labelled_samples(spark))
+    hidden = ["zQ8vT2pLx9RkWm4N", "k7Jw0XbT9sLqVd3Hz", "zQvTpLxRkWmNcYbHsJdFgUaE", "qZxKvWpJtRmBfYhG", "x7gq2vk9zt4wj8bp"]
+    plain = ["internationalization", "Rechtsschutzversicherungsgesellschaften", "getUserAccountManager", "user_session_token", "config/report/branch", "state-of-the-art-response", "TITLE---------------", "a_________________b", "1234567890123456"]
+    table = [(k, f"see {x} here") for k, x in enumerate(hidden + plain)]
+    got = by_id(secrets.scan(spark.createDataFrame(table, "doc_id long, text string"), model), "spans")
+    assert got == {k: (f"random:4:{4 + len(x)}",) if k < len(hidden) else ("",) for k, x in enumerate(hidden + plain)}
+
+
 def test_license(docs, rows):
     phrases = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
     got = by_id(license.scan(docs), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
