@@ -93,6 +93,13 @@ def overlapping_tiles(sizes: DataFrame, tile: int, fraction: float = 0.25) -> Da
     return rows.withColumn("x_max", F.least(F.col("x_min") + tile, "width")).withColumn("y_max", F.least(F.col("y_min") + tile, "height"))
 
 
+def shares(at: str, size: int | Column, out: int | Column) -> Column:
+    """A row for each output cell that a pixel covers: struct<k, w>, the cell and the share."""
+    lo, hi = F.col(at) * out / size, (F.col(at) + 1) * out / size
+    cells = F.sequence(F.floor(lo).cast("int"), F.least(F.ceil(hi).cast("int") - 1, (out if isinstance(out, Column) else F.lit(out)) - 1))
+    return F.explode(F.transform(cells, lambda k: F.struct(k.alias("k"), (F.least(hi, k + 1.0) - F.greatest(lo, k.cast("double"))).alias("w"))))
+
+
 def box_filtered(pixels: DataFrame, width: int, height: int, target: int, bands: tuple[str, ...] = ("r", "g", "b"), img: str = "img") -> DataFrame:
     """Area average down to a longest side of ``target``; never up. A pixel gives each output pixel the share it covers."""
     scale = max(width, height) / target
@@ -100,11 +107,6 @@ def box_filtered(pixels: DataFrame, width: int, height: int, target: int, bands:
         return pixels
     w, h = max(1, round(width / scale)), max(1, round(height / scale))
 
-    def shares(at: str, size: int, out: int) -> Column:
-        lo, hi = F.col(at) * out / size, (F.col(at) + 1) * out / size
-        cells = F.sequence(F.floor(lo).cast("int"), F.least(F.ceil(hi).cast("int") - 1, F.lit(out - 1)))
-        return F.explode(F.transform(cells, lambda k: F.struct(k.alias("k"), (F.least(hi, k + 1.0) - F.greatest(lo, k.cast("double"))).alias("w"))))
-
     rows = pixels.withColumn("_x", shares("x", width, w)).withColumn("_y", shares("y", height, h)).withColumn("_w", F.col("_x.w") * F.col("_y.w"))
     agg = rows.groupBy(img, F.col("_x.k").alias("x"), F.col("_y.k").alias("y")).agg(*(F.floor(F.sum(F.col(b) * F.col("_w")) / F.sum("_w") + 0.5).cast("int").alias(b) for b in bands))
     return agg

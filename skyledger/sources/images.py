@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric, times
+from ..operators.pixels import shares
 
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
 # TIFF and EXIF tags.
@@ -171,12 +172,18 @@ def files(spark: SparkSession, path: str, glob: str = "*.{jpg,jpeg,JPG,JPEG,dng,
 
 
 def pixels(spark: SparkSession, path: str, longest: int | None = None) -> DataFrame:
-    """(path, x, y, r, g, b) of images that the JVM decodes; every k-th row and column where the longer side exceeds ``longest``."""
+    """(path, x, y, r, g, b) of images that the JVM decodes; averaged by area where the longer side exceeds ``longest``."""
     img = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    step = F.lit(1) if longest is None else F.greatest(F.ceil(F.greatest("width", "height") / longest), F.lit(1)).cast("int")
-    grid = img.withColumn("_s", step).select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / F.col("_s")).cast("int"))).alias("y"))
-    row = grid.withColumn("_row", F.substring("data", F.col("y") * F.col("_s") * F.col("width") * F.col("nChannels") + 1, F.col("width") * F.col("nChannels")))
-    px = row.select(F.col("origin").alias("path"), "nChannels", "_row", "_s", "y", F.explode(F.sequence(F.lit(0), F.floor((F.col("width") - 1) / F.col("_s")).cast("int"))).alias("x"))
+    grid = img.select("*", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+    row = grid.withColumn("_row", F.substring("data", F.col("y") * F.col("width") * F.col("nChannels") + 1, F.col("width") * F.col("nChannels")))
+    px = row.select(F.col("origin").alias("path"), "width", "height", "nChannels", "_row", "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
     # Bytes are in the order blue, green, red.
-    at = lambda k: F.conv(F.hex(F.substring("_row", F.col("x") * F.col("_s") * F.col("nChannels") + F.when(F.col("nChannels") == 1, 1).otherwise(k), F.lit(1))), 16, 10).cast("int")
-    return px.select("path", "x", "y", at(3).alias("r"), at(2).alias("g"), at(1).alias("b"))
+    at = lambda k: F.conv(F.hex(F.substring("_row", F.col("x") * F.col("nChannels") + F.when(F.col("nChannels") == 1, 1).otherwise(k), F.lit(1))), 16, 10).cast("int")
+    rgb = px.select("path", "width", "height", "x", "y", at(3).alias("r"), at(2).alias("g"), at(1).alias("b"))
+    if longest is None:
+        return rgb.drop("width", "height")
+    scale = F.greatest(F.greatest("width", "height") / longest, F.lit(1.0))
+    side = lambda size: F.greatest(F.floor(F.col(size) / scale + 0.5).cast("int"), F.lit(1))
+    cells = rgb.withColumn("_x", shares("x", F.col("width"), side("width"))).withColumn("_y", shares("y", F.col("height"), side("height"))).withColumn("_w", F.col("_x.w") * F.col("_y.w"))
+    mean = lambda band: F.floor(F.sum(F.col(band) * F.col("_w")) / F.sum("_w") + 0.5).cast("int").alias(band)
+    return cells.groupBy("path", F.col("_x.k").alias("x"), F.col("_y.k").alias("y")).agg(*map(mean, "rgb"))

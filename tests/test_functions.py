@@ -180,6 +180,15 @@ def test_png_pixels(spark, tmp_path):
     assert got == {(0, 0): (255, 0, 0), (1, 0): (0, 255, 0), (0, 1): (0, 0, 255), (1, 1): (9, 8, 7)}
 
 
+def test_png_pixels_shrink_by_area(spark, tmp_path):
+    raw = b"".join(b"\0" + bytes(v for x in range(4) for v in (10 * x, y, 200 if (x, y) == (1, 1) else 0)) for y in range(2))
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    (tmp_path / "p.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    got = lambda n: {(r["x"], r["y"]): (r["r"], r["g"], r["b"]) for r in images.pixels(spark, str(tmp_path), n).collect()}
+    assert got(2) == {(0, 0): (5, 1, 50), (1, 0): (25, 1, 0)}
+    assert got(4) == got(None)
+
+
 def test_geojson_round_trip(spark, tmp_path):
     ring = [[0, 0], [1, 0], [1, 1], [0, 1]]
     feats = [{"type": "Feature", "properties": {"name": " A "}, "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"type": "Feature", "properties": {}, "geometry": {"type": "Point", "coordinates": []}}, {"type": "Feature", "properties": None, "geometry": None}]
