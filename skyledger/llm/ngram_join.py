@@ -1,49 +1,49 @@
 """Exact Jaccard self-join on word n-grams by rare-first prefix filtering, and its components.
 
-N-grams are ordered rare first by how frequent their words are in the whole corpus, as a counting
-sketch of words tells. A vocabulary grows far slower than the n-grams made of it, so the sketch keeps
-its size and still tells rare from frequent as the corpus grows. Any order that all documents share
-gives a complete join, so collisions in the sketch cost time only. Two documents at
-or above the threshold share an n-gram of their prefixes, and what can't reach the threshold is cut
-by length, position and parity (below) before a pair is verified on its n-grams, once.
-
-The parity filter is a suffix filter over the whole set: a document carries, for each of 512 ranges of
-hashes, whether it has an odd number of n-grams there. Every n-gram that only one of two documents
-has turns one of these bits, so two documents with more different bits than n-grams they may differ in
-can't link, and no link is lost.
-
-A group of near copies has a link between almost any two members. Pairs are therefore formed in
-stars first: in each group that shares a prefix n-gram every member meets the one that has it
-earliest in its own order (a text without n-grams of its own, as an original has), and in the next
-round one that a hash picks, as the first would only be met again. After two rounds of stars only
-members of different components still meet, all of them, so that no component is missed and no
-group is expanded into all pairs.
+Documents with equal sets of n-grams are one class and are joined once. Two classes at or above the
+threshold share an n-gram of their prefixes, whatever order of n-grams all of them share. The order
+here takes a sample of the n-grams (by hash) first, rare before frequent by exact counts of classes,
+and then all others. The sample is a few times as large as a prefix, so prefixes come from it, and
+only its n-grams are shuffled and counted. A class whose prefix holds only n-grams of its own links
+with nothing and is done: of ordinary text about one class in six is left.
+
+Classes that share a prefix n-gram form a group. In a small group all pairs that the length and
+position filters allow are verified. In a large one, which near copies of one text or a common passage
+make, every member is verified with the hub only, the member with the fewest n-grams of its own, as
+an original has. Two members x and y that link, not both linked with the hub h, have differences
+x ^ h and y ^ h that overlap: as sets, |x ^ y| is at most c (|x| + |y|) with c = (100 - percent) /
+(100 + percent), while |y ^ h| is above c (|y| + |h|). So members are joined again by prefixes of
+their differences, what the hub lacks first: independent edits of one text share none of it, and
+groups that are still large go to the next round in the same way. No group is expanded into all
+pairs, and no link is lost.
+
+Pairs are verified once, on their n-grams, after a suffix filter over parts of the hash range.
 
 Defined results: a null or empty text has no n-grams and is linked with nothing; a text shorter
 than n words is one n-gram; equal texts are one class, tied to the smallest id; rows with equal ids
-are one document for links; null ids are linked with nothing; an empty table gives no rows.
+are one document for links; null ids are linked with nothing; texts may be of any length, one at a
+time is held in memory; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .graph import components
 
-#: Cells of the counting sketch of words: its size is fixed, whatever the corpus holds.
-CELLS = 1 << 16
-CELL = np.uint64(CELLS - 1)
 _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: N-grams that a task gathers before it sends them, and classes of one of them from which it is frequent.
+FLUSH, HOT = 1 << 20, 64
+#: Largest group in which all pairs are formed, rounds of hubs, and rows of a list of ids that may be broadcast.
+SMALL, ROUNDS, BROADCAST_ROWS = 8, 5, 1_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -86,27 +86,6 @@ class Grams:
     def __call__(self, text: str) -> np.ndarray:
         return self.of_words(self.words(text))
 
-    def weighed(self, text: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams and the sum of their words' weights, larger for more frequent words."""
-        w = self.words(text)
-        if not len(w):
-            return w, w
-        x = self.hashes(w)
-        of = weights[(w & CELL).astype(np.int64)]
-        sums = np.add.reduce([of[k : k + len(x)] for k in range(len(w) - len(x) + 1)])
-        grams, at = np.unique(x, return_index=True)
-        return grams, sums[at]
-
-
-#: Columns of the parity sketch, 64 bits each; and of its two halves folded, which go with every prefix row.
-PARITY, FOLDED = [f"s{k}" for k in range(8)], ["t0", "t1"]
-
-
-def parity(grams: np.ndarray) -> np.ndarray:
-    """Eight longs: the parity of the number of n-grams in each of 512 ranges of hashes."""
-    odd = np.bincount((grams >> np.uint64(55)).astype(np.int64), minlength=512) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
 
 def needed(total: int | np.ndarray, percent: int):
     """Least intersection of two sets whose sizes add up to ``total``."""
@@ -121,107 +100,167 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def profile(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, key, parity sketch) per row, key of the whole set; and (cell, count) partial sketches of words."""
+def sampled(grams: np.ndarray, eighths: int) -> np.ndarray:
+    """Which n-grams come first in the order; by other bits than those that sort them."""
+    return (grams & np.uint64(7)) < np.uint64(eighths)
+
+
+def class_of(grams: np.ndarray) -> bytes:
+    """128 bits of a whole set; the first 64 name its class."""
+    return xxhash.xxh3_128_digest(grams.tobytes())
+
+
+def name_of(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+def profile(docs: DataFrame, n: int, eighths: int) -> DataFrame:
+    """(doc_id, n_shingles, n_sampled, key, cls) per row: key is that of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        grams, cells = Grams(n), np.zeros(CELLS, dtype=np.int64)
+        grams = Grams(n)
         for ids, texts in common.by_text(batches):
-            sizes, keys, odd = [], [], []
-            for t in texts:
-                words = grams.words(t)
-                np.add.at(cells, (words & CELL).astype(np.int64), 1)
-                g = grams.of_words(words)
-                sizes.append(len(g))
-                keys.append(xxhash.xxh3_128_digest(g.tobytes()))
-                odd.append(parity(g))
-            yield {"doc_id": ids, "n_shingles": sizes, "key": keys, "cell": [None] * len(ids), **dict(zip(PARITY, np.array(odd, dtype=np.int64).reshape(-1, 8).T))}
-        at = np.flatnonzero(cells)
-        none = [None] * len(at)
-        yield {"doc_id": none, "n_shingles": cells[at], "key": none, "cell": at, **dict.fromkeys(PARITY, none)}
-
-    both = common.saved(common.map_batches(docs, run, "doc_id long, n_shingles long, key binary, cell long" + "".join(f", {c} long" for c in PARITY)), "profile")
-    return both.filter("cell is null").drop("cell"), both.filter("cell is not null").select("cell", F.col("n_shingles").alias("count"))
-
-
-def prefixes(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(token, doc_id, size, pos) of every n-gram in a prefix; equal sets of one task give rows once, for the smallest id."""
-    # Whole numbers, made once: sums of them are the same on every machine.
-    shared = docs.sparkSession.sparkContext.broadcast(np.rint(64 * np.log2(1 + counts)).astype(np.int64))
+            sets = [grams(t) for t in texts]
+            keys = [class_of(g) for g in sets]
+            yield {"doc_id": ids, "n_shingles": [len(g) for g in sets], "n_sampled": [int(sampled(g, eighths).sum()) for g in sets], "key": keys, "cls": [name_of(k) for k in keys]}
+
+    return common.saved(common.map_batches(docs, run, "doc_id long, n_shingles long, n_sampled long, key binary, cls long"), "profile")
+
+
+def sent(cls: np.ndarray, gram: np.ndarray) -> dict:
+    """Rows for n-grams of the sample that a task holds.
+
+    One that ``HOT`` classes have is frequent, whatever other tasks have. Its rows are dealt by class, so
+    that no task gets all of them, and a row without a class tells the others' that it is.
+    """
+    order = np.argsort(gram, kind="stable")
+    cls, gram = cls[order], gram[order]
+    starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+    runs = np.diff(np.append(starts, len(gram)))
+    hot = np.repeat(runs >= HOT, runs)
+    told = gram[starts[runs >= HOT]]
+    k = len(gram)
+    return {
+        "at": np.concatenate((np.where(hot, cls, gram), told)),
+        "gram": np.concatenate((gram, told)),
+        "cls": pa.array(np.concatenate((cls, told)), mask=np.arange(k + len(told)) >= k),
+        "weight": np.concatenate((np.where(hot, HOT, 1), np.full(len(told), HOT))),
+    }
+
+
+def repeated(docs: DataFrame, n: int, percent: int, eighths: int) -> DataFrame:
+    """(cls, gram, often): n-grams of the sample that several classes have, often being how many, up to HOT; and
+    with HOT + 1 those beyond the sample that the prefix of a class needs whose sample is too small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        grams, weights = Grams(n), shared.value
-        seen: dict[bytes, int] = {}
+        grams = Grams(n)
+        held: list[tuple] = []
+        size, seen = 0, set()
         for ids, texts in common.by_text(batches):
-            out = defaultdict(list)
+            beyond = defaultdict(list)
             for doc, t in zip(ids, texts):
-                g, weight = grams.weighed(t, weights)
+                g = grams(t)
                 if not len(g) or doc is None:
                     continue
-                key = xxhash.xxh3_128_digest(g.tobytes())
-                if seen.get(key, doc + 1) <= doc:
+                cls = name_of(class_of(g))
+                if cls in seen:
                     continue
-                seen[key] = doc
-                p = prefix_size(len(g), percent)
-                first = g[np.lexsort((g, weight))[:p]]
-                out["token"].append(signed(first))
-                out["doc_id"].append(np.full(p, doc, np.int64))
-                out["size"].append(np.full(p, len(g), np.int64))
-                out["pos"].append(np.arange(p, dtype=np.int64))
-            if out:
-                yield {k: np.concatenate(v) for k, v in out.items()}
-
-    return common.map_batches(docs, run, "token long, doc_id long, size long, pos long")
-
-
-def can_link(a: str, b: str, percent: int) -> Column:
-    """Length and position: whether two prefix rows can be the first shared n-gram of a pair that links."""
-    c = F.col
-    small, large = F.least(f"{a}size", f"{b}size"), F.greatest(f"{a}size", f"{b}size")
-    most = F.least(c(f"{a}size") - c(f"{a}pos"), c(f"{b}size") - c(f"{b}pos"))
-    return (100 * small >= percent * large) & ((100 + percent) * most >= percent * (c(f"{a}size") + c(f"{b}size")))
-
-
-def folded() -> list[Column]:
-    """A range that is the union of others has the parity of their sum, so a folded sketch is one of wider ranges."""
-    both = lambda cols: reduce(lambda x, y: x.bitwiseXOR(y), (F.col(c) for c in cols))
-    return [both(PARITY[:4]).alias("t0"), both(PARITY[4:]).alias("t1")]
-
-
-def parity_allows(a: str, b: str, percent: int, cols: list[str]) -> Column:
-    """Whether the parity sketches leave it open that two rows' documents link; a row without a sketch is open."""
-    total = F.col(f"{a}size") + F.col(f"{b}size")
-    most = total - 2 * F.floor((percent * total + 99 + percent) / (100 + percent))
-    bits = reduce(lambda x, y: x + y, (F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in cols))
-    return F.coalesce(bits <= most, F.lit(True))
-
-
-def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) that link. Texts of the ids that occur are brought in by two joins."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    # A repeated id stands for its first text.
-    some = common.saved(docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "pair-texts")
-    rows = pairs.join(some.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(some.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
+                seen.add(cls)
+                inside = sampled(g, eighths)
+                some = signed(g[inside])
+                held.append((np.full(len(some), cls, np.int64), some))
+                size += len(some)
+                short = prefix_size(len(g), percent) - len(some)
+                if short > 0:
+                    rest = signed(g[~inside][:short])
+                    beyond["at"].append(np.full(len(rest), cls, np.int64))
+                    beyond["gram"].append(rest)
+            if beyond:
+                at = np.concatenate(beyond["at"])
+                yield {"at": at, "gram": np.concatenate(beyond["gram"]), "cls": at, "weight": np.full(len(at), HOT + 1)}
+            if size >= FLUSH:
+                yield sent(*(np.concatenate(x) for x in zip(*held)))
+                held, size, seen = [], 0, set()
+        if size:
+            yield sent(*(np.concatenate(x) for x in zip(*held)))
+
+    rows = common.map_batches(docs, run, "at long, gram long, cls long, weight long")
+    group = Window.partitionBy("at", "gram")
+    counted = rows.select("*", F.dense_rank().over(group.orderBy("cls")).alias("_n"), F.lag("cls").over(group.orderBy("cls")).alias("_before"))
+    counted = counted.select("*", F.max("_n").over(group).alias("_n_all"), F.max("weight").over(group).alias("_w"))
+    often = F.when(F.col("_w") >= HOT, F.col("_w")).otherwise(F.least("_n_all", F.lit(HOT)))
+    return counted.filter("cls is not null and not (_before <=> cls) and (_n_all > 1 or _w > 1)").select("cls", "gram", often.alias("often"))
+
+
+def tokens(sizes: DataFrame, docs: DataFrame, n: int, percent: int, eighths: int) -> DataFrame:
+    """Rows of groups: the prefix n-grams, shared ones, of classes that have any; see ``grouped``."""
+    classes = sizes.filter("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.max("n_shingles").alias("size"), F.max("n_sampled").alias("_sampled"))
+    # A class that several tasks have comes once, though frequent n-grams of it may have come by two ways.
+    rows = repeated(docs, n, percent, eighths).repartition("cls").groupBy("cls", "gram").agg(F.max("often").alias("often")).join(classes, "cls")
+    rows = rows.withColumn("own", F.col("_sampled") - F.sum(F.when(F.col("often") <= HOT, 1).otherwise(0)).over(Window.partitionBy("cls")))
+    prefix = F.col("size") - F.ceil(percent * F.col("size") / 100) + 1
+    rows = rows.withColumn("pos", F.col("own") + F.row_number().over(Window.partitionBy("cls").orderBy("often", "gram")) - 1).filter(F.col("pos") < prefix)
+    return common.saved(rows.select(F.col("gram").alias("key"), "cls", "size", F.col("size").alias("len"), "pos", "own", F.lit(False).alias("linked")), "tokens")
+
+
+def grouped(rows: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, cls, size, len, pos, own, linked) of groups in which a link may be missing: of small groups, and of large ones with their hub."""
+    hub = F.min(F.struct("own", "cls", "size")).alias("hub")
+    groups = rows.groupBy("key").agg(F.count("*").alias("_n"), F.min("linked").alias("_all"), hub).filter("_n > 1 and not _all").select("key", "_n", "hub")
+    met = common.saved(rows.join(groups, "key"), "met")
+    return met.filter(F.col("_n") <= small).drop("_n", "hub"), met.filter(F.col("_n") > small).filter("cls != hub.cls").select("cls", F.col("hub.cls").alias("h_cls"), "own").distinct()
+
+
+def can_link(percent: int) -> Column:
+    """Length and position: whether two rows of a group can be the first that a pair that links has in common."""
+    total = F.col("size") + F.col("h_size")
+    apart = F.floor((100 - percent) * total / (100 + percent))
+    most = F.least(F.col("len") - F.col("pos"), F.col("h_len") - F.col("h_pos"))
+    return (100 * F.least("size", "h_size") >= percent * F.greatest("size", "h_size")) & (2 * most >= F.col("len") + F.col("h_len") - apart)
+
+
+def differences(x: np.ndarray, h: np.ndarray, percent: int, linked: bool) -> tuple[np.ndarray, int]:
+    """(prefix of x ^ h, its whole size): long enough to meet any y that links with x, one of the two not being linked with h.
+
+    The overlap of x ^ h and y ^ h is (|x ^ h| + |y ^ h| - |x ^ y|) / 2. By the triangle inequality that is
+    at least |x ^ h| - |x ^ y|; and more than (|x ^ h| + c (|h| - |x|)) / 2 if y is not linked with h.
+    """
+    both = np.concatenate((np.setdiff1d(x, h, assume_unique=True), np.setdiff1d(h, x, assume_unique=True)))
+    a = len(both)
+    least = max(1, a - (100 - percent) * (len(x) + 100 * len(x) // percent) // (100 + percent))
+    if linked:
+        least = max(least, -(-(a * (100 + percent) + (100 - percent) * (len(h) - len(x))) // (2 * (100 + percent))))
+    return both[: max(0, a - least + 1)], a
+
+
+def verify(pairs: DataFrame, some: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links (u, v) among ``pairs`` (u, v, own, hub), rows for the next round from pairs with hubs); ``some`` has texts of classes."""
+    rows = pairs.join(some.select(F.col("cls").alias("u"), F.col("text").alias("a")), "u").join(some.select(F.col("cls").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "own", "hub", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         grams = Grams(n)
         last: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                us, vs = [], []
-                for u, v, a, b in zip(*(c.to_pylist() for c in batch.slice(k, 500).columns)):
+            for k in range(0, batch.num_rows, 200):
+                out = defaultdict(list)
+                for u, v, own, hub, a, b in zip(*(c.to_pylist() for c in batch.slice(k, 200).columns)):
                     if v not in last:
                         last = {v: grams(b)}
                     x, y = grams(a), last[v]
-                    if reaches(x, y, percent):
-                        us.append(u)
-                        vs.append(v)
-                if us:
-                    yield {"u": us, "v": vs}
-
-    found = common.saved(common.map_batches(rows, run, "u long, v long"), "links")
-    common.discard(some)
-    return found
+                    linked = reaches(x, y, percent)
+                    keys, a_size = differences(x, y, percent, linked) if hub else (x[:0], 0)
+                    m = len(keys) + linked
+                    # A link is a row without a key.
+                    out["key"].append(np.concatenate((np.zeros(int(linked), np.int64), signed(mixed(keys ^ mixed(np.array([v], np.int64).view(np.uint64)))))))
+                    out["at"].append(np.concatenate((np.full(int(linked), -1), np.arange(len(keys)))))
+                    for name, value in (("u", u), ("v", v), ("size", len(x)), ("len", a_size), ("own", own)):
+                        out[name].append(np.full(m, value, np.int64))
+                    out["linked"].append(np.full(m, linked))
+                if out:
+                    yield {name: np.concatenate(parts) for name, parts in out.items()}
+
+    found = common.saved(common.map_batches(rows, run, "key long, at long, u long, v long, size long, len long, own long, linked boolean"), "verified")
+    return found.filter("at < 0").select("u", "v"), found.filter("at >= 0").select("key", F.col("u").alias("cls"), "size", "len", F.col("at").alias("pos"), "own", "linked")
 
 
 def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -236,55 +275,59 @@ def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 2 * len(x) + 2 * len(y) - 2 * len(np.union1d(x, y)) >= 2 * need
 
 
-def links(docs: DataFrame, n: int = 3, percent: int = 90, star_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(profile of every row, links u > v that make up all components)."""
+def class_texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(cls, text) of the wanted classes, one text each: that of the class's document whose n-grams they are."""
+    ids = common.saved(reps.join(wanted, "cls").select(F.col("v").alias("_id"), F.col("cls").alias("_cls")), "wanted")
+    few = ids.count() <= BROADCAST_ROWS
+    rows = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id")).select("_cls", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        grams, seen = Grams(n), set()
+        for classes, texts in common.by_text(batches):
+            # A repeated id may have other texts too.
+            kept = [(c, t) for c, t in zip(classes, texts) if name_of(class_of(grams(t))) == c and c not in seen]
+            seen.update(c for c, _ in kept)
+            yield {"cls": [c for c, _ in kept], "text": [t for _, t in kept]}
+
+    out = common.saved(common.map_batches(rows, run, "cls long, text string"), "class-texts")
+    common.discard(ids)
+    return out
+
+
+def links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(profile of every row, links (u, v) of documents that make up all components)."""
     spark = docs.sparkSession
     rows = common.texts(docs, id_col, text_col)
-    sizes, cells = profile(rows, n)
-    counts = np.zeros(CELLS, dtype=np.int64)
-    for r in cells.groupBy("cell").agg(F.sum("count").alias("count")).collect():
-        counts[r["cell"]] = r["count"]
-    full = sizes.filter("n_shingles > 0 and doc_id is not null")
-    firsts = full.groupBy("key").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).filter("n > 1").select("key", "v")
-    same = common.saved(full.join(firsts, "key").filter("doc_id != v").select(F.col("doc_id").alias("u"), "v").distinct(), "equal")
-    tokens = common.saved(prefixes(rows, counts, n, percent), "prefixes")
-    often = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    # Texts that equal another's are represented by it.
-    # An id of several rows has no sketch, as one row's would not hold for the others.
-    sketches = full.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max("n_shingles").alias("size"), *(F.min(c).alias(c) for c in PARITY)).select("doc_id", "size", *(F.when(F.col("_rows") == 1, F.col(c)).alias(c) for c in PARITY))
-    met = common.saved(tokens.join(often, "token").join(same.select(F.col("u").alias("doc_id")), "doc_id", "left_anti").join(sketches.select("doc_id", *folded()), "doc_id", "left"), "met")
-    common.discard(tokens)
-    found, tried = same, None
-    release = lambda: common.release(spark)
-    release()
-
-    def labelled() -> DataFrame:
-        comps = components(found)
-        return common.saved(met.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id"), "labelled")
-
-    now = met.withColumn("comp", F.col("doc_id"))
-    for round_ in range(star_rounds + 1):
-        if round_:
-            now = labelled()
-        first = [F.xxhash64("doc_id", F.lit(round_)).alias("_by")] if round_ else []
-        open_ = now.groupBy("token").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2"), F.min(F.struct(*first, "pos", "size", "doc_id", "comp", *FOLDED)).alias("hub")).filter("_c1 < _c2").select("token", "hub")
-        if round_ < star_rounds:
-            hubs = open_.select("token", *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("doc_id", "size", "pos", "comp", *FOLDED)))
-            both = now.join(hubs, "token").filter(F.col("comp") != F.col("h_comp"))
-        else:
-            still = common.saved(now.join(open_.select("token"), "token"), "still")
-            other = still.select("token", *(F.col(c).alias(f"h_{c}") for c in ("doc_id", "size", "pos", "comp", *FOLDED)))
-            both = still.join(other, "token").filter(F.col("comp") < F.col("h_comp"))
-        pairs = both.filter(can_link("", "h_", percent) & parity_allows("", "h_", percent, FOLDED)).select(F.greatest("doc_id", "h_doc_id").alias("u"), F.least("doc_id", "h_doc_id").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        for side in "uv":
-            pairs = pairs.join(sketches.select(F.col("doc_id").alias(side), *(F.col(c).alias(side + c) for c in ("size", *PARITY))), side)
-        pairs = common.saved(pairs.filter(parity_allows("u", "v", percent, PARITY)).select("u", "v"), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = found.union(verify(pairs, rows, n, percent))
-        release()
-    return sizes, found
+    # The sample is two to three times as large as a prefix.
+    eighths = min(8, max(2, -(-2 * 8 * (100 - percent) // 100)))
+    sizes = profile(rows, n, eighths)
+    reps = common.saved(sizes.filter("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.first("cls").alias("cls"), F.min("doc_id").alias("v")).select("cls", "v"), "classes")
+    now = tokens(sizes, rows, n, percent, eighths)
+    common.release(spark)
+    found, tried, some = None, None, None
+    for round_ in range(rounds):
+        few, hubs = grouped(now, small if round_ < rounds - 1 else 1 << 62)
+        other = few.select("key", *(F.col(c).alias(f"h_{c}") for c in ("cls", "size", "len", "pos", "linked")))
+        pairs = few.join(other, "key").filter("cls > h_cls and not (linked and h_linked)").filter(can_link(percent)).select(F.col("cls").alias("u"), F.col("h_cls").alias("v")).distinct()
+        hubs = common.saved(hubs.select(F.col("cls").alias("u"), F.col("h_cls").alias("v"), "own", F.lit(True).alias("hub")), "hubs")
+        known = hubs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        tried = known if tried is None else tried.union(known)
+        pairs = common.saved(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        tried = tried.union(pairs)
+        every = pairs.select("u", "v", F.lit(0).cast("long").alias("own"), F.lit(False).alias("hub")).union(hubs)
+        if some is None:
+            # Later rounds see classes that have met a hub in the first.
+            some = class_texts(rows, reps, every.select(F.col("u").alias("cls")).union(every.select(F.col("v").alias("cls"))).distinct(), n)
+        more, now = verify(every, some, n, percent)
+        found = more if found is None else found.union(more)
+        common.release(spark)
+        if hubs.isEmpty():
+            break
+    # Documents are tied to the first of their class, and classes that link by their first documents.
+    same = sizes.filter("n_shingles > 0 and doc_id is not null").join(reps, "cls").filter("doc_id != v").select(F.col("doc_id").alias("u"), "v")
+    first = lambda side: reps.select(F.col("cls").alias(side), F.col("v").alias(f"_{side}"))
+    between = found.join(first("u"), "u").join(first("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    return sizes, same.union(between)
 
 
 def joined(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

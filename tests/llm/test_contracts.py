@@ -1,6 +1,7 @@
 """Every text operator against a plain brute-force version, on the smallest tables plus odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -223,6 +224,34 @@ def test_ngram_join_chains_of_near_copies(spark):
     assert by_id(ngram_join.joined(df), "component_id") == {i: (c,) for i, c in comp.items()}
 
 
+def test_ngram_join_dense_groups(spark):
+    """Near copies around the threshold: hubs, their differences and several rounds, against all pairs."""
+    rng = random.Random(5)
+    table = []
+    for c in range(3):
+        base = [f"b{c}w{k}" for k in range(120)]
+        sub = [w if rng.random() > 0.08 else f"s{c}x{k}" for k, w in enumerate(base)]
+        for k in range(40):
+            rate = rng.choice((0.01, 0.02, 0.03, 0.05, 0.1))
+            table.append((len(table), " ".join(w if rng.random() > rate else f"e{rng.random()}" for w in (sub if k % 3 else base))))
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    for n, percent, small in ((3, 90, 2), (5, 80, 8)):
+        sets = {i: {tuple(t.split()[k : k + n]) for k in range(len(t.split()) - n + 1)} for i, t in table}
+        pairs = [(a, b) for a in sets for b in sets if b < a and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+        root = {i: i for i in sets}
+        for _ in sets:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        assert len(set(root.values())) > 3
+        links = {(max(r), min(r)) for r in ngram_join.links(df, n, percent, small=small)[1].collect()}
+        assert links <= set(pairs)
+        got = {i: i for i in sets}
+        for _ in sets:
+            for a, b in links:
+                got[a] = got[b] = min(got[a], got[b])
+        assert got == root
+
+
 def test_suffix_dedup(docs, rows):
     seen, expect = set(), {}
     for i, text, _ in sorted(rows, key=lambda r: r[0]):
