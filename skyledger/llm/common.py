@@ -39,6 +39,11 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def small_or_not(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``table``, a saved one of a few numbers a row, to be broadcast if it is counted to have at most ``rows`` rows; else joins shuffle it."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of tables that ``saved`` made, once nothing reads them any more."""
     for df in tables:

@@ -5,7 +5,8 @@ threshold share an n-gram of their prefixes, whatever order of n-grams all of th
 here takes a sample of the n-grams (by hash) first, rare before frequent by exact counts of classes,
 and then all others. The sample is a few times as large as a prefix, so prefixes come from it, and
 only its n-grams are shuffled and counted. A class whose prefix holds only n-grams of its own links
-with nothing and is done: of ordinary text about one class in six is left.
+with nothing and is done: of ordinary text about one class in six is left. Those are joined by the
+same order over all their n-grams.
 
 Classes that share a prefix n-gram form a group. In a small group all pairs that the length and
 position filters allow are verified. In a large one, which near copies of one text or a common passage
@@ -14,8 +15,7 @@ an original has. Two members x and y that link, not both linked with the hub h,
 x ^ h and y ^ h that overlap: as sets, |x ^ y| is at most c (|x| + |y|) with c = (100 - percent) /
 (100 + percent), while |y ^ h| is above c (|y| + |h|). So members are joined again by prefixes of
 their differences, what the hub lacks first: independent edits of one text share none of it, and
-groups that are still large go to the next round in the same way. No group is expanded into all
-pairs, and no link is lost.
+groups that are still large go to the next round in the same way. No link is lost.
 
 Pairs are verified once, on their n-grams, after a suffix filter over parts of the hash range.
 
@@ -42,8 +42,10 @@ from .graph import components
 _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: N-grams that a task gathers before it sends them, and classes of one of them from which it is frequent.
 FLUSH, HOT = 1 << 20, 64
-#: Largest group in which all pairs are formed, rounds of hubs, and rows of a list of ids that may be broadcast.
-SMALL, ROUNDS, BROADCAST_ROWS = 8, 5, 1_000_000
+#: Largest group in which all pairs are formed, and rounds of hubs.
+SMALL, ROUNDS = 8, 5
+#: The side of a row that is a link.
+LINK = -1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -200,15 +202,26 @@ def tokens(sizes: DataFrame, docs: DataFrame, n: int, percent: int, eighths: int
     rows = rows.withColumn("own", F.col("_sampled") - F.sum(F.when(F.col("often") <= HOT, 1).otherwise(0)).over(Window.partitionBy("cls")))
     prefix = F.col("size") - F.ceil(percent * F.col("size") / 100) + 1
     rows = rows.withColumn("pos", F.col("own") + F.row_number().over(Window.partitionBy("cls").orderBy("often", "gram")) - 1).filter(F.col("pos") < prefix)
-    return common.saved(rows.select(F.col("gram").alias("key"), "cls", "size", F.col("size").alias("len"), "pos", "own", F.lit(False).alias("linked")), "tokens")
+    return common.saved(rows.select(F.col("gram").alias("key"), "cls", "size", F.col("size").alias("len"), "pos", "own", F.lit(0).cast("long").alias("side")), "tokens")
 
 
 def grouped(rows: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, cls, size, len, pos, own, linked) of groups in which a link may be missing: of small groups, and of large ones with their hub."""
+    """(rows of groups whose pairs are formed at once, members of large groups with their hub).
+
+    A row is (key, cls, size, len, pos, own, side): the n-gram at ``pos`` in a list of ``len``. Sides 1 and 2
+    only meet each other, and at once if one of them has few rows; all rows of side 0 meet.
+    """
     hub = F.min(F.struct("own", "cls", "size")).alias("hub")
-    groups = rows.groupBy("key").agg(F.count("*").alias("_n"), F.min("linked").alias("_all"), hub).filter("_n > 1 and not _all").select("key", "_n", "hub")
+    of = lambda side: F.sum((F.col("side") == side).cast("long"))
+    groups = rows.groupBy("key").agg(F.count("*").alias("_n"), of(1).alias("_n1"), of(2).alias("_n2"), hub)
+    large = (F.least("_n1", "_n2") > small) | ((F.col("_n1") + F.col("_n2") == 0) & (F.col("_n") > small))
+    groups = groups.filter("_n > 1 and (_n1 + _n2 = 0 or _n1 > 0 and _n2 > 0)").select("key", large.alias("_large"), "hub")
     met = common.saved(rows.join(groups, "key"), "met")
-    return met.filter(F.col("_n") <= small).drop("_n", "hub"), met.filter(F.col("_n") > small).filter("cls != hub.cls").select("cls", F.col("hub.cls").alias("h_cls"), "own").distinct()
+    # A hub need not be of the group: the best that any member has met serves all groups of an original's copies.
+    big = met.filter("_large").select("key", "cls", "own", "hub")
+    best = big.join(big.groupBy("cls").agg(F.min("hub").alias("best")), "cls").groupBy("key").agg(F.min("best").alias("best"))
+    members = big.select("key", "cls", "own").join(best.select("key", F.col("best.cls").alias("h_cls")), "key")
+    return met.filter("not _large").drop("_large", "hub"), members.filter("cls != h_cls").select("cls", "h_cls", "own").distinct()
 
 
 def can_link(percent: int) -> Column:
@@ -219,18 +232,19 @@ def can_link(percent: int) -> Column:
     return (100 * F.least("size", "h_size") >= percent * F.greatest("size", "h_size")) & (2 * most >= F.col("len") + F.col("h_len") - apart)
 
 
-def differences(x: np.ndarray, h: np.ndarray, percent: int, linked: bool) -> tuple[np.ndarray, int]:
-    """(prefix of x ^ h, its whole size): long enough to meet any y that links with x, one of the two not being linked with h.
+def differences(x: np.ndarray, h: np.ndarray, percent: int, linked: bool) -> tuple[np.ndarray, int, list[tuple[int, int]]]:
+    """(x ^ h, what h lacks first; its size; prefixes of it as (side, size)) to meet any y that links with x, one of the two not being linked with h.
 
     The overlap of x ^ h and y ^ h is (|x ^ h| + |y ^ h| - |x ^ y|) / 2. By the triangle inequality that is
-    at least |x ^ h| - |x ^ y|; and more than (|x ^ h| + c (|h| - |x|)) / 2 if y is not linked with h.
+    at least |x ^ h| - |x ^ y|; and more than (|x ^ h| + c (|h| - |x|)) / 2 if y is not linked with h. Those not
+    linked with the hub meet each other on side 0; on sides 1 and 2 those linked meet those not linked.
     """
     both = np.concatenate((np.setdiff1d(x, h, assume_unique=True), np.setdiff1d(h, x, assume_unique=True)))
     a = len(both)
-    least = max(1, a - (100 - percent) * (len(x) + 100 * len(x) // percent) // (100 + percent))
-    if linked:
-        least = max(least, -(-(a * (100 + percent) + (100 - percent) * (len(h) - len(x))) // (2 * (100 + percent))))
-    return both[: max(0, a - least + 1)], a
+    any_y = max(1, a - (100 - percent) * (len(x) + 100 * len(x) // percent) // (100 + percent))
+    apart = max(any_y, (a * (100 + percent) + (100 - percent) * (len(h) - len(x))) // (2 * (100 + percent)) + 1)
+    prefix = lambda least: max(0, a - least + 1)
+    return both, a, [(1, prefix(apart))] if linked else [(0, prefix(apart)), (2, prefix(any_y))]
 
 
 def verify(pairs: DataFrame, some: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -243,24 +257,32 @@ def verify(pairs: DataFrame, some: DataFrame, n: int, percent: int) -> tuple[Dat
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 out = defaultdict(list)
+
+                def put(side: int, keys: np.ndarray, **values: int) -> None:
+                    out["key"].append(signed(keys))
+                    out["pos"].append(np.arange(len(keys)))
+                    out["side"].append(np.full(len(keys), side))
+                    for name, value in values.items():
+                        out[name].append(np.full(len(keys), value, np.int64))
+
                 for u, v, own, hub, a, b in zip(*(c.to_pylist() for c in batch.slice(k, 200).columns)):
                     if v not in last:
                         last = {v: grams(b)}
                     x, y = grams(a), last[v]
                     linked = reaches(x, y, percent)
-                    keys, a_size = differences(x, y, percent, linked) if hub else (x[:0], 0)
-                    m = len(keys) + linked
-                    # A link is a row without a key.
-                    out["key"].append(np.concatenate((np.zeros(int(linked), np.int64), signed(mixed(keys ^ mixed(np.array([v], np.int64).view(np.uint64)))))))
-                    out["at"].append(np.concatenate((np.full(int(linked), -1), np.arange(len(keys)))))
-                    for name, value in (("u", u), ("v", v), ("size", len(x)), ("len", a_size), ("own", own)):
-                        out[name].append(np.full(m, value, np.int64))
-                    out["linked"].append(np.full(m, linked))
+                    if linked:
+                        put(LINK, x[:1], u=u, v=v, size=len(x), len=0, own=own)
+                    if hub:
+                        both, size, prefixes = differences(x, y, percent, linked)
+                        for side, m in prefixes:
+                            # Side 0 has keys of its own.
+                            keys = mixed(both[:m] ^ mixed(np.array([v ^ -(side > 0)], np.int64).view(np.uint64)))
+                            put(side, keys, u=u, v=v, size=len(x), len=size, own=own)
                 if out:
                     yield {name: np.concatenate(parts) for name, parts in out.items()}
 
-    found = common.saved(common.map_batches(rows, run, "key long, at long, u long, v long, size long, len long, own long, linked boolean"), "verified")
-    return found.filter("at < 0").select("u", "v"), found.filter("at >= 0").select("key", F.col("u").alias("cls"), "size", "len", F.col("at").alias("pos"), "own", "linked")
+    found = common.saved(common.map_batches(rows, run, "key long, pos long, side long, u long, v long, size long, len long, own long"), "verified")
+    return found.filter(f"side = {LINK}").select("u", "v"), found.filter(f"side != {LINK}").select("key", F.col("u").alias("cls"), "size", "len", "pos", "own", "side")
 
 
 def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -278,8 +300,7 @@ def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def class_texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(cls, text) of the wanted classes, one text each: that of the class's document whose n-grams they are."""
     ids = common.saved(reps.join(wanted, "cls").select(F.col("v").alias("_id"), F.col("cls").alias("_cls")), "wanted")
-    few = ids.count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id")).select("_cls", "text")
+    rows = docs.join(common.small_or_not(ids), F.col("doc_id") == F.col("_id")).select("_cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         grams, seen = Grams(n), set()
@@ -302,22 +323,26 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id"
     eighths = min(8, max(2, -(-2 * 8 * (100 - percent) // 100)))
     sizes = profile(rows, n, eighths)
     reps = common.saved(sizes.filter("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.first("cls").alias("cls"), F.min("doc_id").alias("v")).select("cls", "v"), "classes")
-    now = tokens(sizes, rows, n, percent, eighths)
+    first = tokens(sizes, rows, n, percent, eighths)
+    common.release(spark)
+    met = first.join(first.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key"), "key")
+    some = class_texts(rows, reps, met.select("cls").distinct(), n)
+    common.release(spark)
+    # The same again with what is left, a part of the texts, and all of its n-grams.
+    now = tokens(sizes.withColumn("n_sampled", F.col("n_shingles")), some, n, percent, 8)
+    common.discard(first)
     common.release(spark)
-    found, tried, some = None, None, None
+    found, tried = None, None
     for round_ in range(rounds):
         few, hubs = grouped(now, small if round_ < rounds - 1 else 1 << 62)
-        other = few.select("key", *(F.col(c).alias(f"h_{c}") for c in ("cls", "size", "len", "pos", "linked")))
-        pairs = few.join(other, "key").filter("cls > h_cls and not (linked and h_linked)").filter(can_link(percent)).select(F.col("cls").alias("u"), F.col("h_cls").alias("v")).distinct()
+        other = few.select("key", *(F.col(c).alias(f"h_{c}") for c in ("cls", "size", "len", "pos", "side")))
+        pairs = few.join(other, "key").filter("side = 0 and cls > h_cls or side = 1 and h_side = 2").filter(can_link(percent)).select(F.greatest("cls", "h_cls").alias("u"), F.least("cls", "h_cls").alias("v")).distinct()
         hubs = common.saved(hubs.select(F.col("cls").alias("u"), F.col("h_cls").alias("v"), "own", F.lit(True).alias("hub")), "hubs")
         known = hubs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         tried = known if tried is None else tried.union(known)
         pairs = common.saved(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         tried = tried.union(pairs)
         every = pairs.select("u", "v", F.lit(0).cast("long").alias("own"), F.lit(False).alias("hub")).union(hubs)
-        if some is None:
-            # Later rounds see classes that have met a hub in the first.
-            some = class_texts(rows, reps, every.select(F.col("u").alias("cls")).union(every.select(F.col("v").alias("cls"))).distinct(), n)
         more, now = verify(every, some, n, percent)
         found = more if found is None else found.union(more)
         common.release(spark)
