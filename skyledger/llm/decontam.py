@@ -71,5 +71,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float =
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those that contain a test item."""
-    found = leaks(docs, benchmark, n, threshold, id_col, text_col).select(F.col("doc_id").alias("_leaked")).distinct()
+    found = common.small_or_not(common.saved(leaks(docs, benchmark, n, threshold, id_col, text_col).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked"))
     return docs.join(found, docs[id_col] == found["_leaked"], "left_anti")
