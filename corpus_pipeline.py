@@ -16,9 +16,12 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group linked by 5-word shingles at a Jaccard similarity of 0.8 or more."""
-    found = ngram_join.joined(docs, n=5, percent=80).filter("component_id < doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    once = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(docs.filter("doc_id is null"))
-    return once.join(found, once["doc_id"] == found["_copy"], "left_anti")
+    ids = ngram_join.joined(docs, n=5, percent=80).groupBy("doc_id").agg(F.min("component_id").alias("_first"), F.count("*").alias("_rows"))
+    # Most ids have one row and stay; the others are few or many, so their number is looked at.
+    marked = common.saved(ids.filter("doc_id is not null and (_first < doc_id or _rows > 1)").select(F.col("doc_id").alias("_marked"), "_first"), "marked")
+    out, again = common.small_or_not(marked.select("_marked")), common.small_or_not(marked.filter("_first = _marked").select("_marked"))
+    rest = docs.join(out, docs["doc_id"] == out["_marked"], "left_anti")
+    return rest.unionByName(docs.join(again, docs["doc_id"] == again["_marked"], "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +49,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn, from the documents of ``sf_dir``."""
     docs = common.read(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = common.saved(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            common.discard(before)
+        before = docs
     return docs
