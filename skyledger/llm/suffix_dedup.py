@@ -12,9 +12,10 @@ only logarithmically many. The scan decides most entries at once: one whose cont
 is covered whole. Entries whose gram is known with another context lie at the borders of repeats;
 there the single strings are read from the texts and compared by hash.
 
-Defined results: a null or empty text has nothing to remove; a null id comes before all others;
-rows with equal ids are one document whose removed ranges apply to each of them; an empty table
-gives no rows.
+Defined results: a null or empty text has nothing to remove; null ids come before all others; rows
+with equal ids, or none, are documents of their own, ordered by text, so that of equal rows one keeps
+its text; a text of any length is scanned in blocks, and is held whole by one task; extra columns are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ from .ngram_join import mixed, signed
 GRAM, BLOCK = 32, 1 << 19
 #: Entries that a task gathers before it looks for those it has twice.
 FLUSH = 1 << 20
-NO_ID = -(1 << 63)
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
@@ -240,8 +240,7 @@ class SuffixFamily:
                         places = np.unique(np.array(places, np.int64))
                         p, m = places >> 8, (places & 255) + 1
                         starts = np.repeat(p, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                        # A row with a repeated id may be shorter than the one that was indexed.
-                        starts = np.unique(starts[starts + length <= len(raw)])
+                        starts = np.unique(starts)
                         for s in range(0, len(starts), BLOCK):
                             some = starts[s : s + BLOCK]
                             h = Hasher(raw[some[0] : some[-1] + length])
@@ -283,16 +282,24 @@ def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
     return out
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, row): row is the id where it is of one row, in all of the table; else rows are numbered by id and text."""
+    if rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return rows.withColumn("row", F.col("doc_id"))
+    return common.saved(rows.orderBy("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def deduplicated(docs: DataFrame, length: int = 100, batches: int = 3, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes kept."""
     spark = docs.sparkSession
-    rows = common.texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    rows = numbered(common.texts(docs, id_col, text_col))
+    by_row = rows.select(F.col("row").alias("doc_id"), "text")
     family = SuffixFamily(spark, length)
-    parts = batches_of(rows, batches)
+    parts = batches_of(by_row, batches)
     for k, part in enumerate(parts):
         family.add(part, last=k == len(parts) - 1)
-    cut = family.removed(rows).groupBy("doc").agg(F.collect_list("place").alias("places"))
-    joined = rows.join(cut, rows.doc_id == cut.doc, "left").select("doc_id", "text", "places")
+    cut = family.removed(by_row).groupBy("doc").agg(F.collect_list("place").alias("places"))
+    joined = rows.join(cut, rows["row"] == cut["doc"], "left").select("doc_id", "text", "places")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in parts:
@@ -303,13 +310,11 @@ def deduplicated(docs: DataFrame, length: int = 100, batches: int = 3, with_text
                     places = np.array(places or [], np.int64)
                     p = places >> 8
                     change = np.zeros(len(raw) + 1, np.int64)
-                    e = p + (places & 255) + length
-                    inside = e <= len(raw)
-                    np.add.at(change, p[inside], 1)
-                    np.add.at(change, e[inside], -1)
+                    np.add.at(change, p, 1)
+                    np.add.at(change, p + (places & 255) + length, -1)
                     gone = np.cumsum(change)[:-1] > 0
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    values = {"doc_id": None if doc == NO_ID else doc, "n_bytes": len(raw), "n_removed": int(gone.sum()), "n_spans": int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+                    values = {"doc_id": doc, "n_bytes": len(raw), "n_removed": int(gone.sum()), "n_spans": int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
                     for name, v in (values | ({"kept": kept} if with_text else {})).items():
                         out[name].append(v)
                 yield out

@@ -180,6 +180,27 @@ def test_quality_limit_is_the_same_on_large_and_small_hosts(spark):
     assert got == {i: (True, int(i % 2000 < 30)) for i, _, _ in table}
 
 
+def test_suffix_dedup_repeated_ids(spark):
+    """Rows are documents of their own in the order of id and text, nulls first."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(80)) for x in "abc")
+    table = [(1, a), (1, a), (1, b), (1, b[:150]), (None, c), (None, c), (None, a[:120]), (2, b), (3, None), (3, "")]
+    order = sorted(range(len(table)), key=lambda k: (table[k][0] is not None, table[k][0] or 0, table[k][1] is not None, table[k][1] or ""))
+    seen, expect = set(), []
+    for k in order:
+        i, text = table[k]
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - 99):
+            if raw[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(raw[p : p + 100])
+        expect.append((i, len(raw), sum(gone)))
+    for rows, want in ((table, expect), ([], [])):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("place", F.lit(2)).withColumn("doc", F.lit(3))
+        got = [tuple(r) for r in suffix_dedup.deduplicated(df).select("doc_id", "n_bytes", "n_removed").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_ngram_join(docs, rows):
     sets = {}
     for i, text, _ in rows:
