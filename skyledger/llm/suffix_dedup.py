@@ -253,14 +253,20 @@ class SuffixFamily:
                 yield from flush()
 
         found = common.saved(common.map_batches(rows, run, "string long, doc long, place long"), "strings")
+        # The shuffled texts go before the strings are shuffled.
+        del rows, asked
+        common.release(self.spark)
         by = Window.partitionBy("string").orderBy("doc", "place")
         later = found.filter("string is not null").withColumn("rank", F.row_number().over(by)).filter("rank > 1")
-        return found.filter("string is null").select("doc", "place").union(later.select("doc", "place"))
+        out = common.saved(found.filter("string is null").select("doc", "place").union(later.select("doc", "place")), "border")
+        del later
+        common.discard(found)
+        common.release(self.spark)
+        return out
 
     def removed(self, docs: DataFrame) -> DataFrame:
         """(doc, place): runs of strings that stand earlier."""
-        out = common.saved(self.border_strings(docs), "border")
-        common.release(self.spark)
+        out = self.border_strings(docs)
         for c in self.covered:
             out = out.union(c)
         return out
