@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -50,10 +51,11 @@ def discard(*tables: DataFrame) -> None:
         remove(df.sparkSession, df._scratch)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nobody holds any more."""
+def release(spark: SparkSession, wait: float = 0) -> None:
+    """Lets Spark delete the shuffle files of plans that nobody holds any more; its cleaner gets ``wait`` seconds for large ones."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(wait)
 
 
 def remove(spark: SparkSession, path: str) -> None:

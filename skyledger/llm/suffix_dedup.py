@@ -255,7 +255,7 @@ class SuffixFamily:
         found = common.saved(common.map_batches(rows, run, "string long, doc long, place long"), "strings")
         # The shuffled texts go before the strings are shuffled.
         del rows, asked
-        common.release(self.spark)
+        common.release(self.spark, wait=3)
         by = Window.partitionBy("string").orderBy("doc", "place")
         later = found.filter("string is not null").withColumn("rank", F.row_number().over(by)).filter("rank > 1")
         out = common.saved(found.filter("string is null").select("doc", "place").union(later.select("doc", "place")), "border")
