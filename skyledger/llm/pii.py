@@ -5,14 +5,18 @@ which homoglyphs are Latin letters, spelled digits are digits and at/dot disguis
 of its characters keeps the span of source characters it stands for, so identifiers found there map
 back to spans of the source. Spans are code points, end exclusive.
 
-Defined results: a null or empty text has no spans; a null id stays null; repeated rows give repeated results.
+Defined results: a null or empty text has no spans; a null id stays null; repeated rows give repeated
+results; equal spans of two tapes count once; a text of any length is scanned whole, in time in
+proportion to it; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import string
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,7 +57,8 @@ _BRACKETED = re.compile(rf"(?:\bplus[\s(]+)?\b(?:{_WORD}|[0-9]+)(?:[\s,.()-]{{1,
 _SPOKEN_WORD = re.compile(rf"\b(?:{_WORD})\b", re.I)
 _SPOKEN_ANY = re.compile(rf"\b(?:plus|{_WORD})\b", re.I)
 _TOKEN = re.compile(rf"plus|{_WORD}|[0-9]+", re.I)
-_MARKED = re.compile(r"[ ]*(?:\[[ ]*(at|dot|@|\.)[ ]*\]|\([ ]*(at|dot|@|\.)[ ]*\)|\{[ ]*(at|dot|@|\.)[ ]*\}|<[ ]*(at|dot|@|\.)[ ]*>|(?<=[ ])(at)(?=[ ]+[A-Za-z0-9-]+[ ]+dot[ ])|(?<=[ ])(dot)(?=[ ])|(?<=[ ])(@)(?=[ ]))[ ]*", re.I)
+#: Spaces before a marker are taken by _signs; a pattern that starts with them would try each space of a long run.
+_MARKED = re.compile(r"(?:\[[ ]*(at|dot|@|\.)[ ]*\]|\([ ]*(at|dot|@|\.)[ ]*\)|\{[ ]*(at|dot|@|\.)[ ]*\}|<[ ]*(at|dot|@|\.)[ ]*>|(?<=[ ])(at)(?=[ ]+[A-Za-z0-9-]+[ ]+dot[ ])|(?<=[ ])(dot)(?=[ ])|(?<=[ ])(@)(?=[ ]))[ ]*", re.I)
 _HINT = re.compile(r"[\[({<] *(?:at|dot|@|\.) *[\])}>]|\bdot\b| @ ", re.I)
 
 Span = tuple[str, int, int]
@@ -100,18 +105,18 @@ def plain(text: str) -> list[Span]:
 class Tape:
     """A normalised text; starts[i] and ends[i] tell which source characters its i-th stands for."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
+    def __init__(self, text: str, starts: array | None = None, ends: array | None = None):
         self.text = text
-        self.starts = list(range(len(text))) if starts is None else starts
-        self.ends = list(range(1, len(text) + 1)) if ends is None else ends
+        self.starts = array("q", range(len(text))) if starts is None else starts
+        self.ends = array("q", range(1, len(text) + 1)) if ends is None else ends
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Tape:
         """Replaces [start, end) by a string, for edits in order; each new character stands for all that it replaced."""
-        text, starts, ends, at = [], [], [], 0
+        text, starts, ends, at = [], array("q"), array("q"), 0
         for s, e, new in edits:
             text += [self.text[at:s], new]
-            starts += self.starts[at:s] + [self.starts[s]] * len(new)
-            ends += self.ends[at:s] + [self.ends[e - 1]] * len(new)
+            starts += self.starts[at:s] + self.starts[s : s + 1] * len(new)
+            ends += self.ends[at:s] + self.ends[e - 1 : e] * len(new)
             at = e
         return Tape("".join([*text, self.text[at:]]), starts + self.starts[at:], ends + self.ends[at:])
 
@@ -139,10 +144,13 @@ def _digits(tape: Tape, runs: re.Pattern, words: re.Pattern, least: int) -> Tape
 
 
 def _signs(tape: Tape) -> Tape:
-    edits = []
+    edits, done = [], 0
     for m in _MARKED.finditer(tape.text):
-        sign = next(g for g in m.groups() if g).lower()
-        edits.append((*m.span(), {"at": "@", "dot": "."}.get(sign, sign)))
+        sign, start = next(g for g in m.groups() if g).lower(), m.start()
+        while start > done and tape.text[start - 1] == " ":
+            start -= 1
+        done = m.end()
+        edits.append((start, done, {"at": "@", "dot": "."}.get(sign, sign)))
     return tape.rewrite(edits)
 
 
@@ -166,10 +174,16 @@ def detect(text: str) -> tuple[list[Span], list[Span]]:
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(plain(text), key=order)
     more: list[Span] = []
+    # Spans of a kind never overlap, so a new one needs to be held against its neighbours alone.
+    taken = {kind: [(s, e) for k, s, e in base if k == kind] for kind in KINDS}
     for tape in normalised(text):
-        spans = [(kind, tape.starts[s], tape.ends[e - 1]) for kind, s, e in plain(tape.text)]
-        more += [x for x in spans if not any(k == x[0] and a < x[2] and x[1] < b for k, a, b in base + more)]
-    return base, sorted({*base, *more}, key=order)
+        for kind, a, b in plain(tape.text):
+            s, e, had = tape.starts[a], tape.ends[b - 1], taken[kind]
+            at = bisect.bisect_left(had, (s, e))
+            if (at == 0 or had[at - 1][1] <= s) and (at == len(had) or had[at][0] >= e):
+                had.insert(at, (s, e))
+                more.append((kind, s, e))
+    return base, sorted(base + more, key=order)
 
 
 def _said(spans: list[Span]) -> str:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -79,6 +80,25 @@ def test_pii_with_few_spelled_digits(text, kind, said):
     assert [(k, text[s:e]) for k, s, e in pii.detect(text)[1]] == [(kind, said)]
 
 
+def test_pii_takes_time_in_proportion_to_long_texts():
+    found = lambda text: [(k, text[s:e]) for k, s, e in pii.detect(text)[1]]
+    began = time.time()
+    gap, many = " " * 1_000_000, "jane@example.org аdmin@exаmple.com " * 30_000
+    assert found(f"x dot y{gap}z [at] b [dot] org") == [("email", "z [at] b [dot] org")]
+    assert found(f"jane{gap}[at]{gap}b dot org") == [("email", f"jane{gap}[at]{gap}b dot org")]
+    assert found(many) == [("email", w) for w in many.split()]
+    for odd in ("[" * 300_000, "plus" + gap, "at " * 300_000, "1" * 300_000, "one " * 300_000, "+1" * 300_000, "a@" * 300_000):
+        assert not found(odd) or set(odd) <= set("one ")
+    assert time.time() - began < 60
+
+
+def test_pii_empty_table_null_ids_and_clashing_columns(spark):
+    rows = [(None, "a@b.c", "x"), (1, None, "y"), (1, "a@b.c", "z"), (1, "a@b.c", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string").withColumn("n_email", F.lit("no"))
+    assert sorted([tuple(r) for r in pii.scan(df).select("doc_id", "n_email", "spans").collect()], key=str) == sorted([(None, 1, "email:0:5"), (1, 0, ""), (1, 1, "email:0:5"), (1, 1, "email:0:5")], key=str)
+    assert pii.scan(df.limit(0)).count() == 0
+
+
 def test_secrets(spark, docs, rows):
     pats = {"assign": r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
     ok = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
