@@ -4,14 +4,20 @@ Every record is a gzip member of its own. A reading task scans its byte range fo
 takes a place for a member only if a WARC header can be decoded from it, and owns the records that
 start inside its range, wherever they end.
 
+The reader takes any archive whose records are gzip members. Records of other kinds (warcinfo,
+request, metadata and so on) are rows too, with their whole block as payload; what a record doesn't
+say is null. A record is held whole by the task that owns it.
+
 Defined results: a null html is an empty payload; a null id is written as an empty header value and
-read as null; repeated rows give repeated records; an empty table gives no archives and no records.
+read as null; repeated rows give repeated records; an html of any length is one record; extra columns
+are not read; an empty table gives no archives and no records.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from collections import defaultdict
@@ -115,7 +121,26 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str =
 
 
 def _headers(raw: bytes) -> dict[str, str]:
-    return {k.decode().lower(): v.strip().decode() for k, _, v in (x.partition(b":") for x in raw.split(CRLF)[1:]) if k}
+    """Fields by lower-case name; a line that starts with a space or tab goes on with the one before."""
+    lines = re.sub(rb"\r\n[ \t]+", b" ", raw).decode("utf-8", "replace").split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines) if sep}
+
+
+def _number(said: str | None) -> int | None:
+    return int(said) if said and re.fullmatch(r"-?[0-9]+", said) else None
+
+
+def fields(head: dict[str, str], block: bytes) -> dict:
+    """The row of a record. Only HTTP messages have a header before their payload; a revisit says how long its payload was, and its digest, if at all."""
+    kind = head.get("warc-type", "").lower() or None
+    http, payload = b"", block
+    if block.startswith(b"HTTP/") or head.get("content-type", "").lower().startswith("application/http"):
+        http, _, payload = block.partition(CRLF + CRLF)
+    length, digest = len(payload), hashlib.sha256(payload).hexdigest()
+    if kind == "revisit":
+        name, _, said = head.get("warc-payload-digest", "").partition(":")
+        length, digest, payload = _number(_headers(http).get("content-length")), said.lower() if name.lower() in ("sha256", "sha-256") and re.fullmatch("[0-9a-fA-F]{64}", said) else None, None
+    return {"page_id": _number(head.get("x-page-id")), "url": head.get("warc-target-uri"), "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": _number(head.get("x-refers-to-page")), "payload": payload}
 
 
 def read_member(f, at: int) -> tuple[int, dict[str, str], bytes] | None:
@@ -140,7 +165,8 @@ def read_member(f, at: int) -> tuple[int, dict[str, str], bytes] | None:
     if not sep or not head.startswith(b"WARC/1."):
         return None
     headers = _headers(head)
-    return end - len(z.unused_data), headers, rest[: int(headers["content-length"])]
+    length = _number(headers.get("content-length"))
+    return end - len(z.unused_data), headers, rest.removesuffix(CRLF + CRLF) if length is None else rest[:length]
 
 
 def members(f, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -174,13 +200,9 @@ def scan(files: DataFrame, split_bytes: int = 16 << 20, with_payload: bool = Fal
                 out = defaultdict(list)
                 with fs.open_input_file(base) as f:
                     for _, head, block in members(f, start, end):
-                        http, _, payload = block.partition(CRLF + CRLF)
-                        again = head["warc-type"] == "revisit"
-                        length, digest = (int(_headers(http)["content-length"]), head["warc-payload-digest"].split(":")[1]) if again else (len(payload), hashlib.sha256(payload).hexdigest())
-                        page, first = head["x-page-id"], head.get("x-refers-to-page", "")
-                        row = {"page_id": int(page) if page else None, "url": head["warc-target-uri"], "payload_bytes": length, "payload_digest": digest, "record_type": head["warc-type"], "refers_to": int(first) if first else None}
-                        for k, v in (row | ({"payload": None if again else payload} if with_payload else {})).items():
-                            out[k].append(v)
+                        for k, v in fields(head, block).items():
+                            if k != "payload" or with_payload:
+                                out[k].append(v)
                         if len(out["page_id"]) >= 500:
                             yield out
                             out = defaultdict(list)

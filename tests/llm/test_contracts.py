@@ -1,5 +1,6 @@
 """Every text operator against a plain brute-force version, on the smallest tables plus odd rows."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -394,6 +395,37 @@ def test_warc_splits_own_each_record_once(spark, size):
     assert sorted(r["page_id"] for r in warc.scan(files, split_bytes=size).collect()) == list(range(300))
 
 
+def test_warc_reads_archives_of_other_writers(spark, tmp_path):
+    """Records made by hand: other kinds, missing and folded headers, other digests, no HTTP length, bytes that are no UTF-8, a magic that starts no record."""
+    http = b"HTTP/1.0 200 OK\r\nServer: x\r\n folded\r\n\r\n"
+    made = [
+        (["WARC-Type: warcinfo", "Content-Type: application/warc-fields"], b"software: other\r\n\r\nmore", ("warcinfo", None, 23)),
+        (["WARC-Type: request", "warc-target-uri:  http://a/\r\n b", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", ("request", "http://a/ b", 0)),
+        (["WARC-TYPE: Response", "WARC-Target-URI: http://a/", "WARC-Payload-Digest: sha1:ABC", "Content-Type: application/http"], http + b"\xff\x1f\x8b\x08body", ("response", "http://a/", 8)),
+        (["WARC-Type: revisit", "WARC-Payload-Digest: sha1:ABC"], http, ("revisit", None, None)),
+        (["WARC-Type: resource", "X-Page-Id: none", "X-Odd: \udcff"], b"plain \r\n\r\n text", ("resource", None, 15)),
+        (["X-No-Type"], b"", (None, None, 0)),
+    ]
+    raw = b"".join(gzip.compress("\r\n".join(["WARC/1.0", *head, f"Content-Length: {len(block)}", "", ""]).encode(errors="surrogateescape") + block + b"\r\n\r\n") for head, block, _ in made)
+    raw += gzip.compress(b"not a record") + gzip.compress(b"WARC/1.0\r\nWARC-Type: metadata\r\n\r\nno length\r\n\r\n")
+    (tmp_path / "other.warc.gz").write_bytes(raw)
+    files = spark.createDataFrame([(f"file://{tmp_path}/other.warc.gz", len(raw))], "file string, bytes long")
+    for size in (50, 1 << 20):
+        got = warc.scan(files, split_bytes=size, with_payload=True).collect()
+        assert {(r["record_type"], r["url"], r["payload_bytes"]) for r in got} == {w for *_, w in made} | {("metadata", None, 9)} and len(got) == len(made) + 1
+        assert all(r["page_id"] is None and r["refers_to"] is None for r in got)
+        assert all(r["payload_digest"] == (None if r["record_type"] == "revisit" else hashlib.sha256(r["payload"]).hexdigest()) for r in got)
+
+
+def test_warc_empty_table_null_ids_and_clashing_columns(spark):
+    big = "<p>" * 700_000
+    rows = [(None, None, big), (-3, None, big), (-3, "u", big), (5, "u v\n", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("first", F.lit(2))
+    got = sorted((tuple(r) for r in warc.round_trip(spark, df).select("page_id", "payload_bytes", "record_type", "refers_to").collect()), key=str)
+    assert got == sorted([(None, 2_100_000, "revisit", -3), (-3, 2_100_000, "response", None), (-3, 2_100_000, "response", None), (5, 0, "response", None)], key=str)
+    assert warc.round_trip(spark, df.limit(0)).count() == 0
+
+
 def test_toxicity(spark, sf_dir):
     docs, labels = common.read(spark, "/root/testdata/sf0.01", "documents"), common.read(spark, "/root/testdata/sf0.01", "labels")
     got = by_id(toxicity.scored(docs, toxicity.fit(docs, labels)), "held_out", "score", "predicted")
