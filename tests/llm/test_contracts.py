@@ -147,29 +147,53 @@ def test_license(docs, rows):
 
 
 def test_license_blocks_meet_all_templates_they_contain(docs, rows):
-    notice = dict(reversed(license.TEMPLATES))["gpl"]
-    extra = [(None, license.TEMPLATES[1][1]), (-1, notice), (-2, "pad " * 70 + notice.replace(" the ", " ") + " pad" * 90), (-3, "word " * 43 + license.TEMPLATES[1][1]), (-4, " ".join(notice.split()[:9]))]
+    """The join finds every block and template by its words; labels are those of templates whose mark the block has as well."""
+    said = [t for *_, t in license.TEMPLATES]
+    notice = next(t for label, _, t in license.TEMPLATES if label == "gpl")
+    extra = [(None, said[1]), (-1, notice), (-2, "pad " * 70 + notice.replace(" the ", " ") + " pad" * 90), (-3, "word " * 43 + said[1]), (-4, " ".join(notice.split()[:9])), (-5, notice.replace("gnu", "the"))]
     spark = docs.sparkSession
-    frame = spark.createDataFrame([(i, t) for i, t, _ in rows] + extra, "doc_id long, text string")
+    table = [(i, t) for i, t, _ in rows] + extra
+    frame = spark.createDataFrame(table, "doc_id long, text string")
     got = by_id(license.scan(frame), "labels", "base_labels", "score")
-    step = max(len(t.split()) for _, t in license.TEMPLATES)
-    for i, text in [(i, t) for i, t, _ in rows] + extra[1:]:
+    low = common.texts(frame).select("doc_id", license.lowered(F.col("text")).alias("low"))
+    met = defaultdict(set)
+    for r in license.matches(license.read_once(low, license.TEMPLATES, 0.8)).collect():
+        met[r["doc_id"]].add((r["start"], r["label"], r["marked"], round(r["containment"], 9)))
+    step = max(len(t.split()) for t in said)
+    for i, text in [x for x in table if x[0] is not None]:
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
-        want, best = set(filter(None, got[i][1].split(","))), 0.0
+        pairs = set()
         for k in range(0, len(w), step):
-            block = set(w[k : k + 2 * step])
-            for label, t in license.TEMPLATES:
+            block = w[k : k + 2 * step]
+            for label, mark, t in license.TEMPLATES:
                 own = set(t.split())
-                if len(own & block) >= 0.8 * len(own) - 1e-9:
-                    want.add(label)
-                    best = max(best, len(own & block) / len(own))
-        assert got[i][0] == ",".join(sorted(want)), text
-        assert got[i][2] == (1.0 if got[i][1] else best)
+                if len(own & set(block)) >= 0.8 * len(own) - 1e-9:
+                    pairs.add((k, label, f" {mark} " in f" {' '.join(block)} ", round(len(own & set(block)) / len(own), 9)))
+        assert met[i] == pairs, text
+        marked = [p for p in pairs if p[2]]
+        assert got[i][0] == ",".join(sorted({p[1] for p in marked} | set(filter(None, got[i][1].split(","))))), text
+        assert round(got[i][2], 9) == (1.0 if got[i][1] else max((p[3] for p in marked), default=0.0))
     assert "gpl" in got[-1][0] and "gpl" in got[-2][0] and "mit" in got[-3][0] and got[-4][0] == "" and got[None][0] == ""
+    assert any(not p[2] for p in met[-5]) and got[-5][0] == "gpl" == got[-5][1]
     none = license.scan(spark.createDataFrame([], "doc_id long, text string"))
     assert none.count() == 0
 
 
+def test_license_labels_tell_near_notices_apart(spark):
+    table = [
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"), ("This work is licensed under the GNU General Public License, version 2.", "gpl,gpl-2.0"),
+        ("Licensed under CC BY-SA 4.0", "cc-by,cc-by-sa-4.0"), ("Licensed under CC-BY-NC 4.0.", "cc-by,cc-by-nc-4.0"), ("Licensed under CC BY 4.0", "cc-by"), ("Licensed under CC BY-SA 3.0", "cc-by"),
+        ("Released under the Apache License", ""), ("the license of the software was released under protest", ""), ("Released under the MIT license.", "mit"), ("released under MIT: the license", ""),
+        ("Licensed under the Apache License, Version 2.0", "apache-2.0"), ("Licensed under the Apache License 2.0", "apache-2.0"), ("licensed under the Apache License version 1.1", ""),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by-4.0"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa-4.0"),
+        ("modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; you can redistribute it and/or", "gpl,lgpl"),
+        ("reserved are all the rights", ""), ("all rights reserved", "reserved"), ("all the rights we reserved", ""), ("subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2.0"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"), ("software released into the public domain is free", ""), (None, ""), ("", ""),
+    ]
+    df = spark.createDataFrame([(k, t, "x") for k, (t, _) in enumerate(table)], "doc_id long, text string, label string").withColumn("block", F.lit(1)).withColumn("marks", F.lit(2))
+    assert by_id(license.scan(df), "labels") == {k: (want,) for k, (_, want) in enumerate(table)}
+
+
 def test_quality(docs, rows):
     got = by_id(quality.judge(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     for i, text, _ in rows:
