@@ -142,9 +142,10 @@ def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
 
 def redacted(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
     """``docs`` with every span of its texts replaced by a mask; texts without spans, nulls too, stay as they are."""
-    rows = found(docs, model, text_col=text_col)
-    text = F.col(text_col)
+    # Rows are boxed, so that no column of theirs can clash with those of found().
+    rows = found(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text")), model)
+    text = F.col("text")
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     piece = lambda a, s: F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(MASK))).otherwise(a["out"])
     whole = F.aggregate("_spans", first, lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), piece(a, s).alias("out")), lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return rows.withColumn(text_col, F.when(F.size("_spans") > 0, whole).otherwise(text)).drop("_base", "_spans")
+    return rows.select(F.col("row").withField(f"`{text_col}`", F.when(F.size("_spans") > 0, whole).otherwise(text)).alias("row")).select("row.*")

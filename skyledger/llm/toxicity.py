@@ -15,6 +15,8 @@ labelled rows of both classes every score is 0; null ids stay null; repeated row
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -82,7 +84,11 @@ class Model:
                 spared.append((s, end))
             else:
                 hits[s] = max(w, hits.get(s, 0.0))
-        total = sum(w for s, w in hits.items() if not any(a <= s <= b - 1 for a, b in spared))
+        spared.sort()
+        starts, reach = [a for a, _ in spared], list(itertools.accumulate((b - 1 for _, b in spared), max))
+        # A hit is spared if an exception that starts at it or before reaches it.
+        inside = lambda s: (k := bisect.bisect_right(starts, s)) > 0 and reach[k - 1] >= s
+        total = sum(w for s, w in hits.items() if not inside(s))
         return math.log1p(100 * total / max(1, low.count(" "))), math.log1p(total)
 
     def score(self, x: np.ndarray) -> np.ndarray:
