@@ -1,4 +1,12 @@
-"""A corpus from documents to training sequences, in stages that are each written and read again."""
+"""A corpus from documents to training sequences, in stages that are each written and read again.
+
+Defined results of every stage: a null text is an empty one and stays null; rows with a null id are
+searched for toxicity and secrets, linked with nothing and never leaked; rows with equal ids are one
+document to the near-copy and benchmark stages, and equal rows of an id stay once if the id is
+looked at again; null language, source and length stay null (the length is set anew); texts of any
+length are read whole; extra columns are kept until the documents are packed; empty tables give no
+rows.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +19,7 @@ from skyledger.llm import common, decontam, ngram_join, packing, secrets, toxici
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; the lexicon is learned from the labelled rows among them."""
     model = toxicity.fit(docs, common.read(spark, sf_dir, "labels"))
-    return docs.withColumn("_score", toxicity.score(model)).filter("_score < 0.5").drop("_score")
+    return docs.filter(toxicity.score(model) < 0.5)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
