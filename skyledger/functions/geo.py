@@ -88,16 +88,31 @@ def closed(ring: Column) -> Column:
     return F.when((F.size(ring) > 0) & (F.element_at(ring, 1) != F.element_at(ring, -1)), F.concat(ring, F.slice(ring, 1, 1))).otherwise(ring)
 
 
+def edges(ring: Column) -> Column:
+    """Edges of a ring, from its last point round to its last: x, y, dx, dy and the y of the end. None below 3 points or along a parallel."""
+    last = F.concat(F.slice(ring, F.greatest(F.size(ring), F.lit(1)), F.lit(1)), F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))))
+    one = lambda p, q: F.struct(p[0].alias("x"), p[1].alias("y"), (q[0] - p[0]).alias("dx"), (q[1] - p[1]).alias("dy"), q[1].alias("end"))
+    return F.when(F.size(ring) < 3, F.slice(F.zip_with(ring, last, one), 1, 0)).otherwise(F.filter(F.zip_with(ring, last, one), lambda e: e["y"] != e["end"]))
+
+
+def in_edges(lon: Column, lat: Column, sides: Column) -> Column:
+    """Ray casting with half-open edges."""
+    return F.size(F.filter(sides, lambda e: ((e["y"] > lat) != (e["end"] > lat)) & (lon < e["dx"] * (lat - e["y"]) / e["dy"] + e["x"]))) % 2 == 1
+
+
 def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
-    """Ray casting with half-open edges; false with fewer than 3 points."""
-    last = F.concat(F.slice(ring, F.size(ring), F.lit(1)), F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))))
-    crossed = F.zip_with(ring, last, lambda p, q: ((p[1] > lat) != (q[1] > lat)) & (lon < (q[0] - p[0]) * (lat - p[1]) / F.when(q[1] == p[1], F.lit(1.0)).otherwise(q[1] - p[1]) + p[0]))
-    return F.when(F.size(ring) < 3, F.lit(False)).otherwise(F.size(F.filter(crossed, lambda x: x)) % 2 == 1)
+    """False with fewer than 3 points."""
+    return F.coalesce(in_edges(lon, lat, edges(ring)), F.lit(False))
+
+
+def in_polygon_edges(lon: Column, lat: Column, sides: Column) -> Column:
+    """In the exterior and in no hole; ``sides`` are the edges of each ring."""
+    holes = F.slice(sides, F.lit(2), F.greatest(F.size(sides) - 1, F.lit(0)))
+    return in_edges(lon, lat, sides[0]) & ((F.size(sides) < 2) | ~F.exists(holes, lambda r: in_edges(lon, lat, r)))
 
 
 def in_polygon(lon: Column, lat: Column, rings: Column) -> Column:
-    """In the exterior and in no hole."""
-    return in_ring(lon, lat, rings[0]) & ~F.exists(F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: in_ring(lon, lat, r))
+    return in_polygon_edges(lon, lat, F.transform(rings, edges))
 
 
 def bbox(ring: Column) -> dict[str, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -131,3 +131,45 @@ def progress(line: Column, schema: str = "percent int, message string") -> Colum
 def crs_name(code: Column) -> Column:
     zone = F.lpad((code % 100).cast("string"), 2, "0")
     return F.when(code == 4326, "WGS 84").when(code == 3857, "WGS 84 / Pseudo-Mercator").when(code.between(32601, 32660), F.concat(F.lit("WGS 84 / UTM zone "), zone, F.lit("N"))).when(code.between(32701, 32760), F.concat(F.lit("WGS 84 / UTM zone "), zone, F.lit("S"))).otherwise(F.format_string("EPSG:%d", code))
+
+
+def destination_name(path: Column) -> Column:
+    """Basename to copy to; null for an empty one, "." and ".."."""
+    name = basename(path)
+    return F.when(~name.isin("", ".", ".."), name)
+
+
+def first_text(*candidates: Column) -> Column:
+    """The first that isn't blank, trimmed."""
+    return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in candidates))
+
+
+def value_text(value: Column, text: Column, unit: Column) -> Column:
+    """"%.4f unit" of a value, else the text."""
+    return F.coalesce(F.when(value.isNotNull(), F.concat_ws(" ", F.format_string("%.4f", value), F.nullif(unit, F.lit("")))), text)
+
+
+def job_id(at: Column, unique: Column) -> Column:
+    """exec_{YYYYMMDD}_{8 hex}, the hex from a UUID."""
+    return F.concat(F.lit("exec_"), F.date_format(at, "yyyyMMdd"), F.lit("_"), F.left(F.replace(unique, F.lit("-")), F.lit(8)))
+
+
+def aliases(table: DataFrame, alias: str = "alias", field: str = "field") -> DataFrame:
+    """(alias_key, field): one field for each alias in lower case; of several, that of the alias that sorts first."""
+    return table.groupBy(F.lower(alias).alias("alias_key")).agg(F.min_by(field, alias).alias(field))
+
+
+# How a feature is named by the first property it has.
+DISPLAY = (("tree_id", "Pohon"), ("path_id", "Jalur"), ("plot_id", "Petak"), ("land_cover_class", "Tutupan"), ("vegetation_index_type", "Vegetasi"))
+
+
+def feature_name(properties: Column, place: Column) -> Column:
+    """Display name of a feature from its map of properties, or its place, counted from 0."""
+    named = [F.concat(F.lit(f"{label}: "), F.nullif(F.try_element_at(properties, F.lit(k)), F.lit(""))) for k, label in DISPLAY]
+    return F.coalesce(*named, F.concat(F.lit("Fitur #"), (place + 1).cast("string")))
+
+
+def feature_id(properties: Column, place: Column) -> Column:
+    """plot_id, tree_id or path_id as a file name, else feat_ and the place, counted from 0."""
+    ids = F.coalesce(*(F.try_element_at(properties, F.lit(k)) for k in ("plot_id", "tree_id", "path_id")))
+    return F.coalesce(safe_file_name(ids), F.format_string("feat_%04d", place + 1))

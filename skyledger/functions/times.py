@@ -42,3 +42,24 @@ def session_stage(status: Column, has_images: Column) -> Column:
 def duration_text(ms: Column) -> Column:
     s = F.floor(ms / 1000)
     return F.when(s >= 3600, F.format_string("%dh %02dm", F.floor(s / 3600), F.floor(s % 3600 / 60))).when(s >= 60, F.format_string("%dm %02ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%ds", s))
+
+
+def parsed_time(raw: Column, default: Column) -> Column:
+    """An instant; digits of a second beyond the third are cut, and what isn't a time gives ``default``."""
+    return F.coalesce(F.regexp_replace(raw, r"(\.\d{3})\d+", "$1").try_cast("timestamp"), default)
+
+
+def camera_time(raw: Column) -> Column:
+    """A time without zone, to the millisecond; null if it isn't one."""
+    return F.regexp_replace(raw, r"(\.\d{3})\d+", "$1").try_cast("timestamp_ntz")
+
+
+def stored_time(at: Column) -> Column:
+    """Camera time as text that ``camera_time`` reads back."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS")
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    """Milliseconds from start to end, never negative."""
+    ms = lambda c: F.unix_millis(c.cast("timestamp"))
+    return F.greatest(ms(end) - ms(start), F.lit(0))

@@ -87,17 +87,19 @@ def review(detections: DataFrame, removed: DataFrame, added: DataFrame, id_col:
     return detections.join(removed.select(id_col).distinct(), id_col, "left_anti").unionByName(added.withColumn(id_col, manual_id(F.col(id_col))))
 
 
-def ranking(df: DataFrame, value: str, *tie: str) -> DataFrame:
-    """Rows with mean_value over all and their rank by value, descending.
+def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` with rank, its place from 1 in that order.
 
-    The mean and the ranks come from sorted partitions: rank = rows in earlier partitions + place in its own.
+    Ranges are sorted in parallel; only their sizes meet in one task. rank = rows in earlier ranges + place in its own.
     """
-    mean = df.agg(F.avg(value).alias("mean_value"))
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = df.repartitionByRange(n, F.desc(value), *tie).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(F.desc(value), *tie)
-    local = part.withColumn("_r", F.row_number().over(w))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    local = part.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = part.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return local.join(F.broadcast(before), "_p").withColumn("rank", F.col("_r") + F.col("_before")).drop("_p", "_r", "_before").crossJoin(mean)
+    return local.join(F.broadcast(before), "_p").withColumn("rank", F.col("_r") + F.col("_before")).drop("_p", "_r", "_before")
+
+
+def ranking(df: DataFrame, value: str, *tie: str) -> DataFrame:
+    """Rows with mean_value over all and their rank by value, descending."""
+    return numbered(df, F.desc(value), *tie).crossJoin(df.agg(F.avg(value).alias("mean_value")))

@@ -45,15 +45,15 @@ def in_plots(points: DataFrame, plots: DataFrame, cell_deg: float = 1.0, how: st
     """Points joined with the plots that hold them.
 
     Points and the boxes of plots are dealt into cells of a grid; the join is on cells, then by box,
-    then exact. A point lies in one cell, so no pair is found twice.
+    then exact, over edges that are computed once a plot. A point lies in one cell, so no pair is found twice.
     """
     x, y = (F.floor(F.col(c) / cell_deg).cast("long") for c in (lon, lat))
     b = geo.bbox(F.col(rings)[0])
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell_deg).cast("long"), F.floor(hi / cell_deg).cast("long")))
-    boxed = plots.withColumns({f"_{k}": v for k, v in b.items()}).withColumn("_cx", cells(F.col("_west"), F.col("_east"))).withColumn("_cy", cells(F.col("_south"), F.col("_north")))
+    boxed = plots.withColumns({f"_{k}": v for k, v in b.items()} | {"_sides": F.transform(F.col(rings), geo.edges)}).withColumn("_cx", cells(F.col("_west"), F.col("_east"))).withColumn("_cy", cells(F.col("_south"), F.col("_north")))
     near = points.withColumn("_px", x).withColumn("_py", y)
     on = (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")) & F.col(lon).between(F.col("_west"), F.col("_east")) & F.col(lat).between(F.col("_south"), F.col("_north"))
-    return near.join(boxed, on & geo.in_polygon(F.col(lon), F.col(lat), F.col(rings)), how).drop("_px", "_py", "_cx", "_cy", "_west", "_south", "_east", "_north")
+    return near.join(boxed, on & geo.in_polygon_edges(F.col(lon), F.col(lat), F.col("_sides")), how).drop("_px", "_py", "_cx", "_cy", "_west", "_south", "_east", "_north", "_sides")
 
 
 def source_index(k: Column, n: int, target: tuple[float, float], source: tuple[float, float], size: int) -> Column:

@@ -52,9 +52,9 @@ def result_explorer(spark, sf_dir):
     return metrics.flattened(top.select("id", "plugin_id", "created_at", "metrics"), "metrics").select("id", "plugin_id", "created_at", "key", "value")
 
 
-@query(f"WITH {s.IMAGES}, q AS (SELECT id, session_id FROM images WHERE id % 7 = 0) SELECT DISTINCT q.session_id FROM q SEMI JOIN customer ON c_custkey = q.session_id AND c_acctbal > 0")
+@query(f"WITH {s.IMAGES}, q AS (SELECT id, session_id FROM images WHERE analysis_ready IS DISTINCT FROM true) SELECT DISTINCT q.session_id FROM q SEMI JOIN customer ON c_custkey = q.session_id AND c_acctbal > 0")
 def pending_sessions(spark, sf_dir):
-    queue = s.images(spark, sf_dir).filter("id % 7 = 0").select("session_id")
+    queue = s.images(spark, sf_dir).filter("analysis_ready is distinct from true").select("session_id")
     alive = s.table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("session_id"))
     return queue.join(alive, "session_id", "left_semi").distinct()
 
