@@ -20,9 +20,14 @@ def member(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
+def _with(x: Column, fn) -> Column:
+    """``fn`` of ``x``, which is computed once: nothing is shared inside lambdas and branches otherwise."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
 def number(v: Column, path: str = "$") -> Column:
     """The number at ``path``; null for text and other kinds."""
-    return F.when(kind(member(v, path)) == "number", F.try_variant_get(v, path, "double"))
+    return F.when(F.schema_of_variant(member(v, path)).rlike(_NUMBER), F.try_variant_get(v, path, "double"))
 
 
 def number_or_text(v: Column, path: str = "$") -> Column:
@@ -49,12 +54,11 @@ def threshold(v: Column, path: str, default: Column) -> Column:
 
 
 def _numbers(v: Column) -> Column:
-    items = F.try_variant_get(v, "$", "array<variant>")
-    return F.transform(F.filter(items, lambda x: F.coalesce(kind(x) == "number", F.lit(False))), lambda x: F.try_variant_get(x, "$", "double"))
+    return F.array_compact(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: number(x)))
 
 
 def _ordered(b: Column) -> Column:
-    return F.when((F.size(b) == 4) & (F.get(b, F.lit(2)) > F.get(b, F.lit(0))) & (F.get(b, F.lit(3)) > F.get(b, F.lit(1))), b)
+    return _with(b, lambda x: F.when((F.size(x) == 4) & (F.get(x, F.lit(2)) > F.get(x, F.lit(0))) & (F.get(x, F.lit(3)) > F.get(x, F.lit(1))), x))
 
 
 def bounds_override(parameters: Column) -> Column:
@@ -68,13 +72,13 @@ def aoi_ring(payload: Column) -> Column:
     """First ring of the area of interest without malformed points; null with fewer than 3."""
     points = F.try_variant_get(payload, "$.aoi.geometry.coordinates[0]", "array<variant>")
     good = F.filter(F.transform(points, lambda p: F.array(number(p, "$[0]"), number(p, "$[1]"))), lambda p: p[0].isNotNull() & p[1].isNotNull())
-    return F.when(F.size(good) >= 3, good)
+    return _with(good, lambda r: F.when(F.size(r) >= 3, r))
 
 
 def aoi_bounds(payload: Column) -> Column:
     """Box of the ring, or the area itself if it is four numbers in order."""
-    box = geo.bbox(aoi_ring(payload))
-    return F.coalesce(F.when(aoi_ring(payload).isNotNull(), F.array(*(box[k] for k in ("west", "south", "east", "north")))), _ordered(_numbers(member(payload, "$.aoi"))))
+    box = lambda r: F.when(r.isNotNull(), F.array(*(geo.bbox(r)[k] for k in ("west", "south", "east", "north"))))
+    return F.coalesce(_with(aoi_ring(payload), box), _ordered(_numbers(member(payload, "$.aoi"))))
 
 
 def bounds(payload: Column, gps: Column | None = None) -> Column:
