@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Links in a file.
+ROWS = 1_000_000
+
 
 def _large(edges: DataFrame) -> DataFrame:
     """(u, v), u > v: every larger neighbour of a vertex is tied to the smallest vertex near it."""
@@ -26,12 +29,16 @@ def _small(edges: DataFrame) -> DataFrame:
     return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(id, component_id) for every id that has a link; component_id is the smallest id reachable. ``links`` has columns u and v."""
+def components(links: DataFrame, max_rounds: int = 50, files: bool = False) -> DataFrame:
+    """(id, component_id) for every id that has a link; component_id is the smallest id reachable. ``links`` has columns u and v.
+
+    With ``files``, rounds are written in as many files as their links fill, not one for each partition.
+    """
     edges = common.saved(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
     for _ in range(max_rounds):
-        edges = common.saved(_small(_large(edges)), "edges")
+        now = _small(_large(edges))
+        edges = common.saved(now.repartition(1 + state[0] // ROWS) if files else now, "edges")
         new = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if new == state:
             break

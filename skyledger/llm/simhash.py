@@ -104,7 +104,7 @@ def _stars(rows: DataFrame, bits: int) -> DataFrame:
     full = F.filter("masks", lambda m: F.bit_count(m) == F.least(F.size("ones"), F.lit(bits)))
     lists = rows.select("at", "key", "fp", F.explode(full).alias("mask")).withColumn("rest", F.col("fp").bitwiseAND(F.bitwise_not("mask")))
     least = lists.groupBy("at", "key", "mask", "rest").agg(F.min("fp").alias("v"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    return lists.join(least, ["at", "key", "mask", "rest"]).filter("fp != v").select(F.col("fp").alias("u"), "v").distinct()
+    return lists.join(least, ["at", "key", "mask", "rest"]).filter("fp != v").select(F.col("fp").alias("u"), "v")
 
 
 def near(fps: DataFrame, bits: int = 3, limit: int = LIMIT) -> DataFrame:
@@ -119,13 +119,13 @@ def near(fps: DataFrame, bits: int = 3, limit: int = LIMIT) -> DataFrame:
         short = met.filter(F.col("_n") <= limit).select("at", "key", "fp")
         pairs = short.select("at", "key", F.col("fp").alias("u")).join(short.select("at", "key", F.col("fp").alias("v")), ["at", "key"]).filter("u > v")
         pairs = pairs.filter(shared_bytes(F.col("u"), F.col("v")) >= least).filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
-        links.append(common.saved(pairs.select("u", "v").distinct(), "near"))
+        links.append(pairs.select("u", "v"))
         dense = met.filter(F.col("_n") > limit)
         if dense.isEmpty():
             break
         rows = _longer(dense)
     else:
-        links.append(common.saved(_stars(dense.select("at", "key", "fp", "vary"), bits), "near"))
+        links.append(_stars(dense.select("at", "key", "fp", "vary"), bits))
     out = links[0]
     for more in links[1:]:
         out = out.union(more)
@@ -136,7 +136,7 @@ def deduplicated(docs: DataFrame, n: int = 3, bits: int = 3, id_col: str = "doc_
     """doc_id, fingerprint (16 hex digits) and component_id per row."""
     rows = common.saved(fingerprints(docs, n, id_col, text_col), "fingerprints")
     classes = common.saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")), "classes")
-    linked = common.saved(components(near(classes.select("fp"), bits, limit)).join(classes, F.col("id") == F.col("fp")).select("fp", "component_id", "first"), "linked")
+    linked = components(near(classes.select("fp"), bits, limit), files=True).join(classes, F.col("id") == F.col("fp")).select("fp", "component_id", "first")
     least = linked.groupBy("component_id").agg(F.min("first").alias("least"))
     named = linked.join(least, "component_id").select("fp", "least")
     alone = classes.filter("_n > 1").join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("least"))
