@@ -76,9 +76,10 @@ def aoi_ring(payload: Column) -> Column:
 
 
 def aoi_bounds(payload: Column) -> Column:
-    """Box of the ring, or the area itself if it is four numbers in order."""
+    """Box of the ring; without a ring, the geometry's coordinates if they hold four numbers, in whatever order."""
     box = lambda r: F.when(r.isNotNull(), F.array(*(geo.bbox(r)[k] for k in ("west", "south", "east", "north"))))
-    return F.coalesce(_with(aoi_ring(payload), box), _ordered(_numbers(member(payload, "$.aoi"))))
+    four = _with(_numbers(member(payload, "$.aoi.geometry.coordinates")), lambda x: F.when(F.size(x) == 4, x))
+    return F.coalesce(_with(aoi_ring(payload), box), four)
 
 
 def bounds(payload: Column, gps: Column | None = None) -> Column:
@@ -87,12 +88,39 @@ def bounds(payload: Column, gps: Column | None = None) -> Column:
     return F.coalesce(*found, *([gps] if gps is not None else []))
 
 
-def edit_problem(old: Column, new: Column, most: int = 200) -> Column:
-    """Why ``old`` may not become ``new``: nested, wrong_type or too_long; null if it may."""
-    a, b = kind(old), kind(new)
+def geometry_bounds(geometry: Column) -> Column:
+    """Box of the first ring of a geometry, all of whose points must be good; else null."""
+    points = F.try_variant_get(geometry, "$.coordinates[0]", "array<variant>")
+    ring = _with(F.transform(points, lambda p: F.array(number(p, "$[0]"), number(p, "$[1]"))), lambda r: F.when((F.size(r) > 0) & F.forall(r, lambda p: p[0].isNotNull() & p[1].isNotNull()), r))
+    return _with(ring, lambda r: F.when(r.isNotNull(), F.array(*(geo.bbox(r)[k] for k in ("west", "south", "east", "north")))))
+
+
+def image_bounds(payload: Column, metadata: Column, gps: Column) -> Column:
+    """Override, else the area of interest's geometry, else ``gps`` where position, resolution and altitude are told.
+
+    A geometry that is there decides: if it is malformed there are no bounds, and the position isn't tried.
+    """
+    geometry = member(payload, "$.aoi.geometry")
+    told = truthy(member(metadata, "$.gps")) & truthy(member(metadata, "$.resolution")) & truthy(member(metadata, "$.relative_altitude"))
+    return F.coalesce(bounds_override(member(payload, "$.parameters")), F.when(truthy(geometry), geometry_bounds(geometry)).when(told, gps))
+
+
+def edit_problem(old: Column, new: Column, field_kind: Column | None = None, most: int = 200) -> Column:
+    """Why ``old`` may not become ``new``: nested, wrong_type, too_long or unknown_kind; null if it may.
+
+    A property that isn't there (``old`` is null) goes by the kind of its field: number, boolean, or
+    text, which is also meant where none is told. An old null may become text, a number or a flag.
+    """
+    a, b = kind(old), F.coalesce(kind(new), F.lit("null"))
+    field = F.coalesce(field_kind, F.lit("text")) if field_kind is not None else F.lit("text")
+    long = F.char_length(F.try_variant_get(new, "$", "string")) > most
+    text = F.when(b == "string", F.when(long, "too_long"))
+    by_kind = (
+        F.when(field.isin("number", "boolean"), F.when(b != field, "wrong_type")).when(field != "text", "unknown_kind").when(b == "string", text).when(b != "null", "wrong_type")
+    )
     return (
-        F.when(a.isin("array", "object"), "nested").when(a.isin("number", "boolean", "string") & (b.isNull() | (a != b)), "wrong_type")
-        .when((b == "string") & (F.char_length(F.try_variant_get(new, "$", "string")) > most), "too_long")
+        F.when(a.isNull(), by_kind).when(a.isin("array", "object"), "nested").when(a.isin("number", "boolean"), F.when(b != a, "wrong_type"))
+        .when(b == "string", text).when((a == "string") | b.isin("array", "object"), "wrong_type")
     )
 
 

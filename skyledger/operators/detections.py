@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.scratch import saved
+from . import components
 
 
 def filter_confidence(d: DataFrame, threshold: float) -> DataFrame:
@@ -63,40 +63,35 @@ def class_statistics(pixels: DataFrame, label: str = "label", confidence: str =
     return rows.withColumn("percentage", F.col("pixel_count") * 100.0 / F.col("_t")).withColumn("area_m2", area).drop("_t")
 
 
-def _components(grid: np.ndarray) -> list[list[tuple[int, int]]]:
-    """4-neighbour components in the order of their first pixels, row by row."""
-    seen, out = np.zeros_like(grid, dtype=bool), []
-    for y, x in zip(*np.nonzero(grid)):
-        if seen[y, x]:
-            continue
-        seen[y, x], queue, cells = True, deque([(y, x)]), []
-        while queue:
-            i, j = queue.popleft()
-            cells.append((i, j))
-            for a, b in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
-                if 0 <= a < grid.shape[0] and 0 <= b < grid.shape[1] and grid[a, b] and not seen[a, b]:
-                    seen[a, b] = True
-                    queue.append((a, b))
-        out.append(cells)
-    return out
+def runs(cells: DataFrame, *by: str) -> DataFrame:
+    """(keys, y, x0, x1) of cells that follow each other in a row."""
+    w = Window.partitionBy(*by, "y").orderBy("x")
+    rows = cells.select(*by, "y", "x").distinct().withColumn("_run", F.col("x") - F.row_number().over(w))
+    return rows.groupBy(*by, "y", "_run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_run")
 
 
-def change_patches(changed: DataFrame, pixel_m2: float, min_area_m2: float = 0.0, image: str = "img") -> DataFrame:
-    """(img, change, patch, pixels, area_m2, x_min, y_min, x_max, y_max) of connected cells; small ones are left out. A group is one image."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        x0, y0 = int(rows["x"].min()), int(rows["y"].min())
-        grid = np.zeros((int(rows["y"].max()) - y0 + 1, int(rows["x"].max()) - x0 + 1), dtype=bool)
-        grid[rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0] = True
-        for cells in _components(grid):
-            ys, xs = zip(*cells)
-            if len(cells) * pixel_m2 >= min_area_m2:
-                out.append((key[0], key[1], len(out), len(cells), len(cells) * pixel_m2, min(xs) + x0, min(ys) + y0, max(xs) + x0, max(ys) + y0))
-        return pd.DataFrame(out, columns=["img", "change", "patch", "pixels", "area_m2", "x_min", "y_min", "x_max", "y_max"])
+def labelled_runs(cells: DataFrame, *by: str, block: int = 64) -> DataFrame:
+    """Runs with the number of their 4-neighbour component (``component``, the least number of its runs).
+
+    Runs of adjacent rows link where they overlap. They meet by row and block of columns, so a row of
+    many runs isn't compared with all of the next one.
+    """
+    numbered = saved(runs(cells, *by).withColumn("run", F.monotonically_increasing_id()), "runs")
+    spread = numbered.withColumn("_b", F.explode(F.sequence(F.floor(F.col("x0") / block), F.floor(F.col("x1") / block))))
+    below = spread.select(*by, (F.col("y") - 1).alias("y"), "_b", F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("run").alias("v"))
+    links = spread.join(below, [*by, "y", "_b"]).filter("x0 <= _x1 and _x0 <= x1").select(F.col("run").alias("u"), "v")
+    found = components.connected(links)
+    return numbered.join(found, numbered["run"] == found["id"], "left").withColumn("component", F.coalesce("component", "run")).drop("id")
 
+
+def change_patches(changed: DataFrame, pixel_m2: float, min_area_m2: float = 0.0, image: str = "img") -> DataFrame:
+    """(img, change, patch, pixels, area_m2, x_min, y_min, x_max, y_max) of connected cells; small ones are left out. Patches are numbered by their first cells, row by row."""
     rows = changed.filter("change is not null").select(F.col(image).cast("long").alias("img"), "change", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
-    return rows.groupBy("img", "change").applyInPandas(run, "img long, change string, patch long, pixels long, area_m2 double, x_min long, y_min long, x_max long, y_max long")
+    parts = labelled_runs(rows, "img", "change").groupBy("img", "change", "component")
+    out = parts.agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("pixels"), F.min("x0").alias("x_min"), F.min("y").alias("y_min"), F.max("x1").alias("x_max"), F.max("y").alias("y_max"), F.min(F.struct("y", "x0")).alias("_first"))
+    out = out.withColumn("area_m2", F.col("pixels") * F.lit(float(pixel_m2))).filter(F.col("area_m2") >= min_area_m2)
+    number = F.row_number().over(Window.partitionBy("img", "change").orderBy("_first")) - 1
+    return out.select("img", "change", number.cast("long").alias("patch"), "pixels", "area_m2", "x_min", "y_min", "x_max", "y_max")
 
 
 def majority(labels: DataFrame, segment: str = "segment", label: str = "label", least_share: float = 0.5) -> DataFrame:

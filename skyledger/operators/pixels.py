@@ -69,6 +69,37 @@ def change_grid(before: DataFrame, after: DataFrame, *by: str, mask: str = "mask
     return rows.select(*keys, F.when(~F.col("_a") & F.col("_b"), "gain").when(F.col("_a") & ~F.col("_b"), "loss").alias("change"))
 
 
+def regridded(masks: DataFrame, targets: DataFrame, *by: str) -> DataFrame:
+    """Cells of target grids with the value of the nearest cell of a source.
+
+    ``masks`` has (keys, x, y, mask), ``targets`` per keys the source's and the target's size and bounds
+    (s_width, s_west, ..., t_width, t_west, ...). Each target cell reads one source cell, so the join is
+    on equality of places; source cells that aren't there read as null.
+    """
+    cells = targets.select("*", F.explode(F.sequence(F.lit(0), F.col("t_height") - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.col("t_width") - 1)).alias("x"))
+
+    def near(k: str, n: str, t: tuple[str, str], s: tuple[str, str], size: str) -> Column:
+        at = F.col(t[0]) + (F.col(t[1]) - F.col(t[0])) * ((F.col(k) + 0.5) / F.col(n))
+        return F.least(F.greatest(F.floor((at - F.col(s[0])) / (F.col(s[1]) - F.col(s[0])) * F.col(size)), F.lit(0)), F.col(size) - 1).cast("int")
+
+    cells = cells.withColumns({"_x": near("x", "t_width", ("t_west", "t_east"), ("s_west", "s_east"), "s_width"), "_y": near("y", "t_height", ("t_north", "t_south"), ("s_north", "s_south"), "s_height")})
+    source = masks.select(*by, F.col("x").alias("_x"), F.col("y").alias("_y"), "mask")
+    return cells.select(*by, "x", "y", "_x", "_y").join(source, [*by, "_x", "_y"], "left").select(*by, "x", "y", "mask")
+
+
+def change_over(before: DataFrame, after: DataFrame, grids: DataFrame, *by: str) -> DataFrame:
+    """(keys, x, y, change) of two masks that need not share a grid, over their common footprint.
+
+    ``grids`` has per keys both sizes and bounds (a_width, a_height, a_west, ..., b_width, ...). The
+    common grid has the smaller width and the smaller height of the two; without a common footprint there are no rows.
+    """
+    of = lambda p: {k: F.col(f"{p}_{k}") for k in ("west", "south", "east", "north")}
+    common = geo.intersected(of("a"), of("b"))
+    shared = grids.select("*", *(v.alias(f"t_{k}") for k, v in common.items()), F.greatest(F.least("a_width", "b_width"), F.lit(1)).alias("t_width"), F.greatest(F.least("a_height", "b_height"), F.lit(1)).alias("t_height")).filter("t_west is not null")
+    side = lambda p: shared.select(*by, *(F.col(f"{p}_{k}").alias(f"s_{k}") for k in ("width", "height", "west", "south", "east", "north")), *(f"t_{k}" for k in ("width", "height", "west", "south", "east", "north")))
+    return change_grid(regridded(before, side("a"), *by), regridded(after, side("b"), *by), *by)
+
+
 def tiles(sizes: DataFrame, chunk: int = 1024, overlap: int = 32, single: int = 2048) -> DataFrame:
     """Windows of images (with width and height): one if both sides are small, else chunks that overlap, row by row."""
     step = chunk - overlap if chunk > overlap else chunk

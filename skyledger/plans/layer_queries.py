@@ -10,21 +10,49 @@ from . import standins as s
 from .registry import query
 
 
-@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 6 AS k, (o_orderkey % 100)::DOUBLE AS w, (o_custkey % 50)::DOUBLE AS s FROM orders)
-    SELECT id, CASE WHEN k IN (3, 5) THEN -1.0 ELSE w END AS west, CASE WHEN k IN (3, 5) THEN -2.0 ELSE s END AS south, CASE WHEN k IN (3, 5) THEN 1.0 WHEN k = 4 THEN w + 3 ELSE w + 2 END AS east, CASE WHEN k IN (3, 5) THEN 2.0 ELSE s + 1.5 END AS north FROM o""")
-def payload_bounds(spark, sf_dir):
-    """Payloads with an override as array or text, a ring, a box, an override out of order, and none; -1, -2, 1, 2 are the GPS bounds."""
-    k, w, b = F.col("o_orderkey") % 6, (F.col("o_orderkey") % 100).cast("double"), (F.col("o_custkey") % 50).cast("double")
-    four = lambda *v: F.concat(F.lit("["), F.concat_ws(",", *(x.cast("string") for x in v)), F.lit("]"))
-    good, bad = four(w, b, w + 2, b + 1.5), four(w + 2, b, w, b + 1.5)
-    ring = F.concat(F.lit("[["), F.concat_ws(",", four(w, b), F.lit('["x",1]'), four(w + 2, b), four(w + 2, b + 1.5)), F.lit("]]"))
+_DOCS = """d AS (SELECT o_orderkey AS id, o_orderkey % 8 AS k, (o_orderkey % 100)::INT AS w, (o_custkey % 50)::INT AS b FROM orders),
+    t AS (SELECT id, k, CASE k WHEN 0 THEN printf('{"parameters":{"image_bounds":[%d,%d,%d,%d.5]}}', w, b, w + 2, b + 1) WHEN 1 THEN printf('{"parameters":{"image_bounds":"[%d,%d,%d,%d.5]"}}', w, b, w + 2, b + 1)
+        WHEN 2 THEN printf('{"parameters":{},"aoi":{"geometry":{"coordinates":[[[%d,%d],["x",1],[%d,%d],[%d,%d.5]]]}}}', w, b, w + 2, b, w + 2, b + 1) WHEN 3 THEN printf('{"parameters":{"image_bounds":[%d,%d,%d,%d]}}', w + 2, b, w, b + 1)
+        WHEN 4 THEN printf('{"aoi":{"geometry":{"coordinates":[%d,%d,%d,%d]}}}', w + 3, b, w, b + 1) WHEN 5 THEN printf('{"aoi":[%d,%d,%d,%d]}', w, b, w + 3, b + 1)
+        WHEN 6 THEN printf('{"aoi":{"geometry":{"coordinates":[[[%d,%d],[%d,%d]]]}},"parameters":{"image_bounds":" "}}', w, b, w + 2, b + 1) ELSE printf('{"parameters":{"image_bounds":[%d,"x",%d,%d,%d]}}', w, b, w + 1, b + 1) END AS doc FROM d)"""
+
+
+def _payloads(spark, sf_dir):
+    """Documents with an override as array or text, a ring with a bad point, an override out of order, a box in any order, an area that is no geometry, a ring of two points, and an override with a text in it."""
+    k, w, b = F.col("o_orderkey") % 8, (F.col("o_orderkey") % 100).cast("int"), (F.col("o_custkey") % 50).cast("int")
+    f = F.format_string
     doc = (
-        F.when(k == 0, F.format_string('{"parameters":{"image_bounds":%s}}', good)).when(k == 1, F.format_string('{"parameters":{"image_bounds":"%s"}}', good))
-        .when(k == 2, F.format_string('{"parameters":{},"aoi":{"geometry":{"coordinates":%s}}}', ring)).when(k == 3, F.format_string('{"parameters":{"image_bounds":%s}}', bad))
-        .when(k == 4, F.format_string('{"aoi":%s}', four(w, b, w + 3, b + 1.5))).otherwise("{}")
+        F.when(k == 0, f('{"parameters":{"image_bounds":[%d,%d,%d,%d.5]}}', w, b, w + 2, b + 1)).when(k == 1, f('{"parameters":{"image_bounds":"[%d,%d,%d,%d.5]"}}', w, b, w + 2, b + 1))
+        .when(k == 2, f('{"parameters":{},"aoi":{"geometry":{"coordinates":[[[%d,%d],["x",1],[%d,%d],[%d,%d.5]]]}}}', w, b, w + 2, b, w + 2, b + 1)).when(k == 3, f('{"parameters":{"image_bounds":[%d,%d,%d,%d]}}', w + 2, b, w, b + 1))
+        .when(k == 4, f('{"aoi":{"geometry":{"coordinates":[%d,%d,%d,%d]}}}', w + 3, b, w, b + 1)).when(k == 5, f('{"aoi":[%d,%d,%d,%d]}', w, b, w + 3, b + 1))
+        .when(k == 6, f('{"aoi":{"geometry":{"coordinates":[[[%d,%d],[%d,%d]]]}},"parameters":{"image_bounds":" "}}', w, b, w + 2, b + 1)).otherwise(f('{"parameters":{"image_bounds":[%d,"x",%d,%d,%d]}}', w, b, w + 1, b + 1))
     )
-    rows = s.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.try_parse_json(doc).alias("v"))
-    out = rows.select("id", payload.bounds(F.col("v"), F.array(F.lit(-1.0), F.lit(-2.0), F.lit(1.0), F.lit(2.0))).alias("b"))
+    return s.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.try_parse_json(doc).alias("v"))
+
+
+_NUMBERS = "list_transform(list_filter({0}::JSON[], lambda x: json_type(x) IN ('BIGINT', 'UBIGINT', 'DOUBLE')), lambda x: x::DOUBLE)"
+_PARTS = f"""o AS (SELECT *, json_extract(doc, '$.parameters.image_bounds') AS raw, json_extract(doc, '$.aoi.geometry') AS geom FROM t),
+    n AS (SELECT *, CASE json_type(raw) WHEN 'ARRAY' THEN raw WHEN 'VARCHAR' THEN CASE WHEN trim(raw->>'$') <> '' THEN (raw->>'$')::JSON END END AS inside, json_extract(geom, '$.coordinates') AS c FROM o),
+    v AS (SELECT *, {_NUMBERS.format("inside")} AS over, CASE WHEN json_type(c) = 'ARRAY' THEN {_NUMBERS.format("c")} END AS box, CASE WHEN json_type(json_extract(c, '$[0]')) = 'ARRAY' THEN json_extract(c, '$[0]')::JSON[] END AS points FROM n),
+    r AS (SELECT *, list_filter(points, lambda p: json_type(json_extract(p, '$[0]')) IN ('BIGINT', 'UBIGINT', 'DOUBLE') AND json_type(json_extract(p, '$[1]')) IN ('BIGINT', 'UBIGINT', 'DOUBLE')) AS good, len(over) = 4 AND over[3] > over[1] AND over[4] > over[2] AS ok FROM v),
+    q AS (SELECT *, list_transform(good, lambda p: json_extract(p, '$[0]')::DOUBLE) AS xs, list_transform(good, lambda p: json_extract(p, '$[1]')::DOUBLE) AS ys FROM r),
+    e AS (SELECT *, [list_min(xs), list_min(ys), list_max(xs), list_max(ys)] AS ring FROM q)"""
+
+
+@query(f"""WITH {_DOCS}, {_PARTS}, f AS (SELECT id, CASE WHEN ok THEN over WHEN len(good) >= 3 THEN ring WHEN len(box) = 4 THEN box ELSE [-1.0, -2.0, 1.0, 2.0]::DOUBLE[] END AS b FROM e)
+    SELECT id, b[1] AS west, b[2] AS south, b[3] AS east, b[4] AS north FROM f""")
+def payload_bounds(spark, sf_dir):
+    """Override, else ring, else four numbers, else the GPS bounds -1, -2, 1, 2; the SQL reads the same documents."""
+    out = _payloads(spark, sf_dir).select("id", payload.bounds(F.col("v"), F.array(F.lit(-1.0), F.lit(-2.0), F.lit(1.0), F.lit(2.0))).alias("b"))
+    return out.select("id", *(F.get("b", F.lit(i)).alias(n) for i, n in enumerate(("west", "south", "east", "north"))))
+
+
+@query(f"""WITH {_DOCS}, {_PARTS}, f AS (SELECT id, CASE WHEN ok THEN over WHEN json_type(geom) = 'OBJECT' THEN CASE WHEN len(points) > 0 AND len(good) = len(points) THEN ring END WHEN id % 3 <> 0 THEN [-1.0, -2.0, 1.0, 2.0]::DOUBLE[] END AS b FROM e)
+    SELECT id, b[1] AS west, b[2] AS south, b[3] AS east, b[4] AS north FROM f""")
+def image_bounds(spark, sf_dir):
+    """A geometry that is there decides, good or not; else GPS bounds where position, resolution and altitude are told, which every third document lacks."""
+    meta = F.try_parse_json(F.when(F.col("id") % 3 == 0, '{"gps":{"lat":1},"resolution":{},"relative_altitude":3}').otherwise('{"gps":{"lat":1},"resolution":"4x3","relative_altitude":3}'))
+    out = _payloads(spark, sf_dir).select("id", payload.image_bounds(F.col("v"), meta, F.array(F.lit(-1.0), F.lit(-2.0), F.lit(1.0), F.lit(2.0))).alias("b"))
     return out.select("id", *(F.get("b", F.lit(i)).alias(n) for i, n in enumerate(("west", "south", "east", "north"))))
 
 
@@ -39,15 +67,24 @@ def payload_parameters(spark, sf_dir):
     return rows.select("id", payload.threshold(v, "$.t", F.lit(0.1)).alias("threshold"), payload.number_or_text(v, "$.t").alias("number"), payload.truthy(payload.member(v, "$.t")).alias("truthy"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, p_partkey % 3 AS a, p_partkey // 3 % 3 AS b, p_partkey // 9 % 2 = 1 AS nested, length(p_name) * 15 AS n FROM part)
-    SELECT id, CASE WHEN nested THEN 'nested' WHEN a <> b THEN 'wrong_type' WHEN b = 1 AND n > 200 THEN 'too_long' END AS problem FROM p""")
+_KINDS = "['1.5', 'null', 'true', '[1]', '{\"a\":1}', '\"' || repeat('ab', (l_linenumber * 20 + l_quantity)::INT) || '\"']"
+
+
+@query(f"""WITH p AS (SELECT l_orderkey AS id, l_linenumber AS line, {_KINDS} AS v, (l_orderkey % 7)::INT AS i, (l_partkey % 6)::INT AS j, ['number', 'boolean', 'text', NULL, 'shape'][1 + l_suppkey % 5] AS field FROM lineitem),
+    d AS (SELECT id, line, field, v[1 + i]::JSON AS old, v[1 + j]::JSON AS new FROM p),
+    k AS (SELECT *, CASE json_type(old) WHEN 'DOUBLE' THEN 'n' WHEN 'BOOLEAN' THEN 'b' WHEN 'VARCHAR' THEN 's' WHEN 'NULL' THEN 'z' WHEN 'ARRAY' THEN 'c' WHEN 'OBJECT' THEN 'c' END AS a,
+                 CASE json_type(new) WHEN 'DOUBLE' THEN 'n' WHEN 'BOOLEAN' THEN 'b' WHEN 'VARCHAR' THEN 's' WHEN 'NULL' THEN 'z' ELSE 'c' END AS b, length(new->>'$') > 200 AS long FROM d)
+    SELECT id, line, CASE
+        WHEN a IS NULL THEN CASE WHEN field = 'number' THEN CASE WHEN b <> 'n' THEN 'wrong_type' END WHEN field = 'boolean' THEN CASE WHEN b <> 'b' THEN 'wrong_type' END WHEN field = 'shape' THEN 'unknown_kind' WHEN b = 's' THEN CASE WHEN long THEN 'too_long' END WHEN b <> 'z' THEN 'wrong_type' END
+        WHEN a = 'c' THEN 'nested' WHEN a IN ('n', 'b') THEN CASE WHEN b <> a THEN 'wrong_type' END WHEN b = 's' THEN CASE WHEN long THEN 'too_long' END WHEN a = 's' OR b = 'c' THEN 'wrong_type' END AS problem FROM k""")
 def edit_rules(spark, sf_dir):
-    """Edits of numbers, text and flags to either, and of arrays."""
-    k, long = F.col("p_partkey"), F.concat(F.lit('"'), F.repeat(F.regexp_replace("p_name", r'["\\]', "_"), F.lit(15)), F.lit('"'))
-    value = lambda n: F.when(n == 0, "1.5").when(n == 1, long).otherwise("true")
-    old = F.when(F.floor(k / 9) % 2 == 1, "[1]").otherwise(value(k % 3))
-    rows = s.table(spark, sf_dir, "part").select(k.alias("id"), F.try_parse_json(old).alias("a"), F.try_parse_json(value(F.floor(k / 3) % 3)).alias("b"))
-    return rows.select("id", payload.edit_problem(F.col("a"), F.col("b")).alias("problem"))
+    """Edits of numbers, nulls, flags, arrays, objects, text and properties that aren't there, by kind of field."""
+    k = F.col
+    text = F.concat(F.lit('"'), F.repeat(F.lit("ab"), (k("l_linenumber") * 20 + k("l_quantity")).cast("int")), F.lit('"'))
+    values = F.array(F.lit("1.5"), F.lit("null"), F.lit("true"), F.lit("[1]"), F.lit('{"a":1}'), text)
+    fields = F.array(*map(F.lit, ("number", "boolean", "text", None, "shape")))
+    rows = s.table(spark, sf_dir, "lineitem").select(k("l_orderkey").alias("id"), k("l_linenumber").alias("line"), F.get(fields, (k("l_suppkey") % 5).cast("int")).alias("field"), F.try_parse_json(F.get(values, (k("l_orderkey") % 7).cast("int"))).alias("a"), F.try_parse_json(F.get(values, (k("l_partkey") % 6).cast("int"))).alias("b"))
+    return rows.select("id", "line", payload.edit_problem(k("a"), k("b"), k("field")).alias("problem"))
 
 
 @query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'v' || s_suppkey WHEN s_suppkey % 3 = 1 THEN s_suppkey || '_' || s_nationkey ELSE '0_0' END AS token, CASE s_suppkey % 4 WHEN 0 THEN s_name WHEN 1 THEN 'f' || s_nationkey END AS thumbnail FROM supplier""")
@@ -69,11 +106,11 @@ def compatible_targets(spark, sf_dir):
     return rows.select(k.alias("id"), ok.alias("compatible"), payload.preflight(F.lit(True), mimes, gps, F.col("c_mktsegment")).alias("problem"))
 
 
-@query("SELECT event_id AS id, user_id AS project_id, ts AS created_at FROM events WHERE event_type <> 'error' ORDER BY ts DESC, event_id DESC LIMIT 200")
+@query("SELECT event_id AS id, user_id AS project_id, ts AS created_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
 def comparison_history(spark, sf_dir):
     """The latest 200 records (the history's own limit) of a table and what was appended to it."""
     rows = s.results(spark, sf_dir).select("id", F.col("session_id").alias("project_id"), "created_at", "plugin_id")
-    table = comparisons.appended(rows.filter("plugin_id in ('view', 'click')"), rows.filter("plugin_id in ('signup', 'purchase')"))
+    table = comparisons.appended(rows.filter("plugin_id in ('view', 'click')"), rows.filter("plugin_id not in ('view', 'click')"))
     return comparisons.history(table, limit=200).select("id", "project_id", "created_at")
 
 

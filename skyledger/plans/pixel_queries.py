@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, indices, numeric
-from ..operators import blur, detections, pixels
+from ..operators import blur, detections, outlines, pixels
 from . import standins as s
 from .registry import query
 
@@ -67,12 +67,55 @@ def change_grid(spark, sf_dir):
     return out.groupBy("img").agg(F.count_if(F.col("change") == "gain").alias("gain_pixels"), F.count_if(F.col("change") == "loss").alias("loss_pixels"), F.count("*").alias("cells"))
 
 
-@query()
+_CHANGED = f"""{s.grid_sql(False, "a")}, {s.grid_sql(True, "b0")}, b AS (SELECT img, x, y - 1 AS y, mask FROM b0),
+    c AS (SELECT img, x::BIGINT AS x, y::BIGINT AS y, CASE WHEN NOT a.mask AND b.mask THEN 'gain' WHEN a.mask AND NOT b.mask THEN 'loss' END AS change FROM a JOIN b USING (img, x, y)),
+    r AS (SELECT img, change, x, y, x AS rx, y AS ry FROM c WHERE change IS NOT NULL
+          UNION SELECT c.img, c.change, c.x, c.y, r.rx, r.ry FROM r JOIN c ON c.img = r.img AND c.change = r.change AND abs(c.x - r.x) + abs(c.y - r.y) = 1),
+    l AS (SELECT img, change, x, y, min((ry, rx)) AS head FROM r GROUP BY img, change, x, y)"""
+
+
+@query(f"""WITH RECURSIVE {_CHANGED}, p AS (SELECT img, change, head, count(*) AS pixels, min(x) AS x_min, min(y) AS y_min, max(x) AS x_max, max(y) AS y_max FROM l GROUP BY img, change, head)
+    SELECT img::BIGINT AS img, change, row_number() OVER (PARTITION BY img, change ORDER BY head) - 1 AS patch, pixels, pixels * 2.0::DOUBLE AS area_m2, x_min, y_min, x_max, y_max FROM p WHERE pixels * 2.0 >= 4""")
 def change_patches(spark, sf_dir):
+    """Connected cells of change, by runs of rows; the SQL spreads from cell to cell."""
     after = s.grid(spark, sf_dir, True).withColumn("y", F.col("y") - 1)
     return detections.change_patches(pixels.change_grid(s.grid(spark, sf_dir, False), after, "img"), 2.0, 4.0)
 
 
+@query(f"""WITH RECURSIVE {_CHANGED}, n AS (SELECT l.*, (SELECT count(*) FROM l k WHERE k.img = l.img AND k.change = l.change AND abs(k.x - l.x) + abs(k.y - l.y) = 1) AS near FROM l),
+    p AS (SELECT img, change, head, count(*) AS cells, sum(4 - near) AS border FROM n GROUP BY img, change, head)
+    SELECT img::BIGINT AS img, change, cells, cells::DOUBLE AS ring_area, border::BIGINT AS border, count(*) AS patches FROM p GROUP BY ALL""")
+def change_outlines(spark, sf_dir):
+    """Outlines of patches: what their rings enclose is the number of their cells, and their length that of the sides without a neighbour."""
+    after = s.grid(spark, sf_dir, True).withColumn("y", F.col("y") - 1)
+    cells = pixels.change_grid(s.grid(spark, sf_dir, False), after, "img").filter("change is not null").select(F.col("img").cast("long").alias("img"), "change", "x", "y")
+    steps = lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda a, b: F.struct((a[0] * b[1] - b[0] * a[1]).alias("twice"), (F.abs(a[0] - b[0]) + F.abs(a[1] - b[1])).alias("side")))
+    total = lambda field: F.aggregate("rings", F.lit(0).cast("long"), lambda t, r: t + F.aggregate(steps(r), F.lit(0).cast("long"), lambda u, e: u + e[field]))
+    out = outlines.polygons(cells, "img", "change").select("img", "change", "cells", (total("twice") / 2).alias("ring_area"), total("side").alias("border"))
+    return out.groupBy("img", "change", "cells", "ring_area", "border").agg(F.count("*").alias("patches"))
+
+
+_BOX = "(SELECT img, 64 AS a_width, 48 AS a_height, 10.0::DOUBLE AS a_west, -2.0::DOUBLE AS a_south, 10.64::DOUBLE AS a_east, -1.52::DOUBLE AS a_north, 40 + img AS b_width, 30 + img % 7 AS b_height, 10.1 + img / 50.0::DOUBLE AS b_west, -1.9::DOUBLE AS b_south, 10.9::DOUBLE AS b_east, -1.5::DOUBLE AS b_north FROM (SELECT DISTINCT img FROM a))"
+
+
+@query(f"""WITH {s.grid_sql(False, "a")}, {s.grid_sql(True, "b")}, g AS {_BOX},
+    t AS (SELECT *, greatest(a_west, b_west) AS w, greatest(a_south, b_south) AS s, least(a_east, b_east) AS e, least(a_north, b_north) AS n, least(a_width, b_width) AS tw, least(a_height, b_height) AS th FROM g),
+    c AS (SELECT t.*, x, y, w + (e - w) * ((x + 0.5::DOUBLE) / tw) AS lon, n + (s - n) * ((y + 0.5::DOUBLE) / th) AS lat FROM (SELECT *, unnest(range(th)) AS y FROM (SELECT *, unnest(range(tw)) AS x FROM t WHERE w < e AND s < n)) t),
+    k AS (SELECT img, x, y, greatest(least(floor((lon - a_west) / (a_east - a_west) * a_width), a_width - 1), 0) AS ax, greatest(least(floor((lat - a_north) / (a_south - a_north) * a_height), a_height - 1), 0) AS ay,
+                 greatest(least(floor((lon - b_west) / (b_east - b_west) * b_width), b_width - 1), 0) AS bx, greatest(least(floor((lat - b_north) / (b_south - b_north) * b_height), b_height - 1), 0) AS "by" FROM c)
+    SELECT k.img, k.x::INT AS x, k.y::INT AS y, CASE WHEN NOT a.mask AND b.mask THEN 'gain' WHEN a.mask AND NOT b.mask THEN 'loss' END AS change
+    FROM k LEFT JOIN a ON a.img = k.img AND a.x = ax AND a.y = ay LEFT JOIN b ON b.img = k.img AND b.x = bx AND b.y = "by" """)
+def change_over_footprint(spark, sf_dir):
+    """Masks of two sizes and places, compared on the grid over what both show."""
+    a, b = s.grid(spark, sf_dir, False), s.grid(spark, sf_dir, True)
+    d = lambda v: F.lit(float(v))
+    grids = a.select("img").distinct().select(
+        "img", F.lit(64).alias("a_width"), F.lit(48).alias("a_height"), d(10).alias("a_west"), d(-2).alias("a_south"), d(10.64).alias("a_east"), d(-1.52).alias("a_north"),
+        (F.col("img") + 40).alias("b_width"), (F.col("img") % 7 + 30).alias("b_height"), (F.col("img") / 50.0 + 10.1).alias("b_west"), d(-1.9).alias("b_south"), d(10.9).alias("b_east"), d(-1.5).alias("b_north"),
+    )
+    return pixels.change_over(a, b, grids, "img")
+
+
 _SUP = "s AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 3600) / 10.0::DOUBLE - 180 AS lon, (s_suppkey * 53 % 1600) / 10.0::DOUBLE - 80 AS lat, s_nationkey FROM supplier)"
 
 
