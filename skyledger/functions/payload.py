@@ -145,3 +145,95 @@ def compatible(mimes: Column, granularity: Column, aoi_ok: Column, needs: Column
 def preflight(gps_required: Column, formats: Column, has_gps: Column, format_: Column) -> Column:
     """Why an image is refused: no_gps or bad_format; null if it isn't. Null rules ask for nothing."""
     return F.when(F.coalesce(gps_required, F.lit(False)) & ~has_gps, "no_gps").when(formats.isNotNull() & ~F.exists(formats, lambda f: F.lower(f) == F.lower(format_)), "bad_format")
+
+
+def parameter_problems(definitions: Column, values: Column) -> Column:
+    """array<struct<key, problem>> of the values that break their definitions (``parameters`` of a schema document), by key; empty if none does.
+
+    A parameter is a boolean, string, select (text among its options) or number (between min and max).
+    """
+    said = lambda d, path: F.when(kind(member(d, path)) == "string", F.try_variant_get(d, path, "string"))
+    many = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+
+    def judged(x: Column) -> Column:
+        d, v, t, k, n = (x[c] for c in ("d", "v", "type", "kind", "n"))
+        options = F.transform(F.filter(many(d, "$.options"), lambda o: kind(o) == "string"), lambda o: F.try_variant_get(o, "$", "string"))
+        return (
+            F.when(d.isNull(), "unknown").when(t.isin("boolean", "string"), F.when(k != t, F.concat(F.lit("not a "), t)))
+            .when(t == "select", F.when((k != "string") | ~F.coalesce(F.array_contains(options, F.try_variant_get(v, "$", "string")), F.lit(False)), "not an option"))
+            .when(t == "number", F.when(k != "number", "not a number").when(n < number(d, "$.min"), "below minimum").when(n > number(d, "$.max"), "above maximum")).otherwise("unsupported type")
+        )
+
+    def about(x: Column) -> Column:
+        d, v = x["d"], x["v"]
+        return F.struct(d.alias("d"), v.alias("v"), F.coalesce(said(d, "$.type"), F.lit("")).alias("type"), F.coalesce(kind(v), F.lit("null")).alias("kind"), number(v).alias("n"))
+
+    def rows(both: Column) -> Column:
+        pair = lambda k: F.struct(F.get(F.filter(both["defs"], lambda d: d["name"] == k), F.lit(0))["d"].alias("d"), F.try_element_at(both["held"], k).alias("v"))
+        return F.transform(F.array_sort(F.map_keys(both["held"])), lambda k: F.struct(k.alias("key"), _with(_with(pair(k), about), judged).alias("problem")))
+
+    named = F.transform(many(definitions, "$.parameters"), lambda d: F.struct(said(d, "$.name").alias("name"), d.alias("d")))
+    found = _with(F.struct(named.alias("defs"), F.try_variant_get(values, "$", "map<string, variant>").alias("held")), rows)
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit("not an object").alias("problem")))
+    return F.when(F.coalesce(kind(values), F.lit("null")) != "object", whole).otherwise(F.filter(found, lambda r: r["problem"].isNotNull()))
+
+
+def plot_requests(parameters: Column) -> Column:
+    """struct<plots: array<struct<plot_id, ring>>, problem> of the ``plots`` parameter, an array or one in a string; a plot without an id is named by its place.
+
+    The first fault is the problem, and there are no plots then: bad JSON, no array, a plot without a polygon, or one with fewer than 3 good points.
+    """
+    raw = member(parameters, "$.plots")
+
+    def plot(item: Column, k: Column) -> Column:
+        name = F.coalesce(F.when(kind(member(item, "$.plot_id")) == "string", F.try_variant_get(item, "$.plot_id", "string")), F.concat(F.lit("plot_"), (k + 1).cast("string")))
+        pairs = F.transform(F.when(kind(member(item, "$.polygon")) == "array", F.try_variant_get(item, "$.polygon", "array<variant>")), lambda p: F.array(number(p, "$[0]"), number(p, "$[1]")))
+        return F.struct(name.alias("plot_id"), F.filter(pairs, lambda p: p[0].isNotNull() & p[1].isNotNull()).alias("ring"))
+
+    def inner(x: Column) -> Column:
+        asked = (x["kind"] == "array") | (x["kind"] == "string") & (F.trim(x["text"]) != "")
+        return F.struct(F.coalesce(asked, F.lit(False)).alias("asked"), F.when(x["kind"] == "array", x["raw"]).when(x["kind"] == "string", F.try_parse_json(x["text"])).alias("v"))
+
+    def read(x: Column) -> Column:
+        return F.struct(x["asked"].alias("asked"), x["v"].isNull().alias("bad"), kind(x["v"]).alias("kind"), F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), plot).alias("plots"))
+
+    def first(x: Column) -> Column:
+        return F.struct(x.alias("x"), F.get(F.filter(x["plots"], lambda p: p["ring"].isNull() | (F.size(p["ring"]) < 3)), F.lit(0)).alias("wrong"))
+
+    def whole(y: Column) -> Column:
+        x, wrong = y["x"], y["wrong"]
+        problem = (
+            F.when(~x["asked"], None).when(x["bad"], "bad JSON").when(x["kind"] != "array", "not an array")
+            .when(wrong.isNotNull() & wrong["ring"].isNull(), F.concat(F.lit("no polygon: "), wrong["plot_id"])).when(wrong.isNotNull(), F.concat(F.lit("too few points: "), wrong["plot_id"]))
+        )
+        return F.struct(F.when(x["asked"] & problem.isNull(), x["plots"]).alias("plots"), problem.alias("problem"))
+
+    start = F.struct(raw.alias("raw"), kind(raw).alias("kind"), F.try_variant_get(raw, "$", "string").alias("text"))
+    return _with(_with(_with(_with(start, inner), read), first), whole)
+
+
+def execution_result(v: Column) -> Column:
+    """struct<job_id, status, execution_time_ms, metrics, artifacts, error> of a result document; what is missing or of another type has its default: empty, failure, 0."""
+    said = lambda path: F.when(kind(member(v, path)) == "string", F.try_variant_get(v, path, "string"))
+    held = lambda path: F.when(kind(member(v, path)) == "object", F.try_variant_get(v, path, "map<string, variant>"))
+    took = F.try_variant_get(v, "$.execution_time_ms", "bigint")
+    whole = F.schema_of_variant(member(v, "$.execution_time_ms")) == "BIGINT"
+
+    def artifact(k: Column, a: Column) -> Column:
+        inner = lambda path: F.coalesce(F.when(kind(member(a, path)) == "string", F.try_variant_get(a, path, "string")), F.lit(""))
+        return F.struct(k.alias("key"), inner("$.file_path").alias("file_path"), inner("$.format").alias("format"), F.when(kind(member(a, "$.bounds")) == "array", _numbers(member(a, "$.bounds"))).alias("bounds"))
+
+    none = F.create_map().cast("map<string, variant>")
+    listed = _with(F.coalesce(held("$.artifacts"), none), lambda m: F.transform(F.array_sort(F.map_keys(m)), lambda k: _with(F.try_element_at(m, k), lambda a: artifact(k, a))))
+    return F.struct(
+        F.coalesce(said("$.execution_id"), F.lit("")).alias("job_id"), F.coalesce(said("$.status"), F.lit("failure")).alias("status"), F.coalesce(F.when(whole & (took >= 0), took), F.lit(0)).cast("long").alias("execution_time_ms"),
+        F.coalesce(held("$.metrics"), none).alias("metrics"), listed.alias("artifacts"), said("$.error").alias("error"),
+    )
+
+
+def inside(folder: Column, path: Column) -> Column:
+    """``path``, taken from ``folder`` unless it is absolute, without "." and "..", if it lies below ``folder``; else null."""
+    clean = lambda p: F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x)))
+    joined = lambda parts: F.concat(F.lit("/"), F.concat_ws("/", parts))
+    top, at = joined(clean(folder)), joined(clean(F.when(path.startswith("/"), path).otherwise(F.concat(folder, F.lit("/"), path))))
+    return F.when(at.startswith(F.concat(top, F.lit("/"))), at)
