@@ -4,8 +4,11 @@ Lines are normalised (case, digits, white space) and hashed; for each host the d
 with a line are counted. Lines of more documents than the limit are boilerplate and removed; a
 document of which too little is left is rejected.
 
-Defined results: a null or empty text has no words and fails; null hosts form one host; rows with a
-repeated id are separate documents; an empty table gives no rows.
+Defined results: a null or empty text has no words and fails; null hosts and empty ones form one host;
+every row is judged by its own text, but rows with equal ids are one document to the count of a line, so
+a repeated document doesn't make its lines boilerplate, and rows with null ids are one each; texts of any
+length are read whole; a line that as many documents as the limit have stays; extra columns, whatever
+their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -90,9 +93,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     half of its words repeat.
     """
     stats = common.saved(statistics(docs, id_col, text_col, host_col).withColumn("_row", F.monotonically_increasing_id()), "quality")
-    lines = stats.select("_row", "host", F.explode(F.arrays_zip("lines", "chars")).alias("l")).select("_row", "host", F.col("l.lines").alias("_line"), F.col("l.chars").alias("_chars"))
-    often = lines.groupBy("host", "_line").agg(F.count("*").alias("_n")).filter(F.col("_n") > least_docs).select("host", "_line")
-    removed = lines.join(often, ["host", "_line"]).groupBy("_row").agg(F.sum("_chars").alias("_removed"), F.count("*").alias("n_boilerplate_lines"))
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("_row"))).alias("_document")
+    lines = stats.select("_row", "host", document, F.explode(F.arrays_zip("lines", "chars")).alias("l")).select("_row", "host", "_document", F.col("l.lines").alias("_line"), F.col("l.chars").alias("_chars"))
+    often = common.saved(lines.groupBy("host", "_line").agg(F.count_distinct("_document").alias("_n")).filter(F.col("_n") > least_docs).select("host", "_line"), "boilerplate")
+    # All rows of a frequent line would meet in one task of a shuffled join.
+    removed = lines.join(common.small_or_not(often), ["host", "_line"]).groupBy("_row").agg(F.sum("_chars").alias("_removed"), F.count("*").alias("n_boilerplate_lines"))
     total = F.coalesce(F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = total - F.coalesce("_removed", F.lit(0))
