@@ -11,9 +11,9 @@ apart. A template therefore names the words that must stand in a row (its mark),
 meets it is labelled only if it has them.
 
 Defined results: a null or empty text has no words, no places and no labels; a text of any length is
-read whole; rows with equal ids share the labels found in any of them; null ids get no labels from
-templates; templates that a block meets equally well all label it; extra columns are not read; an
-empty table gives no rows.
+read whole; every row has the labels of its own text, whatever its id, which may be null or stand in
+other rows; templates that a block meets equally well all label it; extra columns, whatever their names,
+are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -94,11 +94,11 @@ def read_once(rows: DataFrame, templates: list[tuple[str, str, str]], threshold:
     said = lambda s: F.concat(F.lit(" "), F.array_join(cut(s), " "), F.lit(" "))
     marks = lambda s: F.filter(listed({mark for _, mark, _ in templates}), lambda m: F.contains(said(s), F.concat(F.lit(" "), m, F.lit(" "))))
     blocks = F.transform(starts, lambda s: F.struct(s.cast("long").alias("start"), F.array_intersect(cut(s), listed(vocabulary)).alias("block"), marks(s).alias("marks")))
-    return known.select("doc_id", F.size("words").cast("long").alias("n_words"), *(places(p).alias(k) for k, p in PHRASES.items()), "known", F.when(F.col("doc_id").isNotNull() & rich, blocks).alias("blocks"))
+    return known.select("doc_id", F.size("words").cast("long").alias("n_words"), *(places(p).alias(k) for k, p in PHRASES.items()), "known", F.when(rich, blocks).alias("blocks"))
 
 
-def matches(read: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, start, label, marked, containment) of every block of rows (doc_id, known, blocks) that meets a template; start is in words."""
+def matches(read: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, threshold: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """(key, start, label, marked, containment) of every block of rows (key, known, blocks) that meets a template; start is in words."""
     # The templates' words alone, with their document frequencies, come to the driver: as many rows as the list has words.
     frequency = {r["word"]: r["n"] for r in read.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     limits = needs(templates, threshold)
@@ -110,23 +110,23 @@ def matches(read: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES,
         index += [(w, k, label, templates[k][1], pos, len(own), need, own) for pos, w in enumerate(own[: len(own) - need + 1])]
     prefix = read.sparkSession.createDataFrame(index, "word string, template int, label string, mark string, t_pos int, t_size int, need int, own array<string>")
     least = min(need for *_, need in limits)
-    blocks = read.select("doc_id", F.explode("blocks").alias("x")).select("doc_id", "x.start", "x.marks", F.array_intersect(F.lit(order), F.col("x.block")).alias("block"))
-    at = blocks.filter((F.size("block") >= least) & F.arrays_overlap("block", listed({w for w, *_ in index}))).select("doc_id", "start", "marks", "block", F.posexplode("block").alias("b_pos", "word"))
+    blocks = read.select(key, F.explode("blocks").alias("x")).select(key, "x.start", "x.marks", F.array_intersect(F.lit(order), F.col("x.block")).alias("block"))
+    at = blocks.filter((F.size("block") >= least) & F.arrays_overlap("block", listed({w for w, *_ in index}))).select(key, "start", "marks", "block", F.posexplode("block").alias("b_pos", "word"))
     # The index has as many rows as the templates have prefix words.
     pairs = at.join(F.broadcast(prefix), "word").filter((F.size("block") >= F.col("need")) & (F.least(F.size("block") - F.col("b_pos"), F.col("t_size") - F.col("t_pos")) >= F.col("need")))
     shared = F.size(F.array_intersect("own", "block"))
-    return pairs.filter(shared >= F.col("need")).select("doc_id", "start", "label", F.expr("array_contains(marks, mark)").alias("marked"), (shared / F.col("t_size")).alias("containment")).distinct()
+    return pairs.filter(shared >= F.col("need")).select(key, "start", "label", F.expr("array_contains(marks, mark)").alias("marked"), (shared / F.col("t_size")).alias("containment")).distinct()
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (best containment; 1 with a counted phrase) per row."""
     rows = common.texts(docs, id_col, text_col).select("doc_id", lowered(F.col("text")).alias("low"))
     # Texts are split once: what is kept of them is small.
-    read = common.saved(read_once(rows, templates, threshold), "license")
-    more = matches(read, templates, threshold).filter("marked").groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    read = common.saved(read_once(rows, templates, threshold).withColumn("row", F.monotonically_increasing_id()), "license")
+    more = matches(read, templates, threshold, "row").filter("marked").groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     found = F.concat(*(F.col(f"`{k}`") for k in PHRASES))
     base = F.array_compact(F.array(*(F.when(F.size(F.col(f"`{k}`")) > 0, k) for k in PHRASES)))
-    joined = read.select("doc_id", "n_words", F.size(found).cast("long").alias("n_base"), F.array_min(found).alias("first_word"), F.array_max(found).alias("last_word"), base.alias("base")).join(more, "doc_id", "left")
+    joined = read.select("row", "doc_id", "n_words", F.size(found).cast("long").alias("n_base"), F.array_min(found).alias("first_word"), F.array_max(found).alias("last_word"), base.alias("base")).join(more, "row", "left")
     sorted_ = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return joined.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", sorted_(F.col("base")).alias("base_labels"),
