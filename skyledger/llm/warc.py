@@ -4,12 +4,12 @@ Every record is a gzip member of its own. A reading task scans its byte range fo
 takes a place for a member only if a WARC header can be decoded from it, and owns the records that
 start inside its range, wherever they end.
 
-The reader takes any archive whose records are gzip members. Records of other kinds (warcinfo,
+The reader takes any archive of gzip members, with one record or several in each. Records of other kinds (warcinfo,
 request, metadata and so on) are rows too, with their whole block as payload; what a record doesn't
 say is null. A record is held whole by the task that owns it.
 
 Defined results: a null html is an empty payload; a null id is written as an empty header value and
-read as null; repeated rows give repeated records; an html of any length is one record; extra columns
+read as null; an empty file has no records; repeated rows give repeated records; an html of any length is one record; extra columns
 are not read; an empty table gives no archives and no records.
 """
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -143,8 +143,23 @@ def fields(head: dict[str, str], block: bytes) -> dict:
     return {"page_id": _number(head.get("x-page-id")), "url": head.get("warc-target-uri"), "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": _number(head.get("x-refers-to-page")), "payload": payload}
 
 
-def read_member(f, at: int) -> tuple[int, dict[str, str], bytes] | None:
-    """End, headers and block of the member at a byte, or None if no WARC record starts there."""
+def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record in a member's bytes; one without a length takes the rest."""
+    while data.startswith(b"WARC/1."):
+        head, sep, rest = data.partition(CRLF + CRLF)
+        if not sep:
+            return
+        headers = _headers(head)
+        length = _number(headers.get("content-length"))
+        if length is None:
+            yield headers, rest.removesuffix(CRLF + CRLF)
+            return
+        yield headers, rest[:length]
+        data = rest[length:].lstrip(CRLF)
+
+
+def read_member(f, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]]] | None:
+    """End and records of the member at a byte, or None if no WARC record starts there."""
     z = zlib.decompressobj(31)
     f.seek(at)
     chunks, end = [], at
@@ -161,16 +176,12 @@ def read_member(f, at: int) -> tuple[int, dict[str, str], bytes] | None:
                 chunks.append(part)
     except zlib.error:
         return None
-    head, sep, rest = b"".join(chunks).partition(CRLF + CRLF)
-    if not sep or not head.startswith(b"WARC/1."):
-        return None
-    headers = _headers(head)
-    length = _number(headers.get("content-length"))
-    return end - len(z.unused_data), headers, rest.removesuffix(CRLF + CRLF) if length is None else rest[:length]
+    found = list(records(b"".join(chunks)))
+    return (end - len(z.unused_data), found) if found else None
 
 
-def members(f, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(first byte, headers, block) of the records that start in [start, end) of an open file."""
+def members(f, start: int, end: int) -> Iterator[tuple[int, int, list[tuple[dict[str, str], bytes]]]]:
+    """(first byte, end, records) of the members that start in [start, end) of an open file. One may lie inside a member that began before, if that stores an archive as it is."""
     at = start
     while at < end:
         f.seek(at)
@@ -180,18 +191,22 @@ def members(f, start: int, end: int) -> Iterator[tuple[int, dict[str, str], byte
         while k >= 0 and at + k < end:
             if found := read_member(f, at + k):
                 done = found[0] - at
-                yield at + k, *found[1:]
+                yield at + k, *found
             k = block.find(MAGIC, max(k + 1, done))
         at += max(1, len(block) - 2, done)
 
 
 def splits(files: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
-    """(file, bytes, start, end), one row per byte range."""
-    return files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")).withColumn("end", F.least(F.col("start") + split_bytes, "bytes"))
+    """(file, bytes, start, end), one row per byte range; empty files have none."""
+    return files.filter("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")).withColumn("end", F.least(F.col("start") + split_bytes, "bytes"))
 
 
 def scan(files: DataFrame, split_bytes: int = 16 << 20, with_payload: bool = False) -> DataFrame:
-    """Records of the listed archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
+    """Records of the listed archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
+
+    A split may start inside a member that stores another archive and take that one's members for its
+    own. Members follow each other, so one that starts before the end of an earlier one is dropped.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -199,10 +214,11 @@ def scan(files: DataFrame, split_bytes: int = 16 << 20, with_payload: bool = Fal
                 fs, base = _fs(file)
                 out = defaultdict(list)
                 with fs.open_input_file(base) as f:
-                    for _, head, block in members(f, start, end):
-                        for k, v in fields(head, block).items():
-                            if k != "payload" or with_payload:
-                                out[k].append(v)
+                    for at, until, found in members(f, start, end):
+                        for head, block in found:
+                            for k, v in (fields(head, block) | {"member_file": file, "member_start": at, "member_end": until}).items():
+                                if k != "payload" or with_payload:
+                                    out[k].append(v)
                         if len(out["page_id"]) >= 500:
                             yield out
                             out = defaultdict(list)
@@ -212,7 +228,12 @@ def scan(files: DataFrame, split_bytes: int = 16 << 20, with_payload: bool = Fal
     ranges = splits(files, split_bytes)
     n = max(1, files.sparkSession.sparkContext.defaultParallelism)
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return common.map_batches(ranges.repartition(4 * n), run, schema)
+    place = ["member_file", "member_start", "member_end"]
+    rows = common.saved(common.map_batches(ranges.repartition(4 * n), run, f"{schema}, member_file string, member_start long, member_end long"), "warc-records")
+    before = F.max("member_end").over(Window.partitionBy("member_file").orderBy("member_start").rangeBetween(Window.unboundedPreceding, -1))
+    inner = rows.select(*place).distinct().withColumn("_before", before).filter("_before > member_start").select(*place[:2])
+    inner = common.small_or_not(common.saved(inner, "warc-inner"))
+    return rows.join(inner, place[:2], "left_anti").drop(*place)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """SimHash near-duplicates, the filter audit and the conversation trie against plain brute-force versions."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from skyledger.llm import conversation_trie, filter_audit, queries, simhash
+from skyledger.llm import conversation_trie, filter_audit, license, quality, queries, simhash, warc
 
 TABLES = "documents labels conversations".split()
 
@@ -192,3 +193,44 @@ def test_sql(spark, sf_dir, name):
     res = con.execute(queries.ORACLE_SQL[name])
     assert df.columns == [d[0] for d in res.description]
     assert sorted(map(tuple, df.collect()), key=str) == sorted(res.fetchall(), key=str)
+
+
+def record(page, block=b"x" * 20):
+    return b"WARC/1.0\r\nWARC-Type: resource\r\nX-Page-Id: %d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (page, len(block), block)
+
+
+@pytest.mark.parametrize("size", [64, 500, 1 << 20])
+def test_warc_members_of_several_records_stored_archives_and_empty_files(spark, tmp_path, size):
+    rng = random.Random(2)
+    inner = b"".join(gzip.compress(record(900 + k, rng.randbytes(200))) for k in range(3))
+    stored = gzip.compress(record(2, inner), compresslevel=0)
+    files = {"several": gzip.compress(record(1) + record(11, b"WARC/1.0 no record") + record(12, b"")) + gzip.compress(record(3)), "nested": gzip.compress(record(4)) + stored + gzip.compress(record(5)), "empty": b""}
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    table = spark.createDataFrame([(f"file://{tmp_path}/{k}", len(v)) for k, v in files.items()], "file string, bytes long")
+    assert sorted(r["page_id"] for r in warc.scan(table, split_bytes=size).collect()) == [1, 2, 3, 4, 5, 11, 12]
+    assert {r["page_id"]: bytes(r["payload"]) for r in warc.scan(table, size, with_payload=True).collect()}[2] == inner
+    assert warc.scan(table.filter("bytes = 0")).count() == 0
+
+
+def test_quality_counts_documents_not_rows(spark):
+    line = " ".join(f"word{k}" for k in range(60))
+    letters = lambda k: "".join(chr(97 + int(c)) for c in str(k)) + "x"  # noqa: E731  (digits are alike to lines)
+    text = line + "\n" + line.replace("word", "other")
+    rows = [(1, text, "h")] * 25 + [(k, line.replace("word", letters(k)) + "\nfooter of the site", "h") for k in range(100, 130)] + [(None, text, None)] * 30 + [(7, None, "h"), (8, "", None)] + [(200 + k, line.replace("word", letters(k)) + "\nlimit line", "g") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"n_words": F.lit("x"), "lines": F.lit(1)})
+    got = defaultdict(set)
+    for r in quality.judge(df).collect():
+        got[r["doc_id"]].add((r["kept"], r["n_boilerplate_lines"]))
+    assert got[1] == {(True, 0)} and got[7] == got[8] == {(False, 0)} and got[110] == {(True, 1)} and got[205] == {(True, 0)}
+    # Thirty rows without an id are thirty documents.
+    assert got[None] == {(False, 2)}
+    assert quality.judge(df.limit(0)).count() == 0
+    assert quality.judge(spark.createDataFrame([(1, "a b c d e f g h " * 200_000, "h")], "doc_id long, text string, source string")).first()["kept"] is False
+
+
+def test_license_labels_go_by_row(spark):
+    rows = [(5, "Released under the MIT License"), (5, "nothing at all here"), (None, "Released under the MIT License"), (None, None), (6, "word " * 50_000 + "released under the mit license")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "labels": F.lit("x")})
+    got = sorted(((r["doc_id"], r["n_words"], r["labels"], r["score"]) for r in license.scan(df).collect()), key=str)
+    assert got == sorted([(5, 5, "mit", 1.0), (5, 4, "", 0.0), (None, 5, "mit", 1.0), (None, 0, "", 0.0), (6, 50_005, "mit", 1.0)], key=str)
