@@ -14,8 +14,9 @@ BROKEN, OVERLAY = "#E74C3C", "#3498DB"
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """(id, format, part, v, length, mtime_ms): {id}.json, {id}/layer.json and {id}/features/*.json below ``folder``; v is null where a file is no JSON. Hidden names and bad ids are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder)
-    top = F.lit(folder.rstrip("/").split(":", 1)[-1].lstrip("/"))
-    below = F.regexp_replace(F.substring_index(F.concat(F.lit("/"), F.col("path")), top, -1), "^/+", "")
+    # Listed paths start with the store's name and the folder.
+    top = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
+    below = F.regexp_replace(F.substring_index("path", f"/{top}/", -1), "^/+", "")
     parts = F.split(below, "/")
     rows = files.select(parts.alias("_p"), F.try_parse_json(F.decode("content", "UTF-8")).alias("v"), "length", F.unix_millis("modificationTime").alias("mtime_ms"))
     n, first = F.size("_p"), F.col("_p")[0]
@@ -46,7 +47,7 @@ def summaries(docs: DataFrame) -> DataFrame:
     picture = F.coalesce(*(F.nullif(F.trim(_said(F.col("f"), p)), F.lit("")) for p in ("$.image_url", "$.properties.image_url")))
     seen = features.unionByName(own).select("id", "format", F.coalesce(good, F.lit(False)).alias("_good"), _said(F.col("f"), "$.geometry.type").alias("_type"), edited.alias("_edited"), picture.alias("_picture"), F.monotonically_increasing_id().alias("_k"))
     per = seen.groupBy("id", "format").agg(F.count_if("_good").alias("_n"), F.count_if(~F.col("_good")).alias("_bad"), F.min(F.when(F.col("_good"), F.col("_type"))).alias("_a"), F.max(F.when(F.col("_good"), F.col("_type"))).alias("_b"), F.coalesce(F.bool_or(F.col("_good") & F.col("_edited")), F.lit(False)).alias("_edited"), F.min_by("_picture", F.when(F.col("_good") & F.col("_picture").isNotNull(), F.col("_k"))).alias("_picture"))
-    ids = docs.groupBy("id").agg(F.when(F.count_if("format = 'decomposed'") > 0, "decomposed").otherwise("flat").alias("format"))
+    ids = docs.groupBy("id").agg(F.when(F.count_if(F.col("format") == "decomposed") > 0, "decomposed").otherwise("flat").alias("format"))
     rows = ids.join(layer, ["id", "format"], "left").join(per, ["id", "format"], "left").withColumns({"_kind": kind_, "_name": _said(v, "$.layer_name")})
     flat_list = (F.col("format") == "decomposed") | listed.isNotNull() & (F.coalesce("_bad", F.lit(0)) == 0)
     fine = F.coalesce(F.col("_name").isNotNull() & F.col("_kind").isin("polygon", "point", "line", "image_overlay") & flat_list, F.lit(False))
