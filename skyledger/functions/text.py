@@ -129,8 +129,10 @@ def progress(line: Column, schema: str = "percent int, message string") -> Colum
 
 
 def crs_name(code: Column) -> Column:
-    zone = F.lpad((code % 100).cast("string"), 2, "0")
-    return F.when(code == 4326, "WGS 84").when(code == 3857, "WGS 84 / Pseudo-Mercator").when(code.between(32601, 32660), F.concat(F.lit("WGS 84 / UTM zone "), zone, F.lit("N"))).when(code.between(32701, 32760), F.concat(F.lit("WGS 84 / UTM zone "), zone, F.lit("S"))).otherwise(F.format_string("EPSG:%d", code))
+    """"EPSG:n" and what is known of it."""
+    zone = lambda side: F.format_string(f" (UTM Zone %d{side})", code % 100)
+    known = F.when(code == 4326, " (WGS84 Geodetic)").when(code == 3857, " (Web Mercator)").when(code.between(32601, 32660), zone("N")).when(code.between(32701, 32760), zone("S")).otherwise("")
+    return F.concat(F.format_string("EPSG:%d", code), known)
 
 
 def destination_name(path: Column) -> Column:
