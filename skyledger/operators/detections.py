@@ -19,7 +19,7 @@ def filter_confidence(d: DataFrame, threshold: float) -> DataFrame:
 
 
 def _greedy(rows: pd.DataFrame, limit: float) -> pd.DataFrame:
-    rows = rows.sort_values(["confidence", "seq"], ascending=[False, True])
+    rows = rows.sort_values(["confidence", "seq", "x_min", "y_min", "x_max", "y_max"], ascending=[False] + 5 * [True])
     box = rows[["x_min", "y_min", "x_max", "y_max"]].to_numpy(float)
     area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
     kept: list[int] = []
@@ -34,9 +34,39 @@ def _greedy(rows: pd.DataFrame, limit: float) -> pd.DataFrame:
     return rows.iloc[kept]
 
 
+def _area(p: str) -> Column:
+    return (F.col(f"{p}x_max") - F.col(f"{p}x_min")) * (F.col(f"{p}y_max") - F.col(f"{p}y_min"))
+
+
+def conflicts(boxes: DataFrame, iou_threshold: float, image: str) -> DataFrame:
+    """Links (u, v) between boxes (with a number ``_box``) of an image that overlap by more than the limit.
+
+    Boxes meet in the cells of a grid, twice as wide as an image's mean box; a pair is taken in the one
+    cell that holds the corner of what the two share.
+    """
+    own = boxes.select(image, "_box", *(F.col(c).cast("double").alias(c) for c in ("x_min", "y_min", "x_max", "y_max")))
+    sides = own.groupBy(image).agg(F.greatest(2 * F.avg(F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"))), F.lit(1e-9)).alias("_cell"))
+    cell = lambda c: F.floor(F.col(c) / F.col("_cell"))
+    rows = own.join(sides, image).withColumn("_cx", F.explode(F.sequence(cell("x_min"), cell("x_max")))).withColumn("_cy", F.explode(F.sequence(cell("y_min"), cell("y_max"))))
+    other = rows.select(image, "_cx", "_cy", F.col("_box").alias("_other"), *(F.col(c).alias(f"o_{c}") for c in ("x_min", "y_min", "x_max", "y_max")))
+    w, h = F.least("x_max", "o_x_max") - F.greatest("x_min", "o_x_min"), F.least("y_max", "o_y_max") - F.greatest("y_min", "o_y_min")
+    here = (F.floor(F.greatest("x_min", "o_x_min") / F.col("_cell")) == F.col("_cx")) & (F.floor(F.greatest("y_min", "o_y_min") / F.col("_cell")) == F.col("_cy"))
+    pairs = rows.join(other, [image, "_cx", "_cy"]).filter("_box > _other").filter(here & (w > 0) & (h > 0))
+    return pairs.filter(w * h > iou_threshold * (_area("") + _area("o_") - w * h)).select(F.col("_box").alias("u"), F.col("_other").alias("v"))
+
+
 def suppressed(boxes: DataFrame, iou_threshold: float = 0.5, image: str = "image_id") -> DataFrame:
-    """Greedy suppression per image: most confident first, equal ones by seq; a box goes if it overlaps a kept one by more than the limit."""
-    return boxes.groupBy(image).applyInPandas(lambda rows: _greedy(rows, iou_threshold), boxes.schema)
+    """Greedy suppression per image: most confident first, equal ones by seq, then by place; a box goes if it overlaps a kept one by more than the limit.
+
+    Boxes only bear on those that they overlap, so an image is taken apart into groups that no overlap
+    joins, and these are settled one by one: a group is a cluster of boxes, whatever the image's size.
+    """
+    rows = saved(boxes.withColumn("_box", F.monotonically_increasing_id()), "boxes")
+    groups = saved(components.connected(conflicts(rows, iou_threshold, image)), "clusters")
+    alone = rows.join(groups, rows["_box"] == groups["id"], "left_anti").drop("_box")
+    clusters = rows.join(groups, rows["_box"] == groups["id"]).drop("_box", "id")
+    kept = clusters.groupBy("component").applyInPandas(lambda g: _greedy(g.drop(columns="component"), iou_threshold), boxes.schema)
+    return alone.union(kept.select(*alone.columns))
 
 
 def numbered(boxes: DataFrame, model: str, image: str = "image_id") -> DataFrame:
@@ -104,3 +134,22 @@ def majority(labels: DataFrame, segment: str = "segment", label: str = "label",
 def is_validation(name: Column, fraction: float) -> Column:
     """A stable split by CRC-32 of the name."""
     return F.crc32(F.encode(name, "UTF-8")) % 1000 < fraction * 1000
+
+
+def crown_limits(gsd_cm: Column, least_m: float = 1.0, most_m: float = 8.0) -> dict[str, Column]:
+    """Crown sizes in pixels for a ground resolution: min_px, max_px and min_area_px."""
+    gsd_m = F.greatest(gsd_cm, F.lit(0.01)) / 100.0
+    low = F.greatest(F.lit(3.0), least_m / gsd_m)
+    return {"min_px": low, "max_px": F.greatest(2 * low, most_m / gsd_m), "min_area_px": F.greatest(F.lit(4), F.floor(0.25 * low * low)).cast("int")}
+
+
+def rescaled(boxes: DataFrame, scale: Column) -> DataFrame:
+    """Boxes found on a resized picture in the pixels of the original; those without extent go, confidence is from 0 to 1."""
+    rows = boxes.filter("x_max > x_min and y_max > y_min")
+    return rows.withColumns({c: F.col(c) / scale for c in ("x_min", "y_min", "x_max", "y_max")} | {"confidence": F.bround(F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)), 3)})
+
+
+def full_tiles(sizes: DataFrame, size: int) -> DataFrame:
+    """Corners (x, y) of the tiles that lie in pictures (width, height) whole."""
+    corners = lambda side: F.explode(F.when(F.col(side) >= size, F.sequence(F.lit(0), F.col(side) - size, F.lit(size))))
+    return sizes.withColumn("y", corners("height")).withColumn("x", corners("width"))

@@ -113,3 +113,16 @@ def shares(items: DataFrame, value: str) -> DataFrame:
     positive: Column = F.greatest(F.col(value), F.lit(0))
     total = items.agg(F.sum(positive).alias("_total"))
     return items.crossJoin(F.broadcast(total)).withColumn("share", F.when(F.col("_total") > 0, F.floor(positive * 100.0 / F.col("_total") + 0.5)).otherwise(0).cast("long")).drop("_total")
+
+
+def stacked(rows: DataFrame, label: str, value: str) -> DataFrame:
+    """Height of the stack at each label: the sum of what is above zero."""
+    return rows.groupBy(label).agg(F.sum(F.greatest(F.col(value), F.lit(0))).alias("total"))
+
+
+def of_category(layers: DataFrame, category: str) -> DataFrame:
+    return layers.filter(F.col("category") == category)
+
+
+def shown(layers: DataFrame, layer, visible: bool, key: str = "layer_id") -> DataFrame:
+    return layers.withColumn("is_visible", F.when(F.col(key) == layer, F.lit(visible)).otherwise(F.col("is_visible")))

@@ -90,3 +90,16 @@ def session_range(sessions: DataFrame, images: DataFrame) -> DataFrame:
 def coverage_change(before: Column, after: Column) -> Column:
     """Percentage points; an error unless both lie in 0 to 100."""
     return numeric.checked(after, numeric.valid_coverage(after), "coverage outside 0 to 100") - numeric.checked(before, numeric.valid_coverage(before), "coverage outside 0 to 100")
+
+
+def class_change_text(place: Column, before: Column, after: Column) -> Column:
+    """"place: before -> after", null where nothing changed."""
+    return F.when(before != after, F.concat(place.cast("string"), F.lit(": "), before, F.lit(" -> "), after))
+
+
+def count_change_text(place: Column, change: Column, direction: Column) -> Column:
+    return F.format_string("%s: %+d pohon (%s)", place.cast("string"), change.cast("long"), direction)
+
+
+def coverage_change_text(change: Column) -> Column:
+    return F.concat(F.lit("Perubahan: "), change.cast("double").cast("string"), F.lit(" percentage points"))

@@ -199,12 +199,19 @@ def segment_majority(spark, sf_dir):
 
 def _boxes(spark, sf_dir):
     k, x, y = F.col("l_linenumber"), F.col("l_partkey") * 7 % 200, F.col("l_orderkey") * 11 % 200
-    rows = s.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 97).alias("image_id"), (F.col("l_orderkey") * 8 + k).alias("seq"), x.cast("double").alias("x_min"), y.cast("double").alias("y_min"), (x + 20 + k).cast("double").alias("x_max"), (y + 20 + k).cast("double").alias("y_max"), F.col("l_tax").alias("confidence"))
+    rows = s.table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 64).alias("image_id"), (F.col("l_orderkey") * 8 + k).alias("seq"), x.cast("double").alias("x_min"), y.cast("double").alias("y_min"), (x + 20 + k).cast("double").alias("x_max"), (y + 20 + k).cast("double").alias("y_max"), F.col("l_tax").alias("confidence"))
     return rows.filter("confidence >= 0.05")
 
 
-@query()
+_BOXES = """b AS (SELECT l_orderkey // 64 AS image_id, l_orderkey * 8 + l_linenumber AS seq, (l_partkey * 7 % 200)::DOUBLE AS x, (l_orderkey * 11 % 200)::DOUBLE AS y, (20 + l_linenumber)::DOUBLE AS side, l_tax AS c, l_partkey AS part FROM lineitem WHERE l_tax >= 0.05)"""
+
+
+@query(f"""WITH {_BOXES}, g AS (SELECT image_id, list([{{'seq': seq, 'x': x, 'y': y, 's': side, 'c': c}}] ORDER BY c DESC, seq, x, y, side) AS all_boxes FROM b GROUP BY image_id),
+    k AS (SELECT image_id, unnest(list_reduce(all_boxes, lambda kept, e: CASE WHEN len(list_filter(kept, lambda o: least(o.x + o.s, e[1].x + e[1].s) > greatest(o.x, e[1].x) AND least(o.y + o.s, e[1].y + e[1].s) > greatest(o.y, e[1].y)
+        AND (least(o.x + o.s, e[1].x + e[1].s) - greatest(o.x, e[1].x)) * (least(o.y + o.s, e[1].y + e[1].s) - greatest(o.y, e[1].y)) > 0.4::DOUBLE * (o.s * o.s + e[1].s * e[1].s - (least(o.x + o.s, e[1].x + e[1].s) - greatest(o.x, e[1].x)) * (least(o.y + o.s, e[1].y + e[1].s) - greatest(o.y, e[1].y))))) > 0 THEN kept ELSE list_concat(kept, e) END)) AS o FROM g)
+    SELECT image_id, o.seq AS seq, o.x AS x_min, o.y AS y_min, o.x + o.s AS x_max, o.y + o.s AS y_max, o.c AS confidence FROM k""")
 def box_suppression(spark, sf_dir):
+    """Suppression by clusters of overlapping boxes; the SQL goes through the boxes of an image one by one."""
     return detections.suppressed(_boxes(spark, sf_dir), 0.4)
 
 

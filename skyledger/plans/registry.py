@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import catalog_queries, document_queries, function_queries, layer_queries, pixel_queries, raster_queries, temporal_queries  # noqa: E402, F401
+from . import catalog_queries, document_queries, field_queries, function_queries, layer_queries, pixel_queries, raster_queries, temporal_queries  # noqa: E402, F401
