@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, text
+from ..functions import geo, indices, text
 from ..functions.numeric import half_away
+from . import rasters
 
 
 def write_csv(df: DataFrame, path: str, *order: str) -> None:
@@ -55,3 +56,30 @@ def html_report(title: str, sections: dict[str, DataFrame], limit: int = 200) ->
         body = "".join("<tr>" + "".join(f"<td>{v}</td>" for v in r) + "</tr>" for r in rows)
         out.append(f"<h2>{name}</h2><table><tr>{head}</tr>{body}</table>")
     return "<!doctype html><meta charset=utf-8>" + "".join(out)
+
+
+# Red, green, blue and alpha of condition classes; others are transparent.
+CONDITION_COLOURS = {3: (46, 160, 67, 210), 2: (230, 180, 40, 210), 1: (200, 60, 40, 210)}
+
+
+def save_masks(cells: DataFrame, folder: str, mask: str = "mask", name: str = "name") -> DataFrame:
+    """One gray PNG per name of cells (name, x, y, mask): white where the mask holds, else black."""
+    return rasters.save_images(cells.withColumn("v", F.when(F.col(mask), 255).otherwise(0)), folder, name, bands=("v",))
+
+
+def save_conditions(cells: DataFrame, folder: str, condition: str = "condition", name: str = "name") -> DataFrame:
+    """One PNG with transparency per name of cells (name, x, y, condition), classes in their colours."""
+    band = lambda k: F.coalesce(*(F.when(F.col(condition) == c, v[k]) for c, v in CONDITION_COLOURS.items()), F.lit(0))
+    return rasters.save_images(cells.withColumns({b: band(k) for k, b in enumerate("rgba")}), folder, name, bands=("r", "g", "b", "a"))
+
+
+def condition_zone(rings: Column, row: Column, col: Column, total: Column, vigorous: Column, moderate: Column, severe: Column) -> Column:
+    """GeoJSON feature of a grid cell with the shares of its canopy's classes."""
+    canopy = vigorous + moderate + severe
+    share = lambda n, of: half_away(F.when(of == 0, 0.0).otherwise(n * 100.0 / of))
+    named = indices.dominant_of_cell(vigorous, moderate, severe)
+    most = F.when(named == "severe", severe).when(named == "moderate", moderate).otherwise(vigorous)
+    return feature(
+        rings, cell_id=F.format_string("r%dc%d", row + 1, col + 1), row=row, col=col, total_pixels=total, canopy_pixels=canopy, canopy_pct=share(canopy, total), vigorous_pct=share(vigorous, canopy), moderate_stress_pct=share(moderate, canopy),
+        severe_stress_pct=share(severe, canopy), dominant_condition=F.when(canopy == 0, "none").when(named == "vigorous", named).otherwise(F.concat(named, F.lit("_stress"))), dominant_pct=share(most, canopy),
+    )

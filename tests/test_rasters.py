@@ -1,5 +1,6 @@
 """GeoTIFF directories, chunks, averages and clips against plain arrays, on files that the tests write."""
 
+import json
 import math
 import struct
 
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from skyledger.operators import clips
 from skyledger.operators import pixels as px
-from skyledger.sources import rasters, tiff
+from skyledger.functions import geo
+from skyledger.sources import exports, rasters, tiff
 from skyledger.sources.scratch import saved
 
 rng = np.random.default_rng(7)
@@ -264,3 +266,19 @@ def test_plots_from_chunks_equal_the_whole_raster(spark, tmp_path, shape):
     back = spark.read.format("image").load(f"{tmp_path}/out/clip_box_slice_1_of_1.png").first()["image"]
     assert (back["width"], back["height"]) == (20, 21)
     assert (np.frombuffer(back["data"], np.uint8).reshape(21, 20, 3)[..., ::-1] == v[10:31, 10:30]).all()
+
+
+def test_masks_and_conditions_are_pictures(spark, tmp_path):
+    cells = spark.createDataFrame([("a", x, y, (x + y) % 3 == 0, (x + 2 * y) % 4) for x in range(5) for y in range(4)] + [("b", 0, 0, True, 9)], "name string, x int, y int, mask boolean, condition int")
+    assert {r["name"]: (r["width"], r["height"]) for r in exports.save_masks(cells, f"file://{tmp_path}/masks").collect()} == {"a": (5, 4), "b": (1, 1)}
+    gray = spark.read.format("image").load(f"{tmp_path}/masks/a.png").first()["image"]
+    assert gray["nChannels"] == 1 and bytes(gray["data"]) == bytes(255 * ((x + y) % 3 == 0) for y in range(4) for x in range(5))
+    assert exports.save_conditions(cells, f"file://{tmp_path}/classes").count() == 2
+    seen = spark.read.format("image").load(f"{tmp_path}/classes/a.png").first()["image"]
+    colours = np.frombuffer(seen["data"], np.uint8).reshape(4, 5, 4)[..., [2, 1, 0, 3]]
+    want = {0: (0, 0, 0, 0), **exports.CONDITION_COLOURS}
+    assert all(tuple(colours[y, x]) == want[(x + 2 * y) % 4] for y in range(4) for x in range(5))
+    zone = spark.createDataFrame([(0, 1, 10, 3, 3, 2), (1, 0, 4, 0, 0, 0)], "row int, col int, total int, v int, m int, s int").select(exports.condition_zone(F.array(geo.box_ring(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0))), *(F.col(c) for c in ("row", "col", "total", "v", "m", "s"))).alias("f"))
+    a, b = (json.loads(r["f"])["properties"] for r in zone.collect())
+    assert (a["cell_id"], a["canopy_pct"], a["vigorous_pct"], a["dominant_condition"], a["dominant_pct"]) == ("r1c2", 80.0, 37.5, "moderate_stress", 37.5)
+    assert (b["cell_id"], b["canopy_pixels"], b["dominant_condition"], b["dominant_pct"]) == ("r2c1", 0, "none", 0.0)
