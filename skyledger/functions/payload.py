@@ -237,3 +237,31 @@ def inside(folder: Column, path: Column) -> Column:
     joined = lambda parts: F.concat(F.lit("/"), F.concat_ws("/", parts))
     top, at = joined(clean(folder)), joined(clean(F.when(path.startswith("/"), path).otherwise(F.concat(folder, F.lit("/"), path))))
     return F.when(at.startswith(F.concat(top, F.lit("/"))), at)
+
+
+def class_definitions(v: Column) -> Column:
+    """struct<classes: array<struct<id, name, color>>, problem> of a list of five land-cover classes with ids 1 to 5, names that differ and colours as #RRGGBB; null classes without a list."""
+    items = F.try_variant_get(v, "$", "array<variant>")
+    said = lambda x, path: F.try_variant_get(x, path, "string")
+    read = F.transform(items, lambda x: F.struct(number(x, "$.id").cast("int").alias("id"), said(x, "$.name").alias("name"), F.upper(said(x, "$.color")).alias("color")))
+
+    def judged(c: Column) -> Column:
+        ids = F.array_sort(F.transform(c, lambda x: x["id"]))
+        bad = F.exists(c, lambda x: x["name"].isNull() | ~F.coalesce(x["color"].rlike("^#[0-9A-F]{6}$"), F.lit(False))) | (F.size(F.array_distinct(F.transform(c, lambda x: x["name"]))) != 5)
+        problem = F.when((F.size(c) != 5) | ~F.coalesce(ids == F.array(*map(F.lit, range(1, 6))), F.lit(False)), "ids").when(bad, "names or colours")
+        return F.struct(F.when(problem.isNull(), c).alias("classes"), problem.alias("problem"))
+
+    empty = F.struct(F.lit(None).cast("array<struct<id:int,name:string,color:string>>").alias("classes"), F.when(~kind(v).isin("array", "null"), "not a list").alias("problem"))
+    return F.when(F.size(items) > 0, _with(read, judged)).otherwise(empty)
+
+
+def tree_points(v: Column) -> Column:
+    """struct<points: array<struct<latitude, longitude>>, problem> of a collection of points; one feature that is no point of two numbers spoils it."""
+    items = F.coalesce(F.try_variant_get(v, "$.features", "array<variant>"), F.array().cast("array<variant>"))
+    read = F.transform(items, lambda x: F.struct((F.coalesce(F.try_variant_get(x, "$.geometry.type", "string"), F.lit("")) == "Point").alias("is_point"), number(x, "$.geometry.coordinates[1]").alias("latitude"), number(x, "$.geometry.coordinates[0]").alias("longitude")))
+
+    def judged(p: Column) -> Column:
+        problem = F.when(F.exists(p, lambda x: ~x["is_point"]), "not a point").when(F.exists(p, lambda x: x["latitude"].isNull() | x["longitude"].isNull()), "no two numbers")
+        return F.struct(F.when(problem.isNull(), F.transform(p, lambda x: F.struct(x["latitude"].alias("latitude"), x["longitude"].alias("longitude")))).alias("points"), problem.alias("problem"))
+
+    return _with(read, judged)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import payload
 from ..operators import patches
+from ..sources import documents
 from . import standins as s
 from .registry import query
 
@@ -116,3 +117,36 @@ def feature_edits(spark, sf_dir):
     asked = edits.select("layer_id", "seq", F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("layer_name"), F.lit(None).cast("string").alias("color"), F.lit(None).cast("string").alias("icon"))
     out = patches.merged_features(features, judged, patches.judged(layers, asked, judged))
     return out.filter("key is not null").select("layer_id", "key", F.to_json("value").alias("value"), "edited")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_partkey % 4 AS k, p_size AS a, (p_partkey % 50)::INT AS b FROM part)
+    SELECT 'f' || id || '.jpg' AS file, b AS x_min, 1 AS y_min, b + a AS x_max, 9 AS y_max, 'Tree' AS label FROM p WHERE k IN (0, 1) UNION ALL SELECT 'f' || id || '.jpg', 0, 0, 7, 8, 'Tree' FROM p WHERE k = 1
+    UNION ALL SELECT 'f' || id || '.jpg', 0, 0, 0, 0, 'Tree' FROM p WHERE k = 2""")
+def annotation_rows(spark, sf_dir):
+    """Training rows of annotations with one box, with two and a flat one, with none; what is no XML has none."""
+    n = F.col("p_partkey")
+    k, a, b = n % 4, F.col("p_size"), (n % 50).cast("int")
+    box = F.format_string("<object><name>x</name><bndbox><xmin>%d.9</xmin><ymin>1</ymin><xmax>%d</xmax><ymax>9.2</ymax></bndbox></object>", b, b + a)
+    more = F.lit("<object><bndbox><xmax>7</xmax><ymax>8</ymax></bndbox></object><object><bndbox><xmin>5</xmin><ymin>5</ymin><xmax>5</xmax><ymax>6</ymax></bndbox></object>")
+    body = F.when(k == 0, box).when(k == 1, F.concat(box, more)).otherwise("")
+    doc = F.when(k == 3, "no xml").otherwise(F.format_string("<annotation><filename>f%d.jpg</filename>%s</annotation>", n, body))
+    rows = s.table(spark, sf_dir, "part").select(documents.voc_boxes(doc).alias("v")).filter("v is not null").select("v.*")
+    return documents.training_rows(rows)
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, c_custkey % 7 AS k, c_nationkey AS n FROM customer)
+    SELECT id, CASE WHEN k IN (0, 1) THEN 'C' || n END AS third, CASE WHEN k IN (0, 1) THEN '#00AA0' || 3 END AS colour, CASE k WHEN 2 THEN 'ids' WHEN 3 THEN 'ids' WHEN 4 THEN 'names or colours' WHEN 5 THEN 'not a list' END AS problem,
+        CASE WHEN k % 3 = 0 THEN n::DOUBLE + 0.5 END AS latitude, CASE k % 3 WHEN 1 THEN 'not a point' WHEN 2 THEN 'no two numbers' END AS points_problem FROM c""")
+def class_lists(spark, sf_dir):
+    """Lists of classes that are right, too short, with a wrong id or colour, no list, none; and collections of points."""
+    c, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    k = c % 7
+    one = lambda i, name, colour: F.concat(F.lit(f'{{"id":{i},"name":"'), name, F.lit(f'","color":"{colour}"}}'))
+    plain = [one(i, F.concat(F.lit("C"), nation) if i == 3 else F.lit(f"n{i}"), f"#00aa0{i}") for i in range(1, 6)]
+    listed = lambda rows: F.concat(F.lit("["), F.concat_ws(",", *rows), F.lit("]"))
+    doc = F.when(k < 2, listed(plain)).when(k == 2, listed(plain[:4])).when(k == 3, listed([*plain[:4], plain[0]])).when(k == 4, listed([*plain[:4], one(5, F.lit("n5"), "#12")])).when(k == 5, '{"id":1}').otherwise("[]")
+    place = F.when(c % 7 % 3 == 0, F.concat(F.lit('{"type":"Point","coordinates":[1,'), nation, F.lit(".5]}"))).when(c % 7 % 3 == 1, '{"type":"Polygon","coordinates":[]}').otherwise('{"type":"Point","coordinates":[1]}')
+    points = F.concat(F.lit('{"features":[{"geometry":'), place, F.lit("}]}"))
+    rows = s.table(spark, sf_dir, "customer").select(c.alias("id"), payload.class_definitions(F.parse_json(doc)).alias("d"), payload.tree_points(F.parse_json(points)).alias("p"))
+    third = F.get(F.filter("d.classes", lambda x: x["id"] == 3), F.lit(0))
+    return rows.select("id", third["name"].alias("third"), third["color"].alias("colour"), F.col("d.problem").alias("problem"), F.get("p.points", F.lit(0))["latitude"].alias("latitude"), F.col("p.problem").alias("points_problem"))

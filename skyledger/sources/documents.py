@@ -86,3 +86,23 @@ def sidecar_envelope(content: Column) -> Column:
         shapes.append([get(f"{root}[0][0]"), get(f"{root}[0][1]"), get(f"{root}[1][0]"), get(f"{root}[1][1]")])
         shapes.append([get(f"{root}[1]"), get(f"{root}[0]"), get(f"{root}[3]"), get(f"{root}[2]")])
     return F.coalesce(*(F.when(geo.valid_bounds(w, s, e, n), F.array(F.array(s, w), F.array(n, e))) for s, w, n, e in shapes))
+
+
+#: The parts of a Pascal VOC annotation that are read.
+VOC = "filename string, object array<struct<bndbox: struct<xmin: double, ymin: double, xmax: double, ymax: double>>>"
+
+
+def voc_boxes(xml: Column) -> Column:
+    """struct<file, boxes> of an annotation: whole numbers, cut off; a corner that isn't told is 0, boxes without extent are left out. Null where there is no XML."""
+    v = F.from_xml(xml, VOC)
+    corner = lambda o, k: F.coalesce(o["bndbox"][k], F.lit(0.0)).cast("int")
+    boxes = F.transform(F.coalesce(v["object"], F.array().cast("array<struct<bndbox: struct<xmin: double, ymin: double, xmax: double, ymax: double>>>")), lambda o: F.struct(*(corner(o, k.replace("_", "")).alias(k) for k in ("x_min", "y_min", "x_max", "y_max"))))
+    good = F.filter(boxes, lambda b: (b["x_max"] > b["x_min"]) & (b["y_max"] > b["y_min"]))
+    return F.when(v.isNotNull() & v["filename"].isNotNull() | (F.size(good) > 0), F.struct(F.coalesce(v["filename"], F.lit("")).alias("file"), good.alias("boxes")))
+
+
+def training_rows(annotations: DataFrame, label: str = "Tree", file: str = "file", boxes: str = "boxes") -> DataFrame:
+    """(file, x_min, y_min, x_max, y_max, label), a row per box; a picture without any is one row of zeros."""
+    none = F.array(F.struct(*(F.lit(0).alias(k) for k in ("x_min", "y_min", "x_max", "y_max"))))
+    rows = annotations.select(F.col(file).alias("file"), F.explode(F.when(F.size(boxes) > 0, F.col(boxes)).otherwise(none)).alias("b"))
+    return rows.select("file", "b.*", F.lit(label).alias("label"))
