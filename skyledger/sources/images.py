@@ -17,9 +17,11 @@ SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12:
 # TIFF and EXIF tags.
 WIDTH, HEIGHT, MAKE, MODEL, ORIENTATION, XMP, EXIF_IFD, GPS_IFD, TAKEN, FOCAL, FOCAL35, ISO = 256, 257, 271, 272, 274, 700, 34665, 34853, 36867, 37386, 41989, 34855
 SUB_IFDS = 330
+# Places and lengths of embedded pictures, in the order of search, and limits of files and pictures.
+EMBEDDED, MAX_RAW_BYTES, MAX_PREVIEW_BYTES = ((50981, 50982), (513, 514)), 80 << 20, 8 << 20
 DJI = ("AbsoluteAltitude", "RelativeAltitude", "GimbalRollDegree", "GimbalYawDegree", "GimbalPitchDegree", "FlightRollDegree", "FlightYawDegree", "FlightPitchDegree", "FlightXSpeed", "FlightYSpeed", "FlightZSpeed")
 #: Tags that are decoded; others, which may hold whole images, are passed over.
-READ = frozenset((WIDTH, HEIGHT, MAKE, MODEL, ORIENTATION, XMP, EXIF_IFD, GPS_IFD, TAKEN, FOCAL, FOCAL35, ISO, SUB_IFDS, *range(1, 7)))
+READ = frozenset((WIDTH, HEIGHT, MAKE, MODEL, ORIENTATION, XMP, EXIF_IFD, GPS_IFD, TAKEN, FOCAL, FOCAL35, ISO, SUB_IFDS, *range(1, 7), *(t for pair in EMBEDDED for t in pair)))
 SCHEMA = "path string, kind string, width int, height int, make string, model string, orientation int, taken string, focal_mm double, focal35_mm double, iso int, lat double, lat_ref string, lon double, lon_ref string, alt double, alt_ref int, progressive boolean" + "".join(f", {n} double" for n in DJI)
 
 
@@ -141,6 +143,41 @@ def read_header(data: bytes) -> dict:
     }
 
 
+def preview(data: bytes, most: int = MAX_PREVIEW_BYTES) -> bytes | None:
+    """The largest JPEG that a raw file's directories name, the last of equal ones; the first directory's own preview, the next directory's, the first's thumbnail, then those of its parts."""
+    tiff = Tiff(data)
+    main, after = tiff.ifd(struct.unpack_from(tiff.order + "I", data, 4)[0])
+    own, thumb = EMBEDDED
+    parts = [(main, own), (tiff.ifd(after)[0], thumb), (main, thumb), *((tiff.ifd(int(p))[0], thumb) for p in main.get(SUB_IFDS, []))]
+    best = None
+    for tags, (at, size) in parts:
+        start, n = _first(tags.get(at)), _first(tags.get(size))
+        blob = data[start : start + n] if start and n and n <= most and start + n <= len(data) else b""
+        if blob.startswith(b"\xff\xd8") and (best is None or len(blob) >= len(best)):
+            best = blob
+    return best
+
+
+def previews(files: DataFrame, most_bytes: int = MAX_RAW_BYTES) -> DataFrame:
+    """(path, preview, problem) per file of the binaryFile source: not_raw, too_large or no_preview where there is none. Files above the limit are told by their length and aren't read."""
+    schema = pa.schema([("path", pa.string()), ("preview", pa.binary()), ("problem", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*batch.columns):
+                data = content.as_py()
+                try:
+                    found = preview(data)
+                    row = {"preview": found, "problem": None if found else "no_preview"}
+                except (ValueError, struct.error, TypeError):
+                    row = {"problem": "not_raw"}
+                yield pa.RecordBatch.from_pylist([{"path": path.as_py()} | row], schema=schema)
+
+    fit = files.filter(F.col("length") <= most_bytes).select("path", "content").mapInArrow(run, "path string, preview binary, problem string")
+    large = files.filter(F.col("length") > most_bytes).select("path", F.lit(None).cast("binary").alias("preview"), F.lit("too_large").alias("problem"))
+    return fit.unionByName(large)
+
+
 def metadata(files: DataFrame) -> DataFrame:
     """One row per file of the binaryFile source. Files go to Python whole: directories of a TIFF may lie anywhere, and a JPEG's segments before its scan have no limit."""
 

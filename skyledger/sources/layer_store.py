@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import payload, text
+from .scratch import opened
 
 # Colours of broken layers and overlays.
 BROKEN, OVERLAY = "#E74C3C", "#3498DB"
@@ -14,11 +16,16 @@ BROKEN, OVERLAY = "#E74C3C", "#3498DB"
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """(id, format, part, v, length, mtime_ms): {id}.json, {id}/layer.json and {id}/features/*.json below ``folder``; v is null where a file is no JSON. Hidden names and bad ids are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder)
+    # Spark's readers pass over files of 0 bytes; they are listed by name.
+    fs, at = opened(folder)
+    bare = [(x.path, 0, x.mtime_ns // 1_000_000) for x in fs.get_file_info(pafs.FileSelector(at, recursive=True)) if x.is_file and not x.size and x.path.endswith(".json")]
+    empty = spark.createDataFrame(bare, "path string, length long, mtime_ms long").select("path", F.lit("").alias("text"), "length", "mtime_ms")
+    files = files.select("path", F.decode("content", "UTF-8").alias("text"), "length", F.unix_millis("modificationTime").alias("mtime_ms")).union(empty)
     # Listed paths start with the store's name and the folder.
     top = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
     below = F.regexp_replace(F.substring_index("path", f"/{top}/", -1), "^/+", "")
     parts = F.split(below, "/")
-    rows = files.select(parts.alias("_p"), F.try_parse_json(F.decode("content", "UTF-8")).alias("v"), "length", F.unix_millis("modificationTime").alias("mtime_ms"))
+    rows = files.select(parts.alias("_p"), F.try_parse_json("text").alias("v"), "length", "mtime_ms")
     n, first = F.size("_p"), F.col("_p")[0]
     flat = n == 1
     part = F.when(flat | ((n == 2) & (F.get("_p", F.lit(1)) == "layer.json")), "layer").when((n == 3) & (F.get("_p", F.lit(1)) == "features"), "feature")

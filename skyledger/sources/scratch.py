@@ -33,7 +33,9 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The store and the path in it; Hadoop writes local paths as file:/a."""
+    """The store and the path in it; Hadoop writes local paths as file:/a, and a plain path is local too."""
+    if uri.startswith("/"):
+        uri = "file://" + uri
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
     return pafs.FileSystem.from_uri(uri)

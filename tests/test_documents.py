@@ -1,12 +1,13 @@
 """Layer folders with whole and broken files, and edits of their features."""
 
 import json
+import struct
 
 from pyspark.sql import functions as F
 
 from skyledger.functions import payload
 from skyledger.operators import patches
-from skyledger.sources import layer_store
+from skyledger.sources import images, layer_store
 
 POINT = {"type": "Point", "coordinates": [1, 2]}
 RING = {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}
@@ -68,3 +69,34 @@ def test_paths_stay_inside(spark):
     rows = [("/out", "a/b", "/out/a/b"), ("/out/", "./a//b", "/out/a/b"), ("/out", "../x", None), ("/out", "a/../../out2/x", None), ("/out", "/out/x", "/out/x"), ("/out", "/outer/x", None), ("/out", "", None), ("/out", ".", None), ("/a/../out", "x/../y", "/out/y")]
     df = spark.createDataFrame(rows, "folder string, path string, want string")
     assert df.filter(~payload.inside(F.col("folder"), F.col("path")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def raw_file(directories, blobs):
+    """Little-endian: blobs first, then directories; values are numbers, ("blob", k) for a place, ("dirs", [k]) for places of directories."""
+    at, places = 8, []
+    for b in blobs:
+        places.append(at)
+        at += len(b)
+    starts = []
+    for tags, _ in directories:
+        starts.append(at)
+        at += 2 + 12 * len(tags) + 4
+    out = b"II*\0" + struct.pack("<I", starts[0]) + b"".join(blobs)
+    for tags, after in directories:
+        out += struct.pack("<H", len(tags))
+        for tag, value in sorted(tags.items()):
+            out += struct.pack("<HHII", tag, 4, 1, places[value[1]] if isinstance(value, tuple) and value[0] == "blob" else starts[value[1]] if isinstance(value, tuple) else value)
+        out += struct.pack("<I", starts[after] if after else 0)
+    return out
+
+
+def test_previews_of_raw_files(spark, tmp_path):
+    small, middle, large, fake = b"\xff\xd8small", b"\xff\xd8middle one", b"\xff\xd8the largest of all", b"no picture at all, though long enough"
+    both = [({50981: ("blob", 0), 50982: len(small), 330: ("dirs", 2)}, 1), ({513: ("blob", 1), 514: len(middle)}, None), ({513: ("blob", 2), 514: len(large)}, None)]
+    files = {"three": raw_file(both, [small, middle, large]), "fake": raw_file([({513: ("blob", 0), 514: len(fake)}, None)], [fake]), "beyond": raw_file([({513: 8, 514: 10**6}, None)], [small]), "junk": b"junk", "empty": b""}
+    for name, data in files.items():
+        (tmp_path / f"{name}.dng").write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1][:-4]: (r["preview"] and bytes(r["preview"]), r["problem"]) for r in images.previews(images.files(spark, str(tmp_path))).collect()}
+    assert got["three"] == (large, None) and got["fake"] == got["beyond"] == (None, "no_preview") and got["junk"] == (None, "not_raw") and got.get("empty", (None, "not_raw")) == (None, "not_raw")
+    assert images.preview(raw_file(both[:2] + [({513: ("blob", 1), 514: len(middle)}, None)], [small, middle, large])) == middle
+    assert {r["problem"] for r in images.previews(images.files(spark, str(tmp_path)), 50).filter("path like '%three%'").collect()} == {"too_large"}
