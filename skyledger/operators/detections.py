@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,55 +20,118 @@ def filter_confidence(d: DataFrame, threshold: float) -> DataFrame:
     return d.filter(F.col("confidence") >= threshold)
 
 
-def _greedy(rows: pd.DataFrame, limit: float) -> pd.DataFrame:
-    rows = rows.sort_values(["confidence", "seq", "x_min", "y_min", "x_max", "y_max"], ascending=[False] + 5 * [True])
-    box = rows[["x_min", "y_min", "x_max", "y_max"]].to_numpy(float)
-    area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-    kept: list[int] = []
-    for k in range(len(box)):
-        if kept:
-            w = np.minimum(box[kept, 2], box[k, 2]) - np.maximum(box[kept, 0], box[k, 0])
-            h = np.minimum(box[kept, 3], box[k, 3]) - np.maximum(box[kept, 1], box[k, 1])
-            both = np.clip(w, 0, None) * np.clip(h, 0, None)
-            if (both > limit * (area[kept] + area[k] - both)).any():
-                continue
-        kept.append(k)
-    return rows.iloc[kept]
+def _hits(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
+    """Which boxes of ``a`` (rows) overlap which of ``b`` (columns) by more than the limit."""
+    side = lambda k: np.minimum(a[:, None, k + 2], b[None, :, k + 2]) - np.maximum(a[:, None, k], b[None, :, k])
+    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+    w, h = side(0), side(1)
+    both = w * h
+    return (w > 0) & (h > 0) & (both > limit * (area(a)[:, None] + area(b)[None, :] - both))
+
+
+def _greedy(kept: np.ndarray, box: np.ndarray, limit: float, block: int = 256) -> np.ndarray:
+    """Mask of the boxes, in order of rank, that no kept one before them overlaps; ``kept`` are those of earlier batches."""
+    free = np.ones(len(box), bool)
+    for at in range(0, len(box), block):
+        part, ok = box[at : at + block], free[at : at + block]
+        for k in range(0, len(kept), 4096):
+            ok &= ~_hits(kept[k : k + 4096], part, limit).any(axis=0)
+        hit = _hits(part, part, limit)
+        for k in np.flatnonzero(ok):
+            if ok[k]:
+                ok[k + 1 :] &= ~hit[k, k + 1 :]
+        if at + block < len(box):
+            kept = np.concatenate((kept, part[ok]))
+    return free
+
+
+_CORNERS = ("x_min", "y_min", "x_max", "y_max")
+
+
+def _rank(*by: str) -> Column:
+    """Place in the order of suppression; whatever is null comes last."""
+    return F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last("confidence"), *map(F.asc_nulls_last, ("seq", *_CORNERS))))
+
+
+def _settled(boxes: DataFrame, iou_threshold: float, *by: str) -> DataFrame:
+    """Greedy suppression within groups. They stream through a task in order of rank, many groups a batch; it holds the kept boxes of one group only."""
+    def settle(batches):
+        kept = np.empty((0, 4))
+        for batch in batches:
+            first = batch.column("_place").to_numpy() == 1
+            box = np.column_stack([batch.column(c).cast("double").to_numpy(zero_copy_only=False) for c in _CORNERS])
+            mask = np.empty(len(box), bool)
+            starts = [0, *(k for k in np.flatnonzero(first) if k)]
+            for lo, hi in zip(starts, [*starts[1:], len(box)], strict=True):
+                if first[lo : lo + 1].any():
+                    kept = np.empty((0, 4))
+                mask[lo:hi] = _greedy(kept, box[lo:hi], iou_threshold)
+            kept = np.concatenate((kept, box[lo:hi][mask[lo:hi]]))
+            yield batch.drop_columns(["_place"]).filter(pa.array(mask))
+
+    return boxes.withColumn("_place", _rank(*by)).mapInArrow(settle, boxes.schema)
 
 
 def _area(p: str) -> Column:
     return (F.col(f"{p}x_max") - F.col(f"{p}x_min")) * (F.col(f"{p}y_max") - F.col(f"{p}y_min"))
 
 
-def conflicts(boxes: DataFrame, iou_threshold: float, image: str) -> DataFrame:
-    """Links (u, v) between boxes (with a number ``_box``) of an image that overlap by more than the limit.
+def conflicts(boxes: DataFrame, others: DataFrame, iou_threshold: float, image: str) -> DataFrame:
+    """Links (u, v) between boxes and others (with a number ``_box``) of an image that overlap by more than the limit.
 
-    Boxes meet in the cells of a grid, twice as wide as an image's mean box; a pair is taken in the one
+    Boxes meet in the cells of a grid, whose width is their image's ``_cell``; a pair is taken in the one
     cell that holds the corner of what the two share.
     """
-    own = boxes.select(image, "_box", *(F.col(c).cast("double").alias(c) for c in ("x_min", "y_min", "x_max", "y_max")))
-    sides = own.groupBy(image).agg(F.greatest(2 * F.avg(F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"))), F.lit(1e-9)).alias("_cell"))
     cell = lambda c: F.floor(F.col(c) / F.col("_cell"))
-    rows = own.join(sides, image).withColumn("_cx", F.explode(F.sequence(cell("x_min"), cell("x_max")))).withColumn("_cy", F.explode(F.sequence(cell("y_min"), cell("y_max"))))
-    other = rows.select(image, "_cx", "_cy", F.col("_box").alias("_other"), *(F.col(c).alias(f"o_{c}") for c in ("x_min", "y_min", "x_max", "y_max")))
+    own = lambda d: d.select(image, "_box", "_cell", *(F.col(c).cast("double").alias(c) for c in _CORNERS)).withColumn("_cx", F.explode(F.sequence(cell("x_min"), cell("x_max")))).withColumn("_cy", F.explode(F.sequence(cell("y_min"), cell("y_max"))))
+    other = own(others).select(*(F.col(c).alias(f"o_{c}") for c in (image, "_box", "_cx", "_cy", *_CORNERS)))
     w, h = F.least("x_max", "o_x_max") - F.greatest("x_min", "o_x_min"), F.least("y_max", "o_y_max") - F.greatest("y_min", "o_y_min")
     here = (F.floor(F.greatest("x_min", "o_x_min") / F.col("_cell")) == F.col("_cx")) & (F.floor(F.greatest("y_min", "o_y_min") / F.col("_cell")) == F.col("_cy"))
-    pairs = rows.join(other, [image, "_cx", "_cy"]).filter("_box > _other").filter(here & (w > 0) & (h > 0))
-    return pairs.filter(w * h > iou_threshold * (_area("") + _area("o_") - w * h)).select(F.col("_box").alias("u"), F.col("_other").alias("v"))
+    pairs = own(boxes).join(other, F.col(image).eqNullSafe(F.col(f"o_{image}")) & (F.col("_cx") == F.col("o__cx")) & (F.col("_cy") == F.col("o__cy")) & (F.col("_box") > F.col("o__box")) & here & (w > 0) & (h > 0))
+    return pairs.filter(w * h > iou_threshold * (_area("") + _area("o_") - w * h)).select(F.col("_box").alias("u"), F.col("o__box").alias("v"))
+
+
+def _clusters(rows: DataFrame, iou_threshold: float, image: str) -> DataFrame:
+    """Boxes only bear on those that they overlap: an image is taken apart into groups that no overlap joins, and these are settled one by one."""
+    groups = saved(components.connected(conflicts(rows, rows, iou_threshold, image)), "clusters")
+    alone = rows.join(groups, rows["_box"] == groups["id"], "left_anti")
+    joined = rows.join(groups, rows["_box"] == groups["id"]).drop("id")
+    return alone.union(_settled(joined, iou_threshold, "component").select(*alone.columns))
 
 
-def suppressed(boxes: DataFrame, iou_threshold: float = 0.5, image: str = "image_id") -> DataFrame:
+def suppressed(boxes: DataFrame, iou_threshold: float = 0.5, image: str = "image_id", most: int = 20_000) -> DataFrame:
     """Greedy suppression per image: most confident first, equal ones by seq, then by place; a box goes if it overlaps a kept one by more than the limit.
 
-    Boxes only bear on those that they overlap, so an image is taken apart into groups that no overlap
-    joins, and these are settled one by one: a group is a cluster of boxes, whatever the image's size.
+    Images of at most ``most`` boxes stream through tasks, each settled at once. Of a larger one the
+    first ``most`` are settled, and what they don't remove is the rest, which is treated in the same way
+    while it halves: that is so where boxes lie densely. The last rest goes by clusters of overlaps.
     """
-    rows = saved(boxes.withColumn("_box", F.monotonically_increasing_id()), "boxes")
-    groups = saved(components.connected(conflicts(rows, iou_threshold, image)), "clusters")
-    alone = rows.join(groups, rows["_box"] == groups["id"], "left_anti").drop("_box")
-    clusters = rows.join(groups, rows["_box"] == groups["id"]).drop("_box", "id")
-    kept = clusters.groupBy("component").applyInPandas(lambda g: _greedy(g.drop(columns="component"), iou_threshold), boxes.schema)
-    return alone.union(kept.select(*alone.columns))
+    side = F.greatest(*((F.col(f"{c}_max") - F.col(f"{c}_min")).cast("double") for c in "xy"))
+    per = boxes.groupBy(F.col(image).alias("_image")).agg(F.count("*").alias("_n"), F.greatest(2 * F.avg(side), F.lit(1e-9)).alias("_cell"))
+    # Images of more than ``most`` boxes: a row for each, so one for ``most`` boxes.
+    large = saved(per.filter(F.col("_n") > most).drop("_n"), "images")
+    if large.isEmpty():
+        return _settled(boxes, iou_threshold, image)
+    of_large = F.col(image).eqNullSafe(F.col("_image"))
+    out = [_settled(boxes.join(F.broadcast(large), of_large, "left_anti"), iou_threshold, image)]
+    rest, n = boxes.join(F.broadcast(large), of_large).drop("_image"), None
+    while True:
+        ranked = saved(rest.drop("_box", "_rank").withColumn("_rank", _rank(image)).withColumn("_box", F.monotonically_increasing_id()), "ranked")
+        n = n or ranked.count()
+        top = saved(_settled(ranked.filter(F.col("_rank") <= most).drop("_rank"), iou_threshold, image), "kept")
+        out.append(top.select(*boxes.columns))
+        below = ranked.filter(F.col("_rank") > most)
+        # A box of the rest has the larger number of a link, as those of kept ones are made negative.
+        gone = conflicts(below, top.withColumn("_box", -F.col("_box") - 1), iou_threshold, image).select(F.col("u").alias("_box")).distinct()
+        rest = saved(below.join(gone, "_box", "left_anti"), "rest")
+        left = rest.count()
+        if left == 0:
+            break
+        if 2 * left > n:
+            out.append(_clusters(rest, iou_threshold, image).select(*boxes.columns))
+            break
+        n = left
+    return reduce(DataFrame.union, out)
 
 
 def numbered(boxes: DataFrame, model: str, image: str = "image_id") -> DataFrame:

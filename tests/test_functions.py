@@ -1,6 +1,7 @@
 """Column functions and operators with values worked out by hand."""
 
 import json
+import random
 import struct
 import zlib
 
@@ -91,6 +92,29 @@ def test_boxes(spark):
     assert sorted(r["detection_id"] for r in detections.numbered(kept, "m").collect()) == ["1-m-0001", "1-m-0002"]
 
 
+@pytest.mark.parametrize("most", [7, 60, 20_000])
+def test_boxes_of_images_of_any_size(spark, most):
+    """Dense, sparse and nameless images, settled at once, in rounds and by clusters."""
+    rng = random.Random(3)
+    rows = [(i, k, float(x := rng.randrange(span)), float(y := rng.randrange(span)), x + float(rng.randrange(8, 12)), y + 9.0, rng.randrange(4) / 4) for i, span, n in ((1, 20, 300), (2, 200, 300), (None, 40, 50), (3, 9, 1), (4, 60, 120)) for k in range(n)]
+    want = set()
+    for i in {r[0] for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[0] == i), key=lambda r: (-r[6], *r[1:6])):
+            both = [(min(r[4], o[4]) - max(r[2], o[2]), min(r[5], o[5]) - max(r[3], o[3]), (r[4] - r[2]) * (r[5] - r[3]) + (o[4] - o[2]) * (o[5] - o[3])) for o in kept]
+            if not any(w > 0 and h > 0 and w * h > 0.4 * (s - w * h) for w, h, s in both):
+                kept.append(r)
+        want |= set(kept)
+    d = spark.createDataFrame(rows, "image_id int, seq int, x_min double, y_min double, x_max double, y_max double, confidence double")
+    assert sorted(map(tuple, detections.suppressed(d, 0.4, most=most).collect()), key=str) == sorted(want, key=str)
+
+
+def test_small_images_need_no_components(spark, monkeypatch):
+    monkeypatch.setattr(detections.components, "connected", lambda links: pytest.fail("rounds of components"))
+    rows = spark.createDataFrame([(1, k, 0.0, 0.0, 10.0, 10.0, 0.5) for k in range(9)], "image_id int, seq int, x_min double, y_min double, x_max double, y_max double, confidence double")
+    assert [r["seq"] for r in detections.suppressed(rows, 0.5).collect()] == [0]
+
+
 def test_change_patches(spark):
     cells = [(1, x, y, "gain") for x, y in ((0, 0), (1, 0), (5, 5))] + [(1, 9, 9, None)]
     got = [tuple(r) for r in detections.change_patches(spark.createDataFrame(cells, "img int, x int, y int, change string"), 2.0, 3.0).collect()]
