@@ -56,6 +56,16 @@ def in_plots(points: DataFrame, plots: DataFrame, cell_deg: float = 1.0, how: st
     return near.join(boxed, on & geo.in_polygon_edges(F.col(lon), F.col(lat), F.col("_sides")), how).drop("_px", "_py", "_cx", "_cy", "_west", "_south", "_east", "_north", "_sides")
 
 
+def counts_in_plots(points: DataFrame, plots: DataFrame, cell_deg: float = 1.0, plot: str = "plot_id", lon: str = "lon", lat: str = "lat", rings: str = "rings") -> DataFrame:
+    """(plot, inside): how many points each plot holds; plots without points have no row.
+
+    Points at one place and plots of one shape meet once: pairs are those of distinct places and shapes.
+    """
+    places = points.groupBy(lon, lat).agg(F.count("*").alias("_n"))
+    per = in_plots(places, plots.select(rings).distinct(), cell_deg, lon=lon, lat=lat, rings=rings).groupBy(rings).agg(F.sum("_n").alias("_n"))
+    return plots.select(plot, rings).join(per, rings).groupBy(plot).agg(F.sum("_n").alias("inside"))
+
+
 def source_index(k: Column, n: int, target: tuple[float, float], source: tuple[float, float], size: int) -> Column:
     """Index in the source axis that is nearest to the centre of target pixel ``k`` of ``n``; clamped."""
     at = target[0] + (k + 0.5) / n * (target[1] - target[0])

@@ -145,7 +145,7 @@ def polygon_metrics(spark, sf_dir):
 
 @query(f"""WITH {_PLOTS}, {s.POINTS}, c AS (SELECT plot_id, point_id, count(*) AS n FROM e JOIN pts ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY 1, 2) SELECT plot_id, count(*) AS inside FROM c WHERE n % 2 = 1 GROUP BY plot_id""")
 def point_in_plot(spark, sf_dir):
-    return pixels.in_plots(s.points(spark, sf_dir), s.plots(spark, sf_dir)).groupBy("plot_id").agg(F.count("*").alias("inside"))
+    return pixels.counts_in_plots(s.points(spark, sf_dir), s.plots(spark, sf_dir))
 
 
 @query(f"""WITH {_SUP}, z AS (SELECT id, lon, lat, floor((lon + 180) / 6)::INT + 1 AS zone FROM s), q AS (SELECT *, 0.0066943799901413165 AS e2, 0.006739496742276434 AS ep, radians(lat) AS p FROM z), w AS (SELECT *, 6378137.0 / sqrt(1 - e2 * sin(p) * sin(p)) AS n, tan(p) * tan(p) AS t, ep * cos(p) * cos(p) AS c, radians(lon - ((zone - 1) * 6 - 177)) * cos(p) AS a FROM q)

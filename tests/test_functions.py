@@ -115,6 +115,16 @@ def test_small_images_need_no_components(spark, monkeypatch):
     assert [r["seq"] for r in detections.suppressed(rows, 0.5).collect()] == [0]
 
 
+def test_counts_in_plots_join_places_and_shapes_once(spark, monkeypatch):
+    """A hundred points at each of two places and fifty plots of each of two shapes are four pairs at most."""
+    met, join = [], pixels.in_plots
+    monkeypatch.setattr(pixels, "in_plots", lambda *a, **k: met.append(join(*a, **k)) or met[-1])
+    points = spark.range(300).selectExpr("id", "if(id < 200, id % 2 + 0.5D, null) as lon", "0.5D as lat")
+    plots = spark.range(100).selectExpr("id as plot_id", f"if(id % 2 = 0, {SQUARE}, {SQUARE.replace('1D', '3D')}) as rings")
+    got = {r["plot_id"]: r["inside"] for r in pixels.counts_in_plots(points, plots).collect()}
+    assert got == {k: 200 if k % 2 else 100 for k in range(100)} and met[0].count() == 3
+
+
 def test_change_patches(spark):
     cells = [(1, x, y, "gain") for x, y in ((0, 0), (1, 0), (5, 5))] + [(1, 9, 9, None)]
     got = [tuple(r) for r in detections.change_patches(spark.createDataFrame(cells, "img int, x int, y int, change string"), 2.0, 3.0).collect()]
