@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from . import geo
 
-_NUMBER = "^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)"
+_KINDS = {"VOID": "null", "BOOLEAN": "boolean", "STRING": "string", "ARRAY": "array", "OBJECT": "object"} | dict.fromkeys(("BIGINT", "DOUBLE", "DECIMAL", "FLOAT", "INT", "SMALLINT", "TINYINT"), "number")
 
 
 def kind(v: Column) -> Column:
-    """null, number, boolean, string, array or object; null where there is no value at all."""
-    s = F.schema_of_variant(v)
-    return F.when(s == "VOID", "null").when(s.rlike(_NUMBER), "number").when(s == "BOOLEAN", "boolean").when(s == "STRING", "string").when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object")
+    """null, number, boolean, string, array or object; null where there is no value at all. ``v`` is computed once."""
+    word = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in _KINDS.items() for x in pair)), word)
 
 
 def member(v: Column, path: str) -> Column:
@@ -27,7 +27,7 @@ def _with(x: Column, fn) -> Column:
 
 def number(v: Column, path: str = "$") -> Column:
     """The number at ``path``; null for text and other kinds."""
-    return F.when(F.schema_of_variant(member(v, path)).rlike(_NUMBER), F.try_variant_get(v, path, "double"))
+    return F.when(kind(member(v, path)) == "number", F.try_variant_get(v, path, "double"))
 
 
 def number_or_text(v: Column, path: str = "$") -> Column:
@@ -147,35 +147,29 @@ def preflight(gps_required: Column, formats: Column, has_gps: Column, format_: C
     return F.when(F.coalesce(gps_required, F.lit(False)) & ~has_gps, "no_gps").when(formats.isNotNull() & ~F.exists(formats, lambda f: F.lower(f) == F.lower(format_)), "bad_format")
 
 
-def parameter_problems(definitions: Column, values: Column) -> Column:
-    """array<struct<key, problem>> of the values that break their definitions (``parameters`` of a schema document), by key; empty if none does.
-
-    A parameter is a boolean, string, select (text among its options) or number (between min and max).
-    """
+def parameter_definitions(definitions: Column) -> Column:
+    """array<struct<name, type, options, least, most>> of ``parameters`` of a schema document; options are those that are text."""
     said = lambda d, path: F.when(kind(member(d, path)) == "string", F.try_variant_get(d, path, "string"))
     many = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
 
-    def judged(x: Column) -> Column:
-        d, v, t, k, n = (x[c] for c in ("d", "v", "type", "kind", "n"))
+    def one(d: Column) -> Column:
         options = F.transform(F.filter(many(d, "$.options"), lambda o: kind(o) == "string"), lambda o: F.try_variant_get(o, "$", "string"))
-        return (
-            F.when(d.isNull(), "unknown").when(t.isin("boolean", "string"), F.when(k != t, F.concat(F.lit("not a "), t)))
-            .when(t == "select", F.when((k != "string") | ~F.coalesce(F.array_contains(options, F.try_variant_get(v, "$", "string")), F.lit(False)), "not an option"))
-            .when(t == "number", F.when(k != "number", "not a number").when(n < number(d, "$.min"), "below minimum").when(n > number(d, "$.max"), "above maximum")).otherwise("unsupported type")
-        )
+        return F.struct(said(d, "$.name").alias("name"), F.coalesce(said(d, "$.type"), F.lit("")).alias("type"), options.alias("options"), number(d, "$.min").alias("least"), number(d, "$.max").alias("most"))
+
+    return F.transform(many(definitions, "$.parameters"), one)
 
-    def about(x: Column) -> Column:
-        d, v = x["d"], x["v"]
-        return F.struct(d.alias("d"), v.alias("v"), F.coalesce(said(d, "$.type"), F.lit("")).alias("type"), F.coalesce(kind(v), F.lit("null")).alias("kind"), number(v).alias("n"))
 
-    def rows(both: Column) -> Column:
-        pair = lambda k: F.struct(F.get(F.filter(both["defs"], lambda d: d["name"] == k), F.lit(0))["d"].alias("d"), F.try_element_at(both["held"], k).alias("v"))
-        return F.transform(F.array_sort(F.map_keys(both["held"])), lambda k: F.struct(k.alias("key"), _with(_with(pair(k), about), judged).alias("problem")))
+def parameter_problem(d: dict[str, Column], held: Column, value: Column) -> Column:
+    """Why a value of the kind ``held`` breaks its definition (type, options, least, most; without a type it is unknown); null if it doesn't.
 
-    named = F.transform(many(definitions, "$.parameters"), lambda d: F.struct(said(d, "$.name").alias("name"), d.alias("d")))
-    found = _with(F.struct(named.alias("defs"), F.try_variant_get(values, "$", "map<string, variant>").alias("held")), rows)
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit("not an object").alias("problem")))
-    return F.when(F.coalesce(kind(values), F.lit("null")) != "object", whole).otherwise(F.filter(found, lambda r: r["problem"].isNotNull()))
+    A parameter is a boolean, string, select (text among its options) or number (between min and max).
+    """
+    t, k, n = d["type"], F.coalesce(held, F.lit("null")), F.try_variant_get(value, "$", "double")
+    return (
+        F.when(t.isNull(), "unknown").when(t.isin("boolean", "string"), F.when(k != t, F.concat(F.lit("not a "), t)))
+        .when(t == "select", F.when((k != "string") | ~F.coalesce(F.array_contains(d["options"], F.try_variant_get(value, "$", "string")), F.lit(False)), "not an option"))
+        .when(t == "number", F.when(k != "number", "not a number").when(n < d["least"], "below minimum").when(n > d["most"], "above maximum")).otherwise("unsupported type")
+    )
 
 
 def plot_requests(parameters: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import payload
-from ..operators import patches
+from ..operators import parameters, patches
 from ..sources import documents
 from . import standins as s
 from .registry import query
@@ -29,8 +29,7 @@ def parameter_problems(spark, sf_dir):
     key, a, b = pick(_NAMES, k("l_partkey") % 6), pick(_VALUES, k("l_suppkey") % 8), pick(_VALUES, k("l_orderkey") % 8)
     doc = F.when(key == "limit", F.format_string('{"%s":%s}', key, a)).otherwise(F.format_string('{"%s":%s,"limit":%s}', key, a, b))
     rows = s.table(spark, sf_dir, "lineitem").select(k("l_orderkey").alias("id"), k("l_linenumber").alias("line"), F.try_parse_json(doc).alias("v"))
-    out = rows.select("id", "line", F.explode(payload.parameter_problems(F.parse_json(F.lit(_SCHEMA)), k("v"))).alias("p"))
-    return out.select("id", "line", "p.*")
+    return parameters.problems(rows, F.parse_json(F.lit(_SCHEMA)))
 
 
 @query("""WITH d AS (SELECT o_orderkey AS id, (o_orderkey % 8)::INT AS k, (o_custkey % 90)::INT AS w FROM orders),

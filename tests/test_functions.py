@@ -8,8 +8,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from skyledger.functions import geo, indices, metrics, numeric, text, times
-from skyledger.operators import blur, catalog, detections, imports, pixels, slices
+from skyledger.functions import geo, indices, metrics, numeric, payload, text, times
+from skyledger.operators import blur, catalog, detections, imports, parameters, pixels, slices
 from skyledger.sources import documents, exports, images
 from skyledger.streaming import queues
 
@@ -65,6 +65,24 @@ def test_metrics_keep_scalars(spark):
     assert got == {"coverage_percentage": (43.1, None, "%"), "k": (3.0, None, None), "s": (None, "x", None), "b": (1.0, "true", None)}
 
 
+def test_kinds(spark):
+    docs = ["null", "1", "1.5", "1e300", "123456789012345678901234567890", "true", '"ARRAY<x"', "[]", "[1]", "{}", '{"a":[1]}', "bad"]
+    rows = spark.createDataFrame([(d,) for d in docs], "d string").select("d", payload.kind(F.try_parse_json("d")).alias("k"))
+    assert [r["k"] for r in rows.collect()] == ["null", *["number"] * 4, "boolean", "string", "array", "array", "object", "object", None]
+
+
+def test_parameter_problems(spark):
+    schema = '{"parameters":[{"name":"n","type":"number","min":0,"max":2},{"name":"n","type":"string"},{"name":"s","type":"select","options":["a",3]},{"type":"string"},{"name":"x","type":7},5]}'
+    docs = ['{"n":3,"s":"3","x":1}', '{"n":1,"s":"a"}', '{"n":null,"y":1,"s":null}', "{}", "[1]", "null", "bad", '"{}"']
+    rows = spark.createDataFrame(list(enumerate(docs)), "id int, d string").select("id", F.try_parse_json("d").alias("v"))
+    out = parameters.problems(rows, F.parse_json(F.lit(schema)))
+    whole = {(k, None, "not an object") for k in (4, 5, 6, 7)}
+    assert {tuple(r) for r in out.collect()} == {(0, "n", "above maximum"), (0, "s", "not an option"), (0, "x", "unsupported type"), (2, "n", "not a number"), (2, "s", "not an option"), (2, "y", "unknown")} | whole
+    # The schema is read beside the documents: no lambda of it, nor of the judgement, runs for each of them.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan[: plan.index("Aggregate")] and "lambda" in plan
+
+
 def test_slices(spark):
     rows = spark.createDataFrame([("p", 1, "sampled_pixels", 100.0, None), ("p", 2, "sampled_pixels", 300.0, None), ("p", 1, "vegetation_pixels", 10.0, None), ("p", 2, "vegetation_pixels", 90.0, None), ("p", 1, "coverage_percentage", 10.0, None), ("p", 2, "coverage_percentage", 30.0, None), ("p", 1, "mean_x", 1.0, None), ("p", 2, "mean_x", 2.0, None), ("p", 1, "only", 7.0, None), ("p", 2, "label", None, "dense"), ("q", 1, "tree_count", 1.5, None)], "g string, s int, key string, value double, text_value string")
     got = {(r["g"], r["key"]): (r["value"], r["text_value"]) for r in slices.merged(rows, "g", "s").collect()}
