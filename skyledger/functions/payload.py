@@ -177,19 +177,21 @@ def plot_requests(parameters: Column) -> Column:
 
     The first fault is the problem, and there are no plots then: bad JSON, no array, a plot without a polygon, or one with fewer than 3 good points.
     """
-    raw = member(parameters, "$.plots")
-
     def plot(item: Column, k: Column) -> Column:
         name = F.coalesce(F.when(kind(member(item, "$.plot_id")) == "string", F.try_variant_get(item, "$.plot_id", "string")), F.concat(F.lit("plot_"), (k + 1).cast("string")))
-        pairs = F.transform(F.when(kind(member(item, "$.polygon")) == "array", F.try_variant_get(item, "$.polygon", "array<variant>")), lambda p: F.array(number(p, "$[0]"), number(p, "$[1]")))
+        pairs = F.transform(F.try_variant_get(item, "$.polygon", "array<variant>"), lambda p: F.array(number(p, "$[0]"), number(p, "$[1]")))
         return F.struct(name.alias("plot_id"), F.filter(pairs, lambda p: p[0].isNotNull() & p[1].isNotNull()).alias("ring"))
 
     def inner(x: Column) -> Column:
-        asked = (x["kind"] == "array") | (x["kind"] == "string") & (F.trim(x["text"]) != "")
-        return F.struct(F.coalesce(asked, F.lit(False)).alias("asked"), F.when(x["kind"] == "array", x["raw"]).when(x["kind"] == "string", F.try_parse_json(x["text"])).alias("v"))
+        text = F.when(x["items"].isNull() & (kind(x["raw"]) == "string"), F.try_variant_get(x["raw"], "$", "string"))
+        return F.struct(x["items"].alias("items"), F.when(F.trim(text) != "", text).alias("text"))
+
+    def parsed(x: Column) -> Column:
+        return F.struct(x["items"].alias("items"), (x["items"].isNotNull() | x["text"].isNotNull()).alias("asked"), F.try_parse_json(x["text"]).alias("v"))
 
     def read(x: Column) -> Column:
-        return F.struct(x["asked"].alias("asked"), x["v"].isNull().alias("bad"), kind(x["v"]).alias("kind"), F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), plot).alias("plots"))
+        items = F.coalesce(x["items"], F.try_variant_get(x["v"], "$", "array<variant>"))
+        return F.struct(x["asked"].alias("asked"), (x["items"].isNull() & x["v"].isNull()).alias("bad"), F.transform(items, plot).alias("plots"))
 
     def first(x: Column) -> Column:
         return F.struct(x.alias("x"), F.get(F.filter(x["plots"], lambda p: p["ring"].isNull() | (F.size(p["ring"]) < 3)), F.lit(0)).alias("wrong"))
@@ -197,13 +199,14 @@ def plot_requests(parameters: Column) -> Column:
     def whole(y: Column) -> Column:
         x, wrong = y["x"], y["wrong"]
         problem = (
-            F.when(~x["asked"], None).when(x["bad"], "bad JSON").when(x["kind"] != "array", "not an array")
+            F.when(~x["asked"], None).when(x["bad"], "bad JSON").when(x["plots"].isNull(), "not an array")
             .when(wrong.isNotNull() & wrong["ring"].isNull(), F.concat(F.lit("no polygon: "), wrong["plot_id"])).when(wrong.isNotNull(), F.concat(F.lit("too few points: "), wrong["plot_id"]))
         )
         return F.struct(F.when(x["asked"] & problem.isNull(), x["plots"]).alias("plots"), problem.alias("problem"))
 
-    start = F.struct(raw.alias("raw"), kind(raw).alias("kind"), F.try_variant_get(raw, "$", "string").alias("text"))
-    return _with(_with(_with(_with(start, inner), read), first), whole)
+    # No type is taken of the list or of an outline: that would go through all of it.
+    start = F.struct(member(parameters, "$.plots").alias("raw"), F.try_variant_get(parameters, "$.plots", "array<variant>").alias("items"))
+    return _with(_with(_with(_with(_with(start, inner), parsed), read), first), whole)
 
 
 def execution_result(v: Column) -> Column:

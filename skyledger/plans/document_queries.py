@@ -45,7 +45,8 @@ def plot_requests(spark, sf_dir):
         F.when(k == 0, F.format_string('{"plots":%s}', two)).when(k == 1, F.format_string('{"plots":"%s"}', F.replace(two, F.lit('"'), F.lit('\\"')))).when(k == 2, '{"plots":[]}').when(k == 3, '{"plots":"[{"}').when(k == 4, '{"plots":"{}"}')
         .when(k == 5, F.format_string('{"plots":[{"polygon":%s},{}]}', ring)).when(k == 6, '{"plots":[{"plot_id":"c","polygon":[[1,2]]}]}').otherwise('{"plots":"  "}')
     )
-    rows = s.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), payload.plot_requests(F.try_parse_json(doc)).alias("r"))
+    # A document is parsed once: written where it is used, it would be parsed at each use.
+    rows = s.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.try_parse_json(doc).alias("v")).select("id", payload.plot_requests(F.col("v")).alias("r"))
     p = F.col("r.plots")
     points = F.when(F.size(p) > 0, F.aggregate(p, F.lit(0), lambda n, x: n + F.size(x["ring"])))
     return rows.select("id", F.when(p.isNotNull(), F.size(p)).alias("plots"), F.get(p, F.lit(0))["plot_id"].alias("first_id"), F.try_element_at(p, F.lit(-1))["plot_id"].alias("last_id"), points.alias("points"), F.get(F.get(F.get(p, F.lit(0))["ring"], F.lit(0)), F.lit(0)).alias("lon"), F.col("r.problem").alias("problem"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import geo, indices, metrics, numeric, payload, text, times
 from skyledger.operators import blur, catalog, detections, imports, parameters, pixels, slices
+from skyledger.plans import registry
 from skyledger.sources import documents, exports, images
 from skyledger.streaming import queues
 
@@ -83,6 +84,21 @@ def test_parameter_problems(spark):
     assert "lambda" not in plan[: plan.index("Aggregate")] and "lambda" in plan
 
 
+def test_plot_requests(spark):
+    """An outline or list of another kind; a point counts only as two numbers."""
+    docs = ['{"plots":{"a":1}}', '{"plots":3}', '{"plots":null}', "{}", '{"plots":"null"}', '{"plots":"[]"}', '{"plots":[{"polygon":"[[1,2]]"}]}', '{"plots":[7]}', '{"plots":[{"plot_id":4,"polygon":[[0,0],["1",1],[true,1],[2,0],[1,1,9]]}]}']
+    rows = spark.createDataFrame(list(enumerate(docs)), "id int, d string").select("id", payload.plot_requests(F.try_parse_json("d")).alias("r")).orderBy("id").collect()
+    assert [r["r"]["problem"] for r in rows] == [None, None, None, None, "not an array", None, "no polygon: plot_1", "no polygon: plot_1", None]
+    assert [r["r"]["plots"] for r in rows[:6]] == [None] * 5 + [[]] and [tuple(p) for p in rows[8]["r"]["plots"]] == [("plot_1", [[0.0, 0.0], [2.0, 0.0], [1.0, 1.0]])]
+
+
+@pytest.mark.parametrize("name", ["plot_requests"])
+def test_documents_are_parsed_once(spark, sf_dir, name):
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # One for the document; plots that come as text are another.
+    assert plan.count("parseJson(") == {"plot_requests": 2}[name]
+
+
 def test_slices(spark):
     rows = spark.createDataFrame([("p", 1, "sampled_pixels", 100.0, None), ("p", 2, "sampled_pixels", 300.0, None), ("p", 1, "vegetation_pixels", 10.0, None), ("p", 2, "vegetation_pixels", 90.0, None), ("p", 1, "coverage_percentage", 10.0, None), ("p", 2, "coverage_percentage", 30.0, None), ("p", 1, "mean_x", 1.0, None), ("p", 2, "mean_x", 2.0, None), ("p", 1, "only", 7.0, None), ("p", 2, "label", None, "dense"), ("q", 1, "tree_count", 1.5, None)], "g string, s int, key string, value double, text_value string")
     got = {(r["g"], r["key"]): (r["value"], r["text_value"]) for r in slices.merged(rows, "g", "s").collect()}
