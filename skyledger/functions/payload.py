@@ -212,13 +212,13 @@ def plot_requests(parameters: Column) -> Column:
 def execution_result(v: Column) -> Column:
     """struct<job_id, status, execution_time_ms, metrics, artifacts, error> of a result document; what is missing or of another type has its default: empty, failure, 0."""
     said = lambda path: F.when(kind(member(v, path)) == "string", F.try_variant_get(v, path, "string"))
-    held = lambda path: F.when(kind(member(v, path)) == "object", F.try_variant_get(v, path, "map<string, variant>"))
+    held = lambda path: F.try_variant_get(v, path, "map<string, variant>")
     took = F.try_variant_get(v, "$.execution_time_ms", "bigint")
     whole = F.schema_of_variant(member(v, "$.execution_time_ms")) == "BIGINT"
 
     def artifact(k: Column, a: Column) -> Column:
         inner = lambda path: F.coalesce(F.when(kind(member(a, path)) == "string", F.try_variant_get(a, path, "string")), F.lit(""))
-        return F.struct(k.alias("key"), inner("$.file_path").alias("file_path"), inner("$.format").alias("format"), F.when(kind(member(a, "$.bounds")) == "array", _numbers(member(a, "$.bounds"))).alias("bounds"))
+        return F.struct(k.alias("key"), inner("$.file_path").alias("file_path"), inner("$.format").alias("format"), _numbers(member(a, "$.bounds")).alias("bounds"))
 
     none = F.create_map().cast("map<string, variant>")
     listed = _with(F.coalesce(held("$.artifacts"), none), lambda m: F.transform(F.array_sort(F.map_keys(m)), lambda k: _with(F.try_element_at(m, k), lambda a: artifact(k, a))))
@@ -232,8 +232,8 @@ def inside(folder: Column, path: Column) -> Column:
     """``path``, taken from ``folder`` unless it is absolute, without "." and "..", if it lies below ``folder``; else null."""
     clean = lambda p: F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x)))
     joined = lambda parts: F.concat(F.lit("/"), F.concat_ws("/", parts))
-    top, at = joined(clean(folder)), joined(clean(F.when(path.startswith("/"), path).otherwise(F.concat(folder, F.lit("/"), path))))
-    return F.when(at.startswith(F.concat(top, F.lit("/"))), at)
+    at = joined(clean(F.when(path.startswith("/"), path).otherwise(F.concat(folder, F.lit("/"), path))))
+    return _with(at, lambda p: F.when(p.startswith(F.concat(joined(clean(folder)), F.lit("/"))), p))
 
 
 def class_definitions(v: Column) -> Column:

@@ -62,10 +62,13 @@ _RESULT = """CASE event_id % 5 WHEN 0 THEN '{"execution_id":"e' || event_id || '
         CASE WHEN json_type(v->'metrics') = 'OBJECT' THEN len(json_keys(v->'metrics')) ELSE 0 END::INT AS metrics, coalesce(n, 0)::INT AS artifacts, coalesce(paths, '') AS paths, CASE WHEN k = 0 THEN 4 END::INT AS bounds, CASE WHEN json_type(v->'error') = 'VARCHAR' THEN v->>'error' END AS error FROM d LEFT JOIN r USING (id)""")
 def execution_results(spark, sf_dir):
     """Result documents with missing and mistyped parts, and whether their files lie below the output folder."""
-    rows = s.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(_RESULT.replace("::JSON", "")).alias("doc")).select("id", payload.execution_result(F.try_parse_json("doc")).alias("r"))
-    a = F.col("r.artifacts")
+    # Parsed once, and its artifacts read once: they are columns of their own before they are used.
+    rows = s.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.try_parse_json(F.expr(_RESULT.replace("::JSON", ""))).alias("v"))
+    rows = rows.select("id", payload.execution_result(F.col("v")).alias("r")).select("id", "r.*")
+    a = F.col("artifacts")
     at = F.transform(a, lambda x: F.concat(x["key"], F.lit("="), F.coalesce(payload.inside(F.lit("/run/out/"), x["file_path"]), F.lit("outside"))))
-    return rows.select("id", "r.job_id", "r.status", "r.execution_time_ms", F.size("r.metrics").alias("metrics"), F.size(a).alias("artifacts"), F.concat_ws(" ", at).alias("paths"), F.size(F.get(F.filter(a, lambda x: x["bounds"].isNotNull()), F.lit(0))["bounds"]).alias("bounds"), "r.error").withColumn("bounds", F.when(F.col("bounds") >= 0, F.col("bounds")))
+    out = rows.select("id", "job_id", "status", "execution_time_ms", F.size("metrics").alias("metrics"), F.size(a).alias("artifacts"), F.concat_ws(" ", at).alias("paths"), F.size(F.get(F.filter(a, lambda x: x["bounds"].isNotNull()), F.lit(0))["bounds"]).alias("bounds"), "error")
+    return out.withColumn("bounds", F.when(F.col("bounds") >= 0, F.col("bounds")))
 
 
 @query("""WITH l AS (SELECT s_suppkey AS layer_id, s_name AS layer_name, 'v' || s_nationkey AS token FROM supplier),

@@ -92,11 +92,18 @@ def test_plot_requests(spark):
     assert [r["r"]["plots"] for r in rows[:6]] == [None] * 5 + [[]] and [tuple(p) for p in rows[8]["r"]["plots"]] == [("plot_1", [[0.0, 0.0], [2.0, 0.0], [1.0, 1.0]])]
 
 
-@pytest.mark.parametrize("name", ["plot_requests"])
+@pytest.mark.parametrize("name", ["plot_requests", "execution_results"])
 def test_documents_are_parsed_once(spark, sf_dir, name):
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     # One for the document; plots that come as text are another.
-    assert plan.count("parseJson(") == {"plot_requests": 2}[name]
+    assert plan.count("parseJson(") == {"plot_requests": 2, "execution_results": 1}[name]
+
+
+def test_execution_result_parts_of_other_kinds(spark):
+    docs = ['{"metrics":"{}","artifacts":[1]}', '{"metrics":null,"artifacts":{"a":3,"b":{"file_path":"x","bounds":"[1]"},"c":{"bounds":[1,"2",true]},"d":null}}', "{}", "bad"]
+    rows = spark.createDataFrame(list(enumerate(docs)), "id int, d string").select("id", payload.execution_result(F.try_parse_json("d")).alias("r")).orderBy("id")
+    rows = rows.select(F.size("r.metrics").alias("m"), F.transform("r.artifacts", lambda x: F.struct(x["key"], x["file_path"], x["bounds"])).alias("a")).collect()
+    assert [r["m"] for r in rows] == [0] * 4 and [tuple(x) for x in rows[1]["a"]] == [("a", "", None), ("b", "x", None), ("c", "", [1.0]), ("d", "", None)] and [r["a"] for r in (rows[0], *rows[2:])] == [[]] * 3
 
 
 def test_slices(spark):
