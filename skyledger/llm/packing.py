@@ -51,7 +51,7 @@ def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
 
 
 def encoder(vocabulary: str):
-    """text -> list of ids, by a file of ``public_tokenizers``: ``.json`` by tokenizers, ``.tiktoken`` (the same ids, faster) by tiktoken.
+    """text -> ids in an array or a list, by a file of ``public_tokenizers``: ``.json`` by tokenizers, ``.tiktoken`` (the same ids, faster) by tiktoken.
 
     The special token is read where a text holds it, as tokenizers does; none is added.
     """
@@ -68,7 +68,7 @@ def encoder(vocabulary: str):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     enc = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
-    return lambda text: enc.encode(text, allowed_special="all")
+    return lambda text: enc.encode_to_numpy(text, allowed_special="all")
 
 
 def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", max_len: int = 2048, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,16 +79,14 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", max_len:
         for ids, texts in common.by_text(batches):
             out = defaultdict(list)
             for doc, text in zip(ids, texts):
-                toks = [t for p in parts(text) for t in encode(p)]
-                toks.append(end_id)
-                raw = np.array(toks, dtype="<u4").tobytes()
-                for s in range(0, len(toks), max_len):
+                raw = b"".join(np.asarray(x, dtype="<u4").tobytes() for x in (*map(encode, parts(text)), [end_id]))
+                for s in range(0, len(raw) // 4, max_len):
                     piece = raw[4 * s : 4 * (s + max_len)]
                     out["doc_id"].append(doc)
                     out["start"].append(s)
                     out["length"].append(len(piece) // 4)
                     out["ids_crc32"].append(zlib.crc32(piece))
-                    out["doc_tokens"].append(len(toks))
+                    out["doc_tokens"].append(len(raw) // 4)
                     if with_ids:
                         out["ids"].append(piece)
             if out:

@@ -24,10 +24,17 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 #: Tokens that the models judge: 16 characters or more, with a letter.
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"
-GUARD = f"(?:{ASSIGN})|{ACCESS}|{HEX}|{TOKEN}"
+RUN = r"[A-Za-z0-9+/_-]{16}"
+#: Texts up to this size are cut at spaces to look for runs.
+PIECES_BYTES = 4 << 20
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_-"
 MASK = "[SECRET]"
 
+
+def no_spans() -> Column:
+    return F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
+
+
 # Words of which identifiers are made.
 WORDS = (
     "account action address admin agent alert amount array asset audit base batch block branch buffer build button bytes cache call case change channel chart check class client cluster code column command config connection content context control count create current "
@@ -71,6 +78,11 @@ def train(samples: DataFrame, weight: float = 0.5) -> list[float]:
     return [math.log(counts[1][i] / totals[1][i // k]) - math.log(counts[0][i] / totals[0][i // k]) for i in range(k * k)]
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row: the variable of a lambda holds it, where the optimizer would copy a plain column to every place that names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def prefix_sums(values: Column, block: int = 512) -> Column:
     """Sums before each element; in blocks, as building an array by appending takes time with the square of its length."""
     zero = F.lit(0).cast("long")
@@ -80,21 +92,34 @@ def prefix_sums(values: Column, block: int = 512) -> Column:
         first = F.struct(start.alias("sum"), F.array().cast("array<bigint>").alias("out"))
         return F.aggregate(x, first, lambda a, v: F.struct((a["sum"] + v).alias("sum"), F.array_append(a["out"], a["sum"]).alias("out")), lambda a: a["out"])
 
-    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(block))).otherwise(F.array().cast("array<int>"))
-    blocks = F.transform(starts, lambda s: F.slice(values, s, F.lit(block)))
-    return F.flatten(F.zip_with(blocks, running(F.transform(blocks, total), zero), running))
+    def in_blocks(values: Column) -> Column:
+        starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(block))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.slice(values, s, F.lit(block)))
+
+    return once(once(values, in_blocks), lambda blocks: F.flatten(F.zip_with(blocks, running(F.transform(blocks, total), zero), running)))
 
 
 def spans(text: Column, pattern: str, kind: str, keep: Callable[[Column], Column] | None = None, group: int = 0) -> Column:
-    """array<struct<start, rank, end, kind>> of all matches; ``keep`` judges the given group of each."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
-    lengths = F.transform(found, lambda x: F.length(x).cast("long"))
-    before = prefix_sums(F.zip_with(F.slice(between, 1, F.size(found)), lengths, lambda a, b: a + b))
-    rows = F.arrays_zip(before.alias("b"), F.slice(between, 1, F.size(found)).alias("g"), lengths.alias("n"), judged.alias("m"))
-    kept = F.filter(rows, lambda r: keep(r["m"])) if keep else rows
-    return F.transform(kept, lambda r: F.struct((r["b"] + r["g"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (r["b"] + r["g"] + r["n"]).alias("end"), F.lit(kind).alias("kind")))
+    """array<struct<start, rank, end, kind>> of all matches; ``keep`` judges the given group of each.
+
+    Places are looked for only in texts of which a match is kept.
+    """
+
+    def placed(found: Column, kept: Column) -> Column:
+        def rows(gaps: Column, lengths: Column) -> Column:
+            before = prefix_sums(F.zip_with(gaps, lengths, lambda a, b: a + b))
+            zipped = F.arrays_zip(before.alias("b"), gaps.alias("g"), lengths.alias("n"), kept.alias("k"))
+            return F.transform(F.filter(zipped, lambda r: r["k"]), lambda r: F.struct((r["b"] + r["g"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (r["b"] + r["g"] + r["n"]).alias("end"), F.lit(kind).alias("kind")))
+
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda x: F.length(x).cast("long"))
+        return once(gaps, lambda gaps: once(F.transform(found, lambda x: F.length(x).cast("long")), lambda lengths: rows(gaps, lengths)))
+
+    def judged(found: Column) -> Column:
+        asked = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+        flags = F.transform(asked, keep if keep else lambda m: F.lit(True))
+        return once(flags, lambda kept: F.when(F.exists(kept, lambda k: k), placed(found, kept)).otherwise(no_spans()))
+
+    return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, judged(found)).otherwise(no_spans()))
 
 
 def ratio(token: Column, model: list[float]) -> Column:
@@ -114,19 +139,33 @@ def random(token: Column, model: list[float], threshold: float) -> Column:
     Tokens that are short or of letters alone may be ruled lines: a repeated sign counts once there.
     """
     bare = F.regexp_replace(token, "=+$", "")
-    judged = F.when((F.length(bare) >= 20) & bare.rlike("[0-9]"), bare).otherwise(F.regexp_replace(bare, r"([+/_-])\1+", "$1"))
-    return (F.length(judged) >= 16) & (ratio(judged, model) >= threshold + 0.125 * F.greatest(20 - F.length(judged), F.lit(0)))
+    judged = lambda bare: F.when((F.length(bare) >= 20) & bare.rlike("[0-9]"), bare).otherwise(F.regexp_replace(bare, r"([+/_-])\1+", "$1"))
+    above = lambda judged: (F.length(judged) >= 16) & (ratio(judged, model) >= threshold + 0.125 * F.greatest(20 - F.length(judged), F.lit(0)))
+    return once(once(bare, judged), above)
+
+
+def may_assign(text: Column) -> Column:
+    """False only if ``ASSIGN`` has no match: its words hold one of four beginnings or ends, free of letters whose case depends on the language."""
+    return (text.contains(":") | text.contains("=")) & once(F.lower(text), lambda low: low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("key"))
+
+
+def has_run(text: Column) -> Column:
+    """Whether 16 characters of tokens stand in a row, as they do in each match of the other patterns. No run goes across a space."""
+    pieces = F.exists(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), lambda x: (F.octet_length(x) >= 16) & x.rlike(RUN))
+    return F.when(F.octet_length(text) <= PIECES_BYTES, pieces).otherwise(text.rlike(RUN))
 
 
 def found(docs: DataFrame, model: list[float], threshold: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the array columns ``_base`` and ``_spans`` (base and the models' spans, sorted)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
-    base = F.array_sort(F.concat(spans(text, ASSIGN, "assign", lambda m: F.length(m) >= 6, 2), spans(text, ACCESS, "access"), spans(text, HEX, "hex")))
+    where = lambda guard, found: F.when(F.col(guard), found).otherwise(no_spans())
+    base = F.array_sort(F.concat(where("_assign", spans(text, ASSIGN, "assign", lambda m: F.length(m) >= 6, 2)), where("_run", spans(text, ACCESS, "access")), where("_run", spans(text, HEX, "hex"))))
     more = spans(text, TOKEN, "random", lambda m: random(m, model, threshold))
-    out = docs.withColumn("_guard", text.rlike(GUARD)).withColumn("_base", F.when(F.col("_guard"), base).otherwise(none)).withColumn("_more", F.when(F.col("_guard"), more).otherwise(none))
+    out = docs.withColumns({"_assign": may_assign(text), "_run": has_run(text)})
+    out = out.withColumn("_base", F.when(F.col("_assign") | F.col("_run"), base).otherwise(no_spans())).withColumn("_more", where("_run", more))
     inside = lambda s: F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    return out.withColumn("_spans", F.array_sort(F.concat("_base", F.filter("_more", lambda s: ~inside(s))))).drop("_guard", "_more")
+    every = F.when(F.size("_more") > 0, F.array_sort(F.concat("_base", F.filter("_more", lambda s: ~inside(s))))).otherwise(F.col("_base"))
+    return out.withColumn("_spans", every).drop("_assign", "_run", "_more")
 
 
 def said(col: str) -> Column:
