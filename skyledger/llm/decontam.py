@@ -30,11 +30,13 @@ def shingles(rows: DataFrame, n: int, words_col: str = "words", out: str = "shin
     """``rows`` with the hashes of all ``n``-word shingles; the words go."""
 
     def hashed(w: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(w) - (n - 1))
-        return F.when(F.size(w) >= n, F.transform(at, lambda i: F.xxhash64(F.slice(w, i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+        at = F.sequence(F.lit(0), F.size(w) - n)
+        return F.when(F.size(w) >= n, F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))).otherwise(F.array().cast("array<bigint>"))
 
-    # A lambda's variable holds the words: a plain column would be computed anew for every shingle once the optimizer inlines it.
-    return rows.withColumn(out, F.get(F.transform(F.array(words_col), hashed), F.lit(0))).drop(words_col)
+    # Words are hashed once each, and a shingle from their hashes.
+    numbers = F.transform(words_col, lambda x: F.xxhash64(x))
+    # A lambda's variable holds the numbers: a plain column would be computed anew for every shingle once the optimizer inlines it.
+    return rows.withColumn(out, F.get(F.transform(F.array(numbers), hashed), F.lit(0))).drop(words_col)
 
 
 def sketches(items: DataFrame, threshold: float = 0.8) -> DataFrame:

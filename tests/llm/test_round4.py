@@ -6,8 +6,9 @@ import time
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
-from skyledger.llm import ngram_join, packing, secrets, toxicity
+from skyledger.llm import decontam, ngram_join, packing, secrets, toxicity
 
 ODD = [
     None, "", "key", "a" * 16 + "é", "x password = 'abcdef1' y", "API_KEY:=zzzzzzzz", "ApıKey:zzzzzzzz", "ſecret=abcdefg", "toKen=abcde token=abcdef", "SECRET\n:\nabcdefgh", "😀password=😀abcdefg token=abcdef😀", "key=secretsecret api-key=abcdefgh api__key=zzzzzzzz password=\"secret=abcdef\"",
@@ -91,3 +92,13 @@ def test_pieces_of_long_and_special_texts(spark):
         ids = np.frombuffer(b"".join(r["ids"] for r in own), dtype="<u4").tolist()
         assert ids == [*encode(t or ""), 1] and {r["doc_tokens"] for r in own} == {len(ids)}
         assert [r["start"] for r in own] == list(range(0, len(ids), 2048)) and sum(r["length"] for r in own) == len(ids)
+
+
+def test_shingles_hash_each_word_once(spark):
+    """Words were copied into a list and hashed anew for each shingle they stand in."""
+    df = spark.createDataFrame([(1, "a b c a b c"), (2, "a b"), (3, ""), (4, "x a b c")], "doc_id long, text string")
+    out = decontam.shingles(df.select("doc_id", decontam.words(F.col("text")).alias("words")), 3)
+    got = {r["doc_id"]: r["shingles"] for r in out.collect()}
+    assert [len(got[k]) for k in (1, 2, 3, 4)] == [4, 0, 0, 2]
+    assert got[1][0] == got[1][3] == got[4][1] and len({*got[1], *got[4]}) == 4
+    assert "slice(" not in out._jdf.queryExecution().optimizedPlan().toString()
